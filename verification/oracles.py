@@ -200,3 +200,400 @@ oracle(
     _union + " union all by name select *, 'missing_text' as category from placed where query = 'MISSING' and fingerprint = ''",
     SCAN, TEXT, DELTA, VALID, ROLLED, PLACED, worst("rolled").replace("c0 AS (select *", f"c0 AS (select {cols(STATS_ORDER)}"),
 )
+
+# ---- servers, settings, catalog -------------------------------------------------
+
+
+def on(keys: str, a: str, b: str) -> str:
+    return " and ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in keys.split(","))
+
+
+def pick(keys: str, a: str) -> str:
+    return ", ".join(f"{a}.{k.strip()}" for k in keys.split(","))
+
+
+SYSTEM = "('pg_catalog', 'information_schema', 'pg_toast', 'heroku_ext')"
+
+oracle(
+    "server_identity", "config_vars",
+    """select replace(replace(name, 'HEROKU_POSTGRESQL_', ''), '_URL', '') as config_name, name as config_var_name,
+              list_last(string_split(value, '/')) as database,
+              split_part(split_part(list_last(string_split(split_part(value, '/', 3), '@')), '/', 1), ':', 1) as host
+       from config_vars where ends_with(name, '_URL') and starts_with(value, 'postgres://')""",
+)
+
+CONNECTIONS = f"""connections_m AS (
+  select {pick(KA, 's')}, '' as entity, m.name, case m.name when 'connections.used' then coalesce(a.used, 0) else s.reserved end::double as value
+  from (select *, try_cast(setting as int) as reserved from settings where name = 'superuser_reserved_connections') s
+  left join (select {K}, count(*) as used from activity group by all) a on {on(K, 's', 'a')},
+  (values ('connections.used'), ('connections.reserved')) m(name) where s.reserved is not null
+)"""
+oracle("connections_used", "activity settings", "select * from connections_m", CONNECTIONS)
+
+VERSION = f"version_s AS (select {KA}, split_part(setting, ' ', 1) as version from settings where name = 'server_version')"
+MAXCONN = f"maxconn_s AS (select {KA}, cast(setting as bigint) as max_connections from settings where name = 'max_connections')"
+PLATFORM = f"""platform_s AS (
+  select {KA}, case when count(*) filter (where schema_name = 'heroku_ext') > 0 then 'heroku' else 'unknown' end as platform
+  from schemata group by all)"""
+oracle("max_connections", "settings", "select * from maxconn_s", MAXCONN)
+oracle("server_version", "settings", "select * from version_s", VERSION)
+oracle("platform_flag", "schemata", "select * from platform_s", PLATFORM)
+
+POOLER_META = f"""first_look AS (
+  select {S}, min(poll_seq) as poll_seq from pooler_versions group by all
+), pool_last AS (
+  select * from pooler_pools where db = database qualify row_number() over (partition by {K} order by ord desc) = 1
+), limit_last AS (
+  select * from pooler_databases where db = database qualify row_number() over (partition by {K} order by ord desc) = 1
+), pooler_meta AS (
+  select {S}, enabled, case when enabled then version else '' end as version,
+         case when enabled then coalesce(max_connections, 0) else 0 end as max_server_connections
+  from (select {pick(S, 'f')}, trim(replace(v.version, 'PgBouncer ', '')) as version, l.max_connections,
+               trim(replace(v.version, 'PgBouncer ', '')) <> '' and coalesce(p.cl_active > 0 or p.cl_waiting > 0 or p.sv_active > 0, false) as enabled
+        from first_look f join pooler_versions v on {on(K, 'f', 'v')}
+        left join pool_last p on {on(K, 'f', 'p')} left join limit_last l on {on(K, 'f', 'l')}) x
+)"""
+_pooler_fix = "pooler_versions pooler_pools pooler_databases"
+oracle("pooler_metadata", _pooler_fix, "select * from pooler_meta", POOLER_META)
+
+oracle(
+    "server_metadata", "polls_table settings schemata " + _pooler_fix,
+    f"""select {pick(KA, 'p')},
+       coalesce((select arg_min(version, poll_seq) from version_s x where {on(S, 'x', 'p')} and version <> '' and x.poll_seq <= p.poll_seq), '') as version,
+       coalesce((select arg_min(max_connections, poll_seq) from maxconn_s x where {on(S, 'x', 'p')} and max_connections <> 0 and x.poll_seq <= p.poll_seq), 0) as max_connections,
+       coalesce((select arg_min(platform, poll_seq) from platform_s x where {on(S, 'x', 'p')} and x.poll_seq <= p.poll_seq), '') as platform,
+       p.measured_at as monitored_at,
+       case when m.version <> '' then m.max_server_connections end as pooler_limit,
+       case when m.version <> '' then m.version end as pooler_version
+     from polls_table p left join pooler_meta m on {on(S, 'p', 'm')}""",
+    VERSION, MAXCONN, PLATFORM, POOLER_META,
+)
+
+SCHEMAS = rf"""user_schemas AS (
+  select {KA}, schema_name from schemata
+  where schema_name not in {SYSTEM} and schema_name not like 'pg_toast_temp_%' and schema_name not like 'pg_temp_%')"""
+oracle("schemata_user", "schemata", "select * from user_schemas", SCHEMAS)
+
+SIZES = f"""sizes AS (
+  select {pick(KA, 'c')}, n.nspname as schema, c.relname as name, coalesce(total_bytes, 0) as total_bytes_total,
+         coalesce(index_bytes, 0) as index_bytes_total, coalesce(toast_bytes, 0) as toast_bytes_total,
+         coalesce(total_bytes, 0) - coalesce(index_bytes, 0) - coalesce(toast_bytes, 0) as table_bytes_total
+  from pg_class c left join pg_namespace n on {on(K, 'c', 'n')} and n.oid = c.relnamespace
+  where relkind = 'r' and nspname not in {SYSTEM})"""
+oracle("table_sizes", "pg_class pg_namespace", "select * from sizes", SIZES)
+
+COLUMNS = f"""cols AS (
+  select {KA}, table_schema as schema, table_name, column_name as name, column_default as default, data_type as type,
+         is_nullable as nullable, character_maximum_length as max_length,
+         case when data_type = 'numeric' then numeric_precision end as precision,
+         case when data_type = 'numeric' then numeric_scale end as scale, interval_type, is_identity
+  from columns where table_schema not in {SYSTEM})"""
+COLUMNS = COLUMNS.replace("as default,", 'as "default",')
+oracle("table_columns", "columns", "select * from cols", COLUMNS)
+
+_stat_map = {
+    "sequential_scans": "seq_scan", "sequential_scan_read_rows": "seq_tup_read", "index_scans": "idx_scan",
+    "index_scan_read_rows": "idx_tup_fetch", "inserted_rows": "n_tup_ins", "updated_rows": "n_tup_upd",
+    "deleted_rows": "n_tup_del", "live_row_estimate_total": "n_live_tup", "dead_row_estimate_total": "n_dead_tup",
+    "modified_rows_since_analyze": "n_mod_since_analyze", "vacuum_count": "vacuum_count",
+    "autovacuum_count": "autovacuum_count", "analyze_count": "analyze_count", "autoanalyze_count": "autoanalyze_count",
+    "blocks_read": "heap_blks_read", "blocks_hit": "heap_blks_hit", "index_blocks_read": "idx_blks_read",
+    "index_blocks_hit": "idx_blks_hit",
+}
+_toast_map = {
+    "toast_blocks_read": "toast_blks_read", "toast_blocks_hit": "toast_blks_hit",
+    "toast_index_blocks_read": "tidx_blks_read", "toast_index_blocks_hit": "tidx_blks_hit",
+}
+_time_map = {f"last_{k}_at": f"last_{k}" for k in ("vacuum", "autovacuum", "analyze", "autoanalyze")}
+TSTATS = f"""tstats AS (
+  select {pick(KA, 's')}, s.schemaname as schema, s.relname as name,
+         {', '.join(f'{v} as {k}' for k, v in _stat_map.items())},
+         {', '.join(f'coalesce({v}, 0) as {k}' for k, v in _toast_map.items())},
+         {', '.join(f'cast(round(epoch({v})) as bigint) as {k}' for k, v in _time_map.items())}
+  from table_stat s join table_statio o on {on(K, 's', 'o')} and s.relid = o.relid
+  where s.schemaname not in {SYSTEM} and {' and '.join(f'{v} is not null' for v in _stat_map.values())})"""
+oracle("table_stats", "table_stat table_statio", "select * from tstats", TSTATS)
+
+INDEXES = f"""indexes AS (
+  select {pick(KA, 'i')}, n.nspname as schema, t.relname as table_name, x.relname as name, i.indisunique as unique,
+         i.indisvalid as valid, x.total_bytes as bytes_total, st.idx_scan as scans, io.idx_blks_read as blocks_read,
+         io.idx_blks_hit as blocks_hit, d.indexdef as definition
+  from pg_index i
+  join pg_class x on {on(K, 'i', 'x')} and x.oid = i.indexrelid
+  join pg_namespace n on {on(K, 'i', 'n')} and n.oid = x.relnamespace
+  join pg_class t on {on(K, 'i', 't')} and t.oid = i.indrelid
+  join pg_namespace tn on {on(K, 'i', 'tn')} and tn.oid = t.relnamespace
+  join index_stat st on {on(K, 'i', 'st')} and st.indexrelid = i.indexrelid
+  join index_statio io on {on(K, 'i', 'io')} and io.indexrelid = i.indexrelid
+  join pg_indexes d on {on(K, 'i', 'd')} and d.indexname = x.relname
+  where tn.nspname not in {SYSTEM} and st.idx_scan is not null and io.idx_blks_hit is not null and io.idx_blks_read is not null)"""
+INDEXES = INDEXES.replace("as unique,", 'as "unique",')
+_index_fix = "pg_index pg_class pg_namespace index_stat index_statio pg_indexes"
+oracle("index_stats", _index_fix, "select * from indexes", INDEXES)
+
+UNUSED = f"""unused AS (
+  select {pick(KA, 's')}, s.schemaname as schema, s.relname as table_name, s.indexrelname as name
+  from index_stat s join pg_index i on {on(K, 's', 'i')} and s.indexrelid = i.indexrelid
+  where s.idx_scan = 0 and not list_contains(i.indkey, 0) and not i.indisunique
+    and not exists (select 1 from pg_constraint c where {on(K, 's', 'c')} and c.conindid = s.indexrelid))"""
+oracle("unused_indexes", "index_stat pg_index pg_constraint", "select * from unused", UNUSED)
+
+FLAGGED = f"""flagged AS (
+  select i.*, exists (select 1 from unused u where {on(K, 'u', 'i')} and u.schema = i.schema and u.name = i.name) as unused
+  from indexes i)"""
+oracle("index_unused_flag", _index_fix + " pg_constraint", "select * from flagged", INDEXES, UNUSED, FLAGGED)
+
+# the product as written, not the two pre-aggregated sides
+CACHE = f"""cache_x AS (
+  select {pick(KA, 'i')}, sum(i.idx_blks_hit)::double / nullif(sum(i.idx_blks_hit + i.idx_blks_read), 0)::double as index_rate,
+         sum(heap_blks_hit)::double / nullif(sum(heap_blks_hit) + sum(heap_blks_read), 0)::double as table_rate
+  from index_statio i join table_statio t on {on(K, 'i', 't')} group by all
+), cache_m AS (
+  select {KA}, '' as entity, 'cache.index.hit.rate' as name, index_rate as value from cache_x where index_rate is not null
+  union all select {KA}, '', 'cache.table.hit.rate', table_rate from cache_x where table_rate is not null)"""
+oracle("cache_hit_rates", "index_statio table_statio", "select * from cache_m", CACHE)
+
+oracle(
+    "settings_snapshot", "settings",
+    f"""select {KA}, name, setting as value, unit, category, short_desc || ' ' || coalesce(extra_desc, '') as description,
+               context, vartype as var_type, source, min_val, max_val, enumvals as enum_vals, boot_val, reset_val, pending_restart
+        from settings""",
+)
+
+# ---- replication ------------------------------------------------------------------
+
+
+def lsn(x: str) -> str:
+    return f"(('0x' || split_part({x}, '/', 1))::hugeint * 4294967296 + ('0x' || split_part({x}, '/', 2))::hugeint)"
+
+
+_lags = {"write": ("sent_lsn", "write_lsn"), "flush": ("write_lsn", "flush_lsn"), "replay": ("flush_lsn", "replay_lsn")}
+CLIENTS = f"""clients AS (
+  select * from (
+    select {KA}, ord,
+      coalesce(application_name || case when backend_start is null then '' else ':' || cast(cast(floor(epoch(backend_start)) as bigint) as string) end, '') as application_name,
+      client_addr, client_hostname, client_port, cast(floor(epoch(backend_start)) as bigint) as backend_start, backend_xmin, state,
+      write_lag, flush_lag, replay_lag,
+      {', '.join(f'cast({lsn(a)} - {lsn(b)} as double) as {k}_lag_bytes' for k, (a, b) in _lags.items())},
+      sync_priority, sync_state
+    from replication_clients) c
+  where write_lag_bytes is not null and flush_lag_bytes is not null and replay_lag_bytes is not null)"""
+_parts = ", ".join(f"{k}_lag.{p} as {k}_lag_{p}" for k in _lags for p in ("months", "days", "micros"))
+oracle("replica_clients", "replication_clients", f"select * exclude (write_lag, flush_lag, replay_lag), {_parts} from clients", CLIENTS)
+
+
+def conn_value(key: str) -> str:
+    words = f"list_filter(list_transform(string_split(conninfo, ' '), lambda w: string_split(w, '=')), lambda kv: len(kv) > 1 and kv[1] = '{key}')"
+    return f"coalesce(list_last({words})[2], '')"
+
+
+SELF = f"""self AS (
+  select {KA}, application_name || coalesce(':' || cast(started as string), '') as application_name, primary_host,
+         coalesce((select arg_min(config_name, ord) from known_servers k where k.host = w.primary_host), '') as primary_config_name,
+         status, lag
+  from (select w.*, {conn_value('host')} as primary_host, {conn_value('application_name')} as application_name,
+               (select cast(floor(epoch(arg_min(backend_start, pid))) as bigint) from activity a
+                where {on(K, 'a', 'w')} and backend_type = 'walreceiver') as started
+        from wal_receiver w where conninfo <> '' and status is not null) w)"""
+oracle(
+    "replica_self", "wal_receiver activity known_servers",
+    "select * exclude (lag), lag.months as lag_months, lag.days as lag_days, lag.micros as lag_micros from self", SELF,
+)
+
+
+def ms(x: str) -> str:
+    return f"cast(trunc({x}.micros / 1000) as double)"
+
+
+_lag_metrics = [(f"replication.standby.lag.{k}.ms", ms(f"{k}_lag"), f"{k}_lag is not null") for k in _lags]
+_lag_metrics += [(f"replication.standby.lag.{k}.bytes", f"{k}_lag_bytes", "true") for k in _lags]
+LAGS = "lags AS (" + " union all ".join(
+    [f"select {KA}, 'replication.standby.lag.local.ms' as name, 'replica/standby/' || application_name as entity, {ms('lag')} as value from self where lag is not null"]
+    + [f"select {KA}, '{n}', 'replica/standby/' || application_name, {v} from clients where {c}" for n, v, c in _lag_metrics]
+) + ")"
+_repl_fix = "wal_receiver activity known_servers replication_clients"
+oracle("replication_lag_metrics", _repl_fix, "select * from lags", CLIENTS, SELF, LAGS)
+
+# ---- pooler and database counters ---------------------------------------------------
+
+PTOTALS = f"""ptotals AS (
+  select {KA}, xact_count, query_count, bytes_received, bytes_sent, xact_time / 1000 as xact_time,
+         query_time / 1000 as query_time, wait_time / 1000 as wait_time
+  from pooler_totals where db = database qualify row_number() over (partition by {K} order by ord desc) = 1)"""
+oracle("pooler_totals", "pooler_totals", "select * from ptotals", PTOTALS)
+
+
+def union_metrics(source: str, metrics: dict[str, str], entity: str = "''") -> str:
+    return " union all ".join(
+        f"select {KA}, {entity} as entity, '{n}' as name, cast({v} as double) as value from {source}" for n, v in metrics.items()
+    )
+
+
+PPOOLS = "ppools AS (" + union_metrics(
+    f"(select * from pool_last p where exists (select 1 from pooler_meta m where {on(S, 'm', 'p')} and m.enabled))",
+    {"pgbouncer.connections.client.active": "cl_active", "pgbouncer.connections.client.waiting": "cl_waiting",
+     "pgbouncer.connections.server.active": "sv_active", "pgbouncer.connections.server.idle": "sv_idle",
+     "pgbouncer.wait.time.max": "maxwait"},
+) + ")"
+oracle("pooler_pools", _pooler_fix, "select * from ppools", POOLER_META, PPOOLS)
+
+
+def lag_delta(source: str, out: str, counters: list[str]) -> str:
+    return f"""{out} AS (
+      select {KA}, {', '.join(f'{c} - p_{c} as {c}' for c in counters)}
+      from (select *, {', '.join(f'lag({c}) over w as p_{c}' for c in counters)}, row_number() over w as rn
+            from {source} window w as (partition by {S} order by poll_seq)) z where rn > 1)"""
+
+
+_pc = "xact_count query_count bytes_received bytes_sent xact_time query_time wait_time".split()
+PDELTA = lag_delta(
+    f"(select * from ptotals p where exists (select 1 from pooler_meta m where {on(S, 'm', 'p')} and m.enabled))", "pd", _pc
+) + ", pdelta AS (" + union_metrics("pd", {
+    "pgbouncer.transactions": "xact_count", "pgbouncer.queries": "query_count", "pgbouncer.received.bytes": "bytes_received",
+    "pgbouncer.sent.bytes": "bytes_sent", "pgbouncer.transactions.time": "xact_time",
+    "pgbouncer.transactions.time.avg": ratio4("xact_time", "xact_count"), "pgbouncer.queries.time": "query_time",
+    "pgbouncer.queries.time.avg": ratio4("query_time", "query_count"), "pgbouncer.wait.time": "wait_time",
+}) + ")"
+oracle("pooler_delta", "pooler_totals " + _pooler_fix, "select * from pdelta", POOLER_META, PTOTALS, PDELTA)
+
+_dc = ("xact_commit xact_rollback blks_read blks_hit tup_returned tup_fetched tup_inserted tup_updated tup_deleted "
+       "conflicts temp_files temp_bytes deadlocks blk_read_time blk_write_time").split()
+DDELTA = lag_delta("db_stats", "dd", _dc) + ", ddelta AS (" + union_metrics("dd", {
+    "query.transactions.committed": "xact_commit", "query.transactions.rolledback": "xact_rollback",
+    "query.rows.returned": "tup_returned", "query.rows.fetched": "tup_fetched", "query.rows.inserted": "tup_inserted",
+    "query.rows.updated": "tup_updated", "query.rows.deleted": "tup_deleted", "query.conflicts": "conflicts",
+    "query.deadlocks": "deadlocks", "disk.temp.files": "temp_files", "disk.temp.bytes": "temp_bytes",
+    "disk.io.blocks.read": "blks_read", "disk.io.blocks.hit": "blks_hit",
+    "disk.io.blocks.hit.percent": hit("blks_hit", "blks_read"),
+    "disk.io.blocks.read.time": "blk_read_time", "disk.io.blocks.write.time": "blk_write_time",
+}, "'database/' || database") + ")"
+oracle("database_delta", "db_stats", "select * from ddelta", DDELTA)
+
+# ---- bloat -----------------------------------------------------------------------------
+
+# the correlated subquery as written
+BCOLS = f"""bcols AS (
+  select {pick(K, 's')}, s.schemaname, s.tablename, sum((1 - s.null_frac) * s.avg_width) as datawidth, max(s.null_frac) as maxfracsum,
+         23 + (select 1 + count(*) // 8 from pg_stats s2 where null_frac <> 0 and {on(K, 's2', 's')}
+               and s2.schemaname = s.schemaname and s2.tablename = s.tablename) as nullhdr
+  from pg_stats s group by all)"""
+BINFO = f"""binfo AS (
+  select {K}, schemaname, tablename, datawidth + (23 + 4 - (case when 23 % 4 = 0 then 4 else 23 % 4 end)) as datahdr,
+         maxfracsum * (nullhdr + 4 - (case when nullhdr % 4 = 0 then 4 else nullhdr % 4 end)) as nullhdr2
+  from bcols), btab AS (
+  select {pick(KA, 'c')}, b.schemaname, b.tablename, b.datahdr, b.nullhdr2, c.oid, c.relpages, c.reltuples
+  from binfo b join pg_class c on {on(K, 'b', 'c')} and c.relname = b.tablename
+  join pg_namespace n on {on(K, 'c', 'n')} and n.oid = c.relnamespace and n.nspname = b.schemaname
+    and n.nspname not in ('pg_catalog', 'information_schema', 'pg_toast'))"""
+
+
+def rounded(pages: str, expected: str) -> str:
+    return f"cast(round(cast({pages} as decimal(28,10)) * 1.0 / {expected}, 1) as double)"
+
+
+def bloat_ratio(pages: str, expected: str, zero: str) -> str:
+    # half away from zero on the exact quotient: integers only
+    p, e = f"cast({pages} as hugeint)", f"cast({expected} as hugeint)"
+    sign = f"(case when {e} < 0 then -1 else 1 end)"
+    return (
+        f"(case when {zero} then 0.0e0 else {sign} * (cast((20 * {p} + abs({e})) // (2 * abs({e})) as double) / 10.0e0) end)"
+    )
+
+
+BTABLES = f"""btables AS (
+  select {KA}, 'table' as type, schemaname, tablename as name, {bloat_ratio('relpages', 'otta', 'otta = 0')} as bloat,
+         case when relpages < otta then 0 else 8192 * (relpages - otta) end as waste
+  from (select *, cast(ceil(reltuples * ((datahdr + 4 - (case when datahdr % 4 = 0 then 4 else datahdr % 4 end)) + nullhdr2 + 4) / (8192 - 20.0e0)) as bigint) as otta
+        from btab) t)"""
+BINDEXES = f"""bindexes AS (
+  select {KA}, 'index' as type, schemaname, name, {bloat_ratio('ipages', 'iotta', 'iotta = 0 or ipages = 0')} as bloat,
+         case when ipages < iotta then 0 else 8192 * (ipages - iotta) end as waste
+  from (select {pick(KA, 'b')}, b.schemaname, coalesce(c2.relname, '?') as name, coalesce(c2.relpages, 0) as ipages,
+               cast(coalesce(ceil(c2.reltuples * (b.datahdr - 12) / (8192 - 20.0e0)), 0) as bigint) as iotta
+        from btab b join pg_index i on {on(K, 'b', 'i')} and i.indrelid = b.oid
+        join pg_class c2 on {on(K, 'b', 'c2')} and c2.oid = i.indexrelid) x)"""
+BLOAT = "bloat AS (select * from btables union select * from bindexes)"
+oracle("bloat_columns", "pg_stats", "select * from bcols", BCOLS)
+oracle("bloat_tables", "pg_stats pg_class pg_namespace", "select * from btables", BCOLS, BINFO, BTABLES)
+oracle("bloat_indexes", "pg_stats pg_class pg_namespace pg_index", "select * from bindexes", BCOLS, BINFO, BINDEXES)
+_bloat_fix = "pg_stats pg_class pg_namespace pg_index"
+_bloat = (BCOLS, BINFO, BTABLES, BINDEXES, BLOAT)
+oracle("bloat_report", _bloat_fix, "select * from bloat", *_bloat)
+
+# ---- stitching and growth ------------------------------------------------------------------
+
+oracle(
+    "attach_columns", "pg_class pg_namespace columns",
+    f"""select {pick(K, 's')}, s.schema, s.name, cast(count(c.name) as int) as n_columns,
+               string_agg(c.name || ':' || c.type || coalesce(':' || cast(c.precision as string), ''), ',' order by c.name) as column_list
+        from sizes s left join cols c on {on(K, 's', 'c')} and c.schema = s.schema and c.table_name = s.name
+        group by all""",
+    SIZES, COLUMNS,
+)
+_counters = [*_stat_map, *_toast_map]
+WITH_STATS = f"""with_stats AS (
+  select s.*, {', '.join(f'coalesce(t.{c}, 0) as {c}' for c in _counters)}, {', '.join(f't.{c}' for c in _time_map)}
+  from sizes s left join tstats t on {on(K, 's', 't')} and t.schema = s.schema and t.name = s.name)"""
+oracle("attach_table_stats", "pg_class pg_namespace table_stat table_statio", "select * from with_stats", SIZES, TSTATS, WITH_STATS)
+
+LAST_BLOAT = f"""last_bloat AS (
+  select * from bloat qualify row_number() over (partition by {K}, type, schemaname, name order by waste, bloat) = 1)"""
+
+
+def with_bloat(source: str, kind: str) -> str:
+    return (
+        f"(select o.*, coalesce(b.waste, 0) as bloat_bytes_total, coalesce(b.bloat, 0) as bloat_factor from {source} o "
+        f"left join last_bloat b on {on(K, 'o', 'b')} and b.type = '{kind}' and b.schemaname = o.schema and b.name = o.name)"
+    )
+
+
+oracle(
+    "attach_bloat", _index_fix + " pg_stats",
+    f"""select 'table' as kind, {K}, schema, name, bloat_bytes_total, bloat_factor from {with_bloat('sizes', 'table')} t
+        union all select 'index', {K}, schema, name, bloat_bytes_total, bloat_factor from {with_bloat('indexes', 'index')} i""",
+    SIZES, INDEXES, *_bloat, LAST_BLOAT,
+)
+oracle(
+    "schema_tree", _index_fix + " schemata",
+    f"""select {pick(K, 'u')}, u.schema_name as schema, t.name as table_name, t.total_bytes_total,
+          (select string_agg(i.name, ',' order by i.name) from indexes i
+           where {on(K, 'i', 't')} and i.schema = t.schema and i.table_name = t.name) as index_names
+        from user_schemas u left join sizes t on {on(K, 'u', 't')} and t.schema = u.schema_name""",
+    SCHEMAS, SIZES, INDEXES,
+)
+
+TDELTA = f"""tobj AS (
+  select * from {with_bloat('with_stats', 'table')} t
+  where exists (select 1 from user_schemas u where {on(K, 'u', 't')} and u.schema_name = t.schema)
+), tdelta AS (
+  select *, {hit('blocks_hit', 'blocks_read')} as blocks_hit_percent from (
+    select {pick(KA, 'n')}, n.schema, n.name,
+      {', '.join(f'n.{t}_bytes_total - p.{t}_bytes_total as {t}_bytes' for t in ('total', 'index', 'toast', 'table'))},
+      n.total_bytes_total, n.index_bytes_total, n.toast_bytes_total, n.table_bytes_total, n.bloat_bytes_total,
+      n.live_row_estimate_total, n.dead_row_estimate_total,
+      case when n.bloat_bytes_total > p.bloat_bytes_total then n.bloat_bytes_total - p.bloat_bytes_total else 0 end as bloat_bytes,
+      n.bloat_factor, n.live_row_estimate_total - p.live_row_estimate_total as live_row_estimate,
+      case when n.dead_row_estimate_total > p.dead_row_estimate_total then n.dead_row_estimate_total - p.dead_row_estimate_total else 0 end as dead_row_estimate,
+      n.modified_rows_since_analyze, {', '.join(f'n.{c}' for c in _time_map)},
+      {', '.join(f'n.{c} - p.{c} as {c}' for c in _counters if 'estimate' not in c and not c.startswith('modified'))}
+    from tobj n join tobj p on {on(S, 'n', 'p')} and n.schema = p.schema and n.name = p.name and n.poll_seq = p.poll_seq + 1) d)"""
+_t_fix = "pg_class pg_namespace table_stat table_statio pg_stats pg_index schemata"
+_t_ctes = (SIZES, TSTATS, WITH_STATS, *_bloat, LAST_BLOAT, SCHEMAS, TDELTA)
+oracle("table_delta", _t_fix, "select * from tdelta", *_t_ctes)
+
+IDELTA = f"""iobj AS (select * from {with_bloat('flagged', 'index')} i), idelta AS (
+  select {pick(KA, 'n')}, n.schema, n.table_name, n.name, n."unique", n.unused, n.valid, n.definition,
+         n.bytes_total - p.bytes_total as bytes, n.bytes_total,
+         greatest(n.bloat_bytes_total - p.bloat_bytes_total, 0) as bloat_bytes, n.bloat_bytes_total, n.bloat_factor,
+         n.scans - p.scans as scans, n.blocks_read - p.blocks_read as blocks_read, n.blocks_hit - p.blocks_hit as blocks_hit
+  from iobj n join iobj p on {on(S, 'n', 'p')} and n.schema = p.schema and n.table_name = p.table_name and n.name = p.name
+   and n.poll_seq = p.poll_seq + 1)"""
+_i_fix = _index_fix + " pg_constraint pg_stats"
+_i_ctes = (INDEXES, UNUSED, FLAGGED, *_bloat, LAST_BLOAT, IDELTA)
+oracle("index_delta", _i_fix, "select * from idelta", *_i_ctes)
+oracle(
+    "schema_report_gate", _t_fix,
+    f"""select {pick(KA, 'u')}, u.schema_name as schema, d.name, d.total_bytes, d.dead_row_estimate
+        from user_schemas u left join tdelta d on {on(K, 'u', 'd')} and d.schema = u.schema_name where u.poll_seq > 1""",
+    *_t_ctes,
+)

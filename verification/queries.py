@@ -77,3 +77,295 @@ def _(spark, sf):
 @query("top_queries")
 def _(spark, sf):
     return top_queries(*_statement_inputs(spark, sf))
+
+
+# ---- servers, settings, catalog --------------------------------------------
+
+from fleetlens.operators import bloat as bl  # noqa: E402
+from fleetlens.operators import catalog as cat  # noqa: E402
+from fleetlens.operators import growth as gr  # noqa: E402
+from fleetlens.operators import metrics as mt  # noqa: E402
+from fleetlens.operators import pooler as pl  # noqa: E402
+from fleetlens.operators import replication as rp  # noqa: E402
+from fleetlens.operators import servers as sv  # noqa: E402
+
+
+def _fix(spark, sf, *names):
+    return [fixture(spark, sf, n) for n in names]
+
+
+@query("server_identity")
+def _(spark, sf):
+    return sv.server_identity(fixture(spark, sf, "config_vars"))
+
+
+@query("connections_used")
+def _(spark, sf):
+    return mt.connections_used(*_fix(spark, sf, "activity", "settings"))
+
+
+@query("max_connections")
+def _(spark, sf):
+    return sv.max_connections(fixture(spark, sf, "settings"))
+
+
+@query("server_version")
+def _(spark, sf):
+    return sv.server_version(fixture(spark, sf, "settings"))
+
+
+@query("platform_flag")
+def _(spark, sf):
+    return sv.platform_flag(fixture(spark, sf, "schemata"))
+
+
+def _pooler_metadata(spark, sf):
+    return pl.pooler_metadata(*_fix(spark, sf, "pooler_versions", "pooler_pools", "pooler_databases"))
+
+
+def _metadata(spark, sf):
+    polls, settings, schemata = _fix(spark, sf, "polls_table", "settings", "schemata")
+    return sv.server_metadata(
+        polls, sv.server_version(settings), sv.max_connections(settings), sv.platform_flag(schemata),
+        _pooler_metadata(spark, sf),
+    )
+
+
+@query("server_metadata")
+def _(spark, sf):
+    return _metadata(spark, sf).select(
+        *POLL_AT, "version", "max_connections", "platform", "monitored_at",
+        F.col("pooler.max_server_connections").alias("pooler_limit"),
+        F.col("pooler.version").alias("pooler_version"),
+    )
+
+
+@query("schemata_user")
+def _(spark, sf):
+    return cat.schemata_user(fixture(spark, sf, "schemata"))
+
+
+@query("table_sizes")
+def _(spark, sf):
+    return cat.table_sizes(*_fix(spark, sf, "pg_class", "pg_namespace"))
+
+
+@query("table_columns")
+def _(spark, sf):
+    return cat.table_columns(fixture(spark, sf, "columns"))
+
+
+@query("table_stats")
+def _(spark, sf):
+    return cat.table_stats(*_fix(spark, sf, "table_stat", "table_statio"))
+
+
+def _indexes(spark, sf):
+    return cat.index_stats(
+        *_fix(spark, sf, "pg_index", "pg_class", "pg_namespace", "index_stat", "index_statio", "pg_indexes")
+    )
+
+
+def _unused(spark, sf):
+    return cat.unused_indexes(*_fix(spark, sf, "index_stat", "pg_index", "pg_constraint"))
+
+
+@query("index_stats")
+def _(spark, sf):
+    return _indexes(spark, sf)
+
+
+@query("unused_indexes")
+def _(spark, sf):
+    return _unused(spark, sf)
+
+
+@query("index_unused_flag")
+def _(spark, sf):
+    return cat.index_unused_flag(_indexes(spark, sf), _unused(spark, sf))
+
+
+@query("cache_hit_rates")
+def _(spark, sf):
+    return mt.cache_hit_rates(*_fix(spark, sf, "index_statio", "table_statio"))
+
+
+@query("settings_snapshot")
+def _(spark, sf):
+    return sv.settings_snapshot(fixture(spark, sf, "settings"))
+
+
+# ---- replication and pooler --------------------------------------------------
+
+
+def _interval_parts(df, *names):
+    for name in names:
+        for part in ("months", "days", "micros"):
+            df = df.withColumn(f"{name}_{part}", F.col(f"{name}.{part}"))
+    return df.drop(*names)
+
+
+def _clients(spark, sf):
+    return rp.replica_clients(fixture(spark, sf, "replication_clients"))
+
+
+def _self(spark, sf):
+    return rp.replica_self(*_fix(spark, sf, "wal_receiver", "activity", "known_servers"))
+
+
+@query("replica_clients")
+def _(spark, sf):
+    return _interval_parts(_clients(spark, sf), "write_lag", "flush_lag", "replay_lag").withColumn(
+        "backend_start", F.unix_seconds("backend_start")
+    )
+
+
+@query("replica_self")
+def _(spark, sf):
+    return _interval_parts(_self(spark, sf), "lag")
+
+
+@query("replication_lag_metrics")
+def _(spark, sf):
+    return rp.replication_lag_metrics(_self(spark, sf), _clients(spark, sf))
+
+
+@query("pooler_totals")
+def _(spark, sf):
+    return pl.pooler_totals(fixture(spark, sf, "pooler_totals"))
+
+
+@query("pooler_pools")
+def _(spark, sf):
+    return pl.pooler_pools(fixture(spark, sf, "pooler_pools"), _pooler_metadata(spark, sf))
+
+
+@query("pooler_metadata")
+def _(spark, sf):
+    return _pooler_metadata(spark, sf)
+
+
+@query("pooler_delta")
+def _(spark, sf):
+    return pl.pooler_delta(pl.pooler_totals(fixture(spark, sf, "pooler_totals")), _pooler_metadata(spark, sf))
+
+
+@query("database_delta")
+def _(spark, sf):
+    return mt.database_delta(fixture(spark, sf, "db_stats"))
+
+
+# ---- bloat ---------------------------------------------------------------------
+
+
+def _bloat_tables(spark, sf):
+    stats, classes, spaces = _fix(spark, sf, "pg_stats", "pg_class", "pg_namespace")
+    return bl.bloat_tables(bl.bloat_columns(stats), classes, spaces)
+
+
+def _bloat_indexes(spark, sf):
+    stats, classes, spaces, index = _fix(spark, sf, "pg_stats", "pg_class", "pg_namespace", "pg_index")
+    return bl.bloat_indexes(bl.bloat_columns(stats), classes, spaces, index)
+
+
+def _bloat(spark, sf):
+    return bl.bloat_report(_bloat_tables(spark, sf), _bloat_indexes(spark, sf))
+
+
+@query("bloat_columns")
+def _(spark, sf):
+    return bl.bloat_columns(fixture(spark, sf, "pg_stats"))
+
+
+@query("bloat_tables")
+def _(spark, sf):
+    return _bloat_tables(spark, sf)
+
+
+@query("bloat_indexes")
+def _(spark, sf):
+    return _bloat_indexes(spark, sf)
+
+
+@query("bloat_report")
+def _(spark, sf):
+    return _bloat(spark, sf)
+
+
+# ---- stitching and growth --------------------------------------------------------
+
+
+def _sizes(spark, sf):
+    return cat.table_sizes(*_fix(spark, sf, "pg_class", "pg_namespace"))
+
+
+def _with_stats(spark, sf):
+    return cat.attach_table_stats(
+        _sizes(spark, sf), cat.table_stats(*_fix(spark, sf, "table_stat", "table_statio"))
+    )
+
+
+def _schemas(spark, sf):
+    return cat.schemata_user(fixture(spark, sf, "schemata"))
+
+
+def _tables(spark, sf):
+    tables = cat.attach_bloat(_with_stats(spark, sf), _bloat(spark, sf), "table")
+    return cat.in_user_schemas(tables, _schemas(spark, sf))
+
+
+def _index_objects(spark, sf):
+    flagged = cat.index_unused_flag(_indexes(spark, sf), _unused(spark, sf))
+    return cat.attach_bloat(flagged, _bloat(spark, sf), "index")
+
+
+@query("attach_columns")
+def _(spark, sf):
+    tables = cat.attach_columns(_sizes(spark, sf), cat.table_columns(fixture(spark, sf, "columns")))
+    return tables.select(
+        *POLL, "schema", "name", F.coalesce(F.size("columns"), F.lit(0)).alias("n_columns"),
+        F.array_join(F.transform("columns", lambda c: F.concat_ws(":", c["name"], c["type"], c["precision"])), ",")
+        .alias("column_list"),
+    ).withColumn("n_columns", F.greatest("n_columns", F.lit(0)))
+
+
+@query("attach_table_stats")
+def _(spark, sf):
+    return _with_stats(spark, sf)
+
+
+@query("attach_bloat")
+def _(spark, sf):
+    tables = cat.attach_bloat(_sizes(spark, sf), _bloat(spark, sf), "table")
+    indexes = cat.attach_bloat(_indexes(spark, sf), _bloat(spark, sf), "index")
+    keep = [*POLL, "schema", "name", "bloat_bytes_total", "bloat_factor"]
+    return (
+        tables.select(F.lit("table").alias("kind"), *keep)
+        .unionAll(indexes.select(F.lit("index").alias("kind"), *keep))
+    )
+
+
+@query("schema_tree")
+def _(spark, sf):
+    tree = cat.schema_tree(_schemas(spark, sf), _sizes(spark, sf), _indexes(spark, sf))
+    return tree.select(*POLL, "schema", F.explode_outer("tables").alias("t")).select(
+        *POLL, "schema", F.col("t.name").alias("table_name"),
+        F.col("t.total_bytes_total").alias("total_bytes_total"),
+        F.array_join("t.indexes.name", ",").alias("index_names"),
+    )
+
+
+@query("table_delta")
+def _(spark, sf):
+    return gr.table_delta(_tables(spark, sf))
+
+
+@query("index_delta")
+def _(spark, sf):
+    return gr.index_delta(_index_objects(spark, sf))
+
+
+@query("schema_report_gate")
+def _(spark, sf):
+    gated = gr.schema_report_gate(_schemas(spark, sf), gr.table_delta(_tables(spark, sf)))
+    return gated.select(*POLL_AT, "schema", "name", "total_bytes", "dead_row_estimate")
