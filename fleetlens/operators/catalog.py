@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.operators.rows import drop_nulls
 from fleetlens.schemas import POLL, POLL_AT, REQUIRED
 
 # --- fixed values: system schemas -----------------------------------------
@@ -97,8 +98,7 @@ def table_columns(columns: DataFrame, ordered: bool = False) -> DataFrame:
     """
     numeric = F.col("data_type") == "numeric"
     out = (
-        columns.filter(is_user_schema(F.col("table_schema")))
-        .dropna(subset=REQUIRED["columns"])
+        drop_nulls(columns.filter(is_user_schema(F.col("table_schema"))), REQUIRED["columns"])
         .select(
             *POLL_AT,
             F.col("table_schema").alias("schema"),
@@ -129,12 +129,8 @@ def table_stats(stat: DataFrame, statio: DataFrame) -> DataFrame:
     index have NULL index counters).
     """
     io = statio.select(*POLL, "relid", *[c for c in statio.columns if c.endswith(("_read", "_hit"))])
-    joined = (
-        stat.filter(is_user_schema(F.col("schemaname")))
-        .join(io, [*POLL, "relid"])
-        .dropna(subset=[*TABLE_STATS.values()])
-    )
-    return joined.select(
+    joined = stat.filter(is_user_schema(F.col("schemaname"))).join(io, [*POLL, "relid"])
+    return drop_nulls(joined, TABLE_STATS.values()).select(
         *POLL_AT,
         F.col("schemaname").alias("schema"),
         F.col("relname").alias("name"),
@@ -168,7 +164,7 @@ def index_stats(
         *POLL, F.col("oid").alias("indrelid"), F.col("relname").alias("table_name")
     )
     by_index = [*POLL, "indexrelid"]
-    return (
+    joined = (
         pg_index.select(*POLL_AT, "indexrelid", "indrelid", F.col("indisunique").alias("unique"),
                         F.col("indisvalid").alias("valid"))
         .join(index_stat.select(*by_index, F.col("idx_scan").alias("scans")), by_index)
@@ -183,10 +179,9 @@ def index_stats(
             pg_indexes.select(*POLL, F.col("indexname").alias("name"), F.col("indexdef").alias("definition")),
             [*POLL, "name"],
         )
-        .dropna(subset=["unique", "valid", "bytes_total", "scans", "blocks_read", "blocks_hit", "definition"])
-        .select(*POLL_AT, "schema", "table_name", "name", "unique", "valid", "bytes_total", "scans",
-                "blocks_read", "blocks_hit", "definition")
     )
+    values = ["unique", "valid", "bytes_total", "scans", "blocks_read", "blocks_hit", "definition"]
+    return drop_nulls(joined, values).select(*POLL_AT, "schema", "table_name", "name", *values)
 
 
 def unused_indexes(

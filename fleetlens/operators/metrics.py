@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.numeric import hit_ratio, round_up4
 from fleetlens.operators.deltas import lag_pairs
+from fleetlens.operators.rows import drop_nulls
 from fleetlens.schemas import DB_COUNTERS, POLL, POLL_AT, REQUIRED, SERVER
 
 METRIC = [*POLL_AT, "name", "entity", "value"]
@@ -73,7 +74,7 @@ def database_delta(db_stats: DataFrame) -> DataFrame:
 
     Resets show as negative values; the first poll of a server emits nothing.
     """
-    pairs = lag_pairs(db_stats.dropna(subset=REQUIRED["db_stats"]), SERVER, DB_COUNTERS)
+    pairs = lag_pairs(drop_nulls(db_stats, REQUIRED["db_stats"]), SERVER, DB_COUNTERS)
     changed = pairs.filter(F.col("prev").isNotNull()).select(
         *POLL_AT, *[(F.col(c) - F.col(f"prev.{c}")).alias(c) for c in DB_COUNTERS]
     )

@@ -9,6 +9,7 @@ from fleetlens.functions import text as tx
 from fleetlens.functions.numeric import ratio4
 from fleetlens.functions.version import version_gte
 from fleetlens.operators.deltas import adjacent_pairs
+from fleetlens.operators.rows import drop_nulls
 from fleetlens.schemas import BLOCK_COUNTERS, POLL, POLL_AT, REQUIRED, SERVER
 
 NEW_TIME_NAMES_SINCE = "13.0"
@@ -32,13 +33,13 @@ def statement_stats(statements: DataFrame, databases: DataFrame, versions: DataF
         f"{kind}_time": F.when(new_names, F.col(f"{kind}_exec_time")).otherwise(F.col(f"{kind}_time"))
         for kind in ("total", "min", "max")
     }
-    return (
-        statements.join(current, [*POLL, "dbid"])
+    timed = (
+        drop_nulls(statements, REQUIRED["statements"])
+        .join(current, [*POLL, "dbid"])
         .join(versions.select(*SERVER, "version"), SERVER, "left")
         .withColumns(times)
-        .dropna(subset=[*REQUIRED["statements"], "total_time", "min_time", "max_time"])
-        .select(*POLL_AT, "ord", "query_id", "query", *COUNTERS, *GAUGES)
     )
+    return drop_nulls(timed, times).select(*POLL_AT, "ord", "query_id", "query", *COUNTERS, *GAUGES)
 
 
 def normalize_text(

@@ -191,9 +191,9 @@ def statements_raw(d: Dialect) -> str:
            cents_max / 524288.0e0 as max_exec_time,
            cents * (2 + copy) / 524288.0e0 as total_time, cents_min / 262144.0e0 as min_time,
            cents_max / 262144.0e0 as max_time,
-           qty as "rows", s7 as shared_blks_hit, s5 as shared_blks_read, calls as shared_blks_dirtied,
+           qty as "rows", s7 as shared_blks_hit, s5 as shared_blks_read, calls * 2 as shared_blks_dirtied,
            s7 + s5 as shared_blks_written, s7 * 2 as local_blks_hit, s5 * 2 as local_blks_read,
-           calls as local_blks_dirtied, s5 as local_blks_written, s7 as temp_blks_read, s5 as temp_blks_written,
+           calls * 3 as local_blks_dirtied, s5 + 1 as local_blks_written, s7 + 2 as temp_blks_read, s5 + 3 as temp_blks_written,
            disc / 4.0e0 as blk_read_time, tax / 4.0e0 as blk_write_time
     from (
       select letter, shard, query_id, poll_seq, {run['n']} as calls, {run['qty']} as qty, {run['cents']} as cents,
@@ -349,24 +349,24 @@ def table_stat(d: Dialect) -> str:
            r_n as seq_scan, r_n * 10 as seq_tup_read,
            case when tbl % 9 = 4 then null else r_c11 end as idx_scan,
            case when tbl % 9 = 4 then null else r_c11 * 3 end as idx_tup_fetch,
-           r_n as n_tup_ins, r_c11 as n_tup_upd, r_n * 2 as n_tup_del,
+           r_n + 1 as n_tup_ins, r_c11 + 1 as n_tup_upd, r_n * 2 as n_tup_del,
            last_order % 1000 as n_live_tup, last_order % 100 as n_dead_tup, last_order % 50 as n_mod_since_analyze,
            {d.ts('last_at')} as last_vacuum,
            case when tbl % 2 = 0 then null else {d.ts('last_at + 60')} end as last_autovacuum,
            {d.ts('last_at + 3600')} as last_analyze,
            case when tbl % 5 = 0 then {d.ts('last_at + 86400')} else null end as last_autoanalyze,
-           r_n as vacuum_count, r_c11 as autovacuum_count, r_n as analyze_count, r_c11 as autoanalyze_count
+           r_n + 2 as vacuum_count, r_c11 + 2 as autovacuum_count, r_n + 3 as analyze_count, r_c11 + 3 as autoanalyze_count
     from table_rows"""
 
 
 def table_statio(d: Dialect) -> str:
     return f"""
     select {_server()}, 1000 + tbl as relid,
-           r_n * 3 as heap_blks_read, r_c11 * 5 as heap_blks_hit, r_n as idx_blks_read, r_c11 as idx_blks_hit,
-           case when tbl % 4 = 0 then null else r_n end as toast_blks_read,
-           case when tbl % 4 = 0 then null else r_c11 end as toast_blks_hit,
-           case when tbl % 4 = 1 then null else r_n end as tidx_blks_read,
-           case when tbl % 4 = 1 then null else r_c11 end as tidx_blks_hit
+           r_n * 3 as heap_blks_read, r_c11 * 5 as heap_blks_hit, r_n + 4 as idx_blks_read, r_c11 + 4 as idx_blks_hit,
+           case when tbl % 4 = 0 then null else r_n + 5 end as toast_blks_read,
+           case when tbl % 4 = 0 then null else r_c11 + 5 end as toast_blks_hit,
+           case when tbl % 4 = 1 then null else r_n + 6 end as tidx_blks_read,
+           case when tbl % 4 = 1 then null else r_c11 + 6 end as tidx_blks_hit
     from table_rows"""
 
 
@@ -428,8 +428,8 @@ def db_stats(d: Dialect) -> str:
         dbl("n", "xact_commit"), dbl("n_error", "xact_rollback"), dbl("n_view", "blks_read"),
         dbl("k", "blks_hit"), dbl("k * 2", "tup_returned"), dbl("k + n", "tup_fetched"),
         dbl("n_purchase", "tup_inserted"), dbl("n_click", "tup_updated"), dbl("n_error * 3", "tup_deleted"),
-        dbl("n_error", "conflicts"), dbl("n_view", "temp_files"), dbl("cents", "temp_bytes"),
-        dbl("n_error", "deadlocks"), "cents / 128.0e0 as blk_read_time", "cents / 1024.0e0 as blk_write_time",
+        dbl("n_error + 1", "conflicts"), dbl("n_view * 2", "temp_files"), dbl("cents", "temp_bytes"),
+        dbl("n_error * 2", "deadlocks"), "cents / 128.0e0 as blk_read_time", "cents / 1024.0e0 as blk_write_time",
     ]
     return f"""
     select {_server()}, {', '.join(cols)}
