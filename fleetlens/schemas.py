@@ -160,6 +160,8 @@ REQUIRED: dict[str, list[str]] = {
         "port", "db", "pool_size", "reserve_pool", "max_connections", "current", "paused", "disabled",
     ],
     "schemata": ["schema_name"],
+    "index_stat": ["idx_scan"],
+    "index_statio": ["idx_blks_read", "idx_blks_hit"],
     "columns": ["table_schema", "table_name", "column_name", "data_type"],
     "settings": [
         "name", "setting", "category", "short_desc", "context", "vartype", "source", "pending_restart",

@@ -597,3 +597,341 @@ oracle(
         from user_schemas u left join tdelta d on {on(K, 'u', 'd')} and d.schema = u.schema_name where u.poll_seq > 1""",
     *_t_ctes,
 )
+
+# ---- scalar functions ------------------------------------------------------------------
+
+LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+_v = "l_extendedprice / 7.0e0 * l_discount"
+oracle("fn_round_up", "", f"select {LINE}, {up(_v, 2)} as up2, {up(_v, 4)} as up4 from lineitem")
+oracle("fn_ratio4", "", f"select {LINE}, {ratio4('l_extendedprice', 'l_discount')} as ratio from lineitem")
+oracle("fn_hit_ratio", "", f"select {LINE}, {hit('(l_partkey % 50)', '(l_suppkey % 10)')} as ratio from lineitem")
+
+_nums = "list_transform(string_split({c}, '.'), lambda x: cast(x as bigint)) || [0, 0, 0]"
+_ok = r"regexp_matches({c}, '^[0-9]+(\.[0-9]+)*$')"
+_cmp = (
+    f"case when not {_ok.format(c='left_version')} or not {_ok.format(c='right_version')} then null "
+    "when l < r then -1 when l > r then 1 else 0 end"
+)
+oracle(
+    "fn_version_cmp", "versions",
+    f"""select {LINE}, cmp, coalesce(cmp > 0, false) as gt, coalesce(cmp >= 0, false) as gte
+        from (select *, {_cmp} as cmp from (
+          select *, case when {_ok.format(c='left_version')} then ({_nums.format(c='left_version')})[1:3] end as l,
+                    case when {_ok.format(c='right_version')} then ({_nums.format(c='right_version')})[1:3] end as r from versions) n) c""",
+)
+
+
+def text_oracle(name: str, select: str, where: str = "true") -> None:
+    oracle(name, "corpus", f"select row_key{select} from corpus where {where}")
+
+
+text_oracle("fn_clean_query", f", {clean('text')} as cleaned")
+text_oracle("fn_parse_comment", f", {comment('text')} as comment, {strip('text')} as query")
+text_oracle("fn_redact_ip", f", {redact('text')} as redacted")
+text_oracle("fn_obfuscate_query", f", {obfuscate('text')} as obfuscated")
+text_oracle("fn_truncate_query", f", {truncate('text', 5000)} as truncated")
+text_oracle("fn_is_agent_query", "", f"not contains({comment('text')}, '{AGENT}')")
+oracle(
+    "fn_fingerprint", "corpus",
+    f"select substr(md5({clean(obfuscate(strip('text')))}), 1, 10) as fingerprint, count(*) as n from corpus group by 1",
+)
+oracle(
+    "fn_missing_text", "statements_raw", f"select {K}, ord, query, fingerprint from norm",
+    f"stmt AS (select {KA}, ord, query_id, query, min_time, max_time, {cols(COUNTERS)} from statements_raw)", TEXT,
+)
+EXPLAIN = r"(?i)((?:=|>|<|~~|ANY \()\s*)" + PARAM
+
+
+def explain(x: str) -> str:
+    line = f"case when regexp_matches(l, '(?i)(Cond:|Filter:)') then regexp_replace(l, {q(EXPLAIN)}, '\\1?', 'g') else l end"
+    return f"array_to_string(list_transform(string_split({x}, chr(10)), lambda l: {line}), chr(10))"
+
+
+oracle("fn_obfuscate_explain", "explain_events", f"select event_id, {explain('plan')} as plan from explain_events")
+oracle(
+    "fn_conninfo", "conninfos",
+    f"select c_custkey, {conn_value('host')} as host, {conn_value('application_name')} as application_name from conninfos",
+)
+oracle(
+    "fn_lsn_diff", "replication_clients",
+    f"select {K}, ord, cast({lsn('sent_lsn')} - {lsn('replay_lsn')} as double) as bytes from replication_clients",
+)
+oracle(
+    "fn_interval_ms", "replication_clients",
+    f"select {K}, ord, {ms('write_lag')} as write_ms, {ms('replay_lag')} as replay_ms from replication_clients",
+)
+
+# ---- logs ----------------------------------------------------------------------------------
+
+SYSLOG = r"\d+ <\d+>\d+ (.*) host app (\w+(?:\.|-)\w+) -\s?\[?(\w+)?\]?\s?\[?(\d+)?(?:-\d+)?\]? (.*)"
+SLOW = r"sql_error_code = (\d+)\s*(.*)\s*LOG:\s+duration:\s+(\d+\.\d+) ms\s+execute <\w+>: (.*)"
+LINES = """lines AS (
+  select payload_id, received_at, cast(pos - 1 as int) as pos, line
+  from (select payload_id, received_at, unnest(string_split(body, chr(10))) as line,
+               generate_subscripts(string_split(body, chr(10)), 1) as pos from log_payloads) u)"""
+
+
+def group(x: str, pattern: str, n: int) -> str:
+    return f"regexp_extract({x}, {q(pattern)}, {n})"
+
+
+SYS = f"""sys AS (
+  select payload_id, received_at, pos, {group('line', SYSLOG, 1)} as timestamp, {group('line', SYSLOG, 2)} as process,
+         {group('line', SYSLOG, 3)} as color, {group('line', SYSLOG, 4)} as segment, {group('line', SYSLOG, 5)} as message
+  from lines where regexp_matches(line, {q(SYSLOG)}))"""
+
+
+def stamp(x: str, received: str = "received_at") -> str:
+    return f"coalesce(cast(floor(epoch(try_strptime({x}, '%Y-%m-%dT%H:%M:%S%z'))) as bigint), cast(floor(epoch({received})) as bigint))"
+
+
+def slow_fields(x: str) -> str:
+    return (
+        f"{group(x, SLOW, 1)} as sql_error_code, {trim_ws(group(x, SLOW, 2))} as metadata, "
+        f"cast({group(x, SLOW, 3)} as double) as duration_ms, {group(x, SLOW, 4)} as raw"
+    )
+
+
+def kv_rows(source: str, keep: str, message: str, at: str) -> str:
+    """Key and value rows: last token of a key wins, the time stamp comes first."""
+    return f"""select {keep}, key, value from (
+      select {keep}, 0 as i, 'timestamp' as key, cast({at} as string) as value from {source}
+      union all
+      select {keep}, i, replace(kv[1], 'sample#', '') as key, kv[2] as value from (
+        select {keep}, generate_subscripts(tokens, 1) as i, string_split(unnest(tokens), '=') as kv,
+               unnest(tokens) as token
+        from (select *, regexp_split_to_array({message}, {q(WS + '+')}) as tokens from {source}) t) k
+      where len(kv) = 2 and octet_length(encode(token)) >= 2) z
+      qualify row_number() over (partition by {keep}, key order by i desc) = 1"""
+
+
+PRE = """pre AS (
+  select * from log_payloads where contains(body, 'app postgres.') or contains(body, 'heroku-postgres') or contains(body, 'heroku-pgbouncer'))"""
+PLINES = LINES.replace("from log_payloads)", "from pre)")
+STITCH = """stitched AS (
+  select payload_id, received_at, min(pos) as pos, process, segment, arg_min(color, pos) as color,
+         arg_min(timestamp, pos) as timestamp, string_agg(message, '' order by pos) as message
+  from sys where message <> '' group by payload_id, received_at, process, segment)"""
+ROUTED = f"""routed AS (
+  select *, case when process = 'heroku-postgres' then 'metric'
+                 when starts_with(process, 'postgres.') and regexp_matches({trim_ws('message')}, {q(SLOW)}) then 'slow_query' end as branch
+  from stitched)"""
+_log = (PRE, PLINES, SYS, STITCH, ROUTED)
+
+oracle("fn_syslog_line", "log_payloads", "select * exclude (received_at) from sys", LINES, SYS)
+oracle("fn_log_timestamp", "log_payloads", f"select payload_id, pos, {stamp('timestamp')} as at from sys", LINES, SYS)
+oracle(
+    "fn_slow_query_line", "log_payloads",
+    f"select payload_id, pos, {slow_fields(trim_ws('line'))} from lines where regexp_matches(line, {q(SLOW)})", LINES,
+)
+oracle(
+    "fn_key_values", "log_payloads", kv_rows("lines", "payload_id, pos", "line", "cast(floor(epoch(received_at)) as bigint)"), LINES,
+)
+oracle(
+    "fn_omit_empty", "columns",
+    f"""select {K}, table_name, nullif(name, '') as name, nullif("default", '') as "default", nullif(type, '') as type,
+          case when nullable = 'YES' then true end as nullable, nullif(max_length, 0) as max_length,
+          nullif(precision, 0) as precision, nullif(scale, 0) as scale, nullif(interval_type, '') as interval_type,
+          case when is_identity = 'YES' then true end as is_identity from cols""",
+    COLUMNS,
+)
+oracle(
+    "src_log_payloads", "log_payloads",
+    """select payload_id, cast(floor(epoch(received_at)) as bigint) as received_at, cast(len(string_split(body, chr(10))) as int) as n_lines,
+              octet_length(encode(body)) as n_bytes from log_payloads""",
+)
+oracle("log_prefilter", "log_payloads", "select payload_id from pre", PRE)
+oracle(
+    "log_test_marker", "log_payloads",
+    """select cast(epoch(date_trunc('day', received_at)) as bigint) as report_start,
+              cast(floor(epoch(arg_max(received_at, payload_id))) as bigint) as log_test_received_at
+       from log_payloads where contains(body, 'NOTICE:  FLEET_AGENT_LOG_TEST') group by 1""",
+)
+oracle("log_stitch", "log_payloads", "select * exclude (received_at) from stitched", PRE, PLINES, SYS, STITCH)
+oracle("log_route", "log_payloads", "select payload_id, pos, branch from routed where branch is not null", *_log)
+oracle("stream_logs", "log_payloads", "select payload_id, pos, branch from routed where branch is not null", *_log)
+oracle(
+    "log_metrics", "log_payloads",
+    kv_rows("(select * from routed where branch = 'metric')", "payload_id, pos", "message", stamp("timestamp")), *_log,
+)
+SLOWQ = f"""slowq AS (
+  select payload_id, received_at, pos, color, {stamp('timestamp')} as measured_at, {slow_fields(trim_ws('message'))}
+  from routed where branch = 'slow_query'
+), slow_text AS (
+  select *, {clean(obfuscate(strip('raw')))} as cleaned from slowq where not contains({comment('raw')}, '{AGENT}')
+), slow_events AS (
+  select v.config_name, v.config_var_name, v.database, measured_at, payload_id, pos, sql_error_code,
+         substr(md5(cleaned), 1, 10) as fingerprint, {truncate('cleaned', 5000)} as query, raw,
+         cast(1 as bigint) as calls, duration_ms as total_time, duration_ms as min_time, duration_ms as max_time, 0.0e0 as mean_time
+  from slow_text t join (select * from servers qualify row_number() over (partition by config_name order by ord) = 1) v
+    on v.config_name = t.color)"""
+oracle("slow_query_events", "log_payloads servers", "select * from slow_events", *_log, SLOWQ)
+oracle(
+    "slow_query_report", "log_payloads servers",
+    """select config_name, fingerprint, query, count(*) as calls, min(min_time) as min_time, max(max_time) as max_time,
+              max(measured_at) as measured_at from slow_events group by all""",
+    *_log, SLOWQ,
+)
+THROTTLE = f"""recursive short AS (
+  select * from explain_events where octet_length(encode(raw)) <= 30000
+), emitted AS (
+  select fingerprint, min(measured_at) as measured_at from short group by 1
+  union all
+  select e.fingerprint, (select min(s.measured_at) from short s where s.fingerprint = e.fingerprint and s.measured_at >= e.measured_at + 3600)
+  from emitted e
+  where exists (select 1 from short s where s.fingerprint = e.fingerprint and s.measured_at >= e.measured_at + 3600)
+)"""
+_throttle_sql = (
+    f"select arg_min(s.event_id, s.event_id) as event_id, s.fingerprint, s.measured_at, {explain('arg_min(s.plan, s.event_id)')} as plan "
+    "from short s join emitted e on s.fingerprint = e.fingerprint and s.measured_at = e.measured_at group by s.fingerprint, s.measured_at"
+)
+for _key in ("explain_throttle", "stream_explain_throttle"):
+    oracle(_key, "explain_events", _throttle_sql, THROTTLE.replace("recursive ", ""))
+    ORACLES[_key] = ORACLES[_key].replace("WITH ", "WITH RECURSIVE ", 1)
+oracle(
+    "agent_log_stats", "log_payloads",
+    """select cast(epoch(date_trunc('hour', p.received_at)) as bigint) as report_start, count(*) as received,
+         count(*) filter (where p.payload_id in (select payload_id from pre)) as postgres,
+         cast(sum(coalesce(r.metric, 0) + coalesce(r.slow, 0)) as bigint) as handled, cast(sum(coalesce(r.metric, 0)) as bigint) as metric_lines,
+         cast(sum(coalesce(r.slow, 0)) as bigint) as slow_queries
+       from log_payloads p left join (
+         select payload_id, count(*) filter (where branch = 'metric') as metric, count(*) filter (where branch = 'slow_query') as slow
+         from routed group by 1) r using (payload_id) group by 1""",
+    *_log,
+)
+
+# ---- metrics and folding ---------------------------------------------------------------------
+
+oracle(
+    "metric_series", "metrics_long",
+    f"""select config_name, name, entity, cast(row_number() over (partition by config_name, name, entity order by ord) - 1 as int) as pos,
+               {up('value', 4)} as value, measured_at from metrics_long""",
+)
+_all_metrics = " union all by name ".join(
+    f"select {KA}, name, entity, value from {s}" for s in ("connections_m", "ddelta", "cache_m", "pdelta", "ppools", "lags")
+)
+_metric_fix = f"activity settings db_stats index_statio table_statio pooler_totals {_pooler_fix} {_repl_fix}"
+_metric_ctes = (CONNECTIONS, DDELTA, CACHE, POOLER_META, PTOTALS, PDELTA, PPOOLS, CLIENTS, SELF, LAGS)
+oracle("metric_stream", _metric_fix, _all_metrics, *_metric_ctes)
+oracle(
+    "append_stats", _stmt_fix + " log_payloads servers",
+    f"""select {S}, fingerprint, query, calls, total_time, measured_at from valid
+        union all select {S}, fingerprint, query, calls, total_time, measured_at from slow_events""",
+    SCAN, TEXT, DELTA, VALID, *_log, SLOWQ,
+)
+oracle(
+    "error_cap", "errors",
+    """select seq, cast(floor(epoch(event_time)) as bigint) as event_time, error, panic, stack_trace,
+              cast(epoch(d) as bigint) as report_start
+       from (select *, date_trunc('day', event_time) as d, row_number() over w as rn,
+                    min(seq) filter (where panic) over (partition by date_trunc('day', event_time)) as first_panic
+             from errors window w as (partition by date_trunc('day', event_time) order by seq)) e
+       where rn <= 10 or seq = first_panic""",
+)
+oracle(
+    "fold_servers", "server_records",
+    """select config_name, config_var_name, arg_max(monitored_at, ord) as monitored_at,
+         coalesce(arg_max(version, ord) filter (where version <> ''), '') as version,
+         coalesce(arg_max(max_connections, ord) filter (where max_connections <> 0), 0) as max_connections,
+         arg_min(platform, ord) as platform,
+         (select s2.pooler.version from server_records s2 where s2.config_name = s.config_name and s2.config_var_name = s.config_var_name order by ord limit 1) as pooler_version,
+         (select s2.pooler.max_server_connections from server_records s2 where s2.config_name = s.config_name and s2.config_var_name = s.config_var_name order by ord limit 1) as pooler_limit
+       from server_records s group by config_name, config_var_name""",
+)
+oracle(
+    "latest_database", "pg_class pg_namespace",
+    f"select * from sizes s where poll_seq = (select max(poll_seq) from sizes x where {on(S, 'x', 's')})", SIZES,
+)
+oracle(
+    "latest_replication", "wal_receiver activity known_servers",
+    f"select * exclude (lag) from self qualify row_number() over (partition by {S} order by poll_seq desc) = 1", SELF,
+)
+oracle(
+    "latest_settings", "settings",
+    ORACLES["settings_snapshot"][ORACLES["settings_snapshot"].rindex("select " + KA):]
+    + f" qualify row_number() over (partition by {S}, name order by poll_seq desc) = 1",
+)
+oracle(
+    "report_window", "",
+    """select cast(floor(epoch(ts) / 60) * 60 as bigint) as report_start, event_type, count(*) as n from events group by 1, 2""",
+)
+
+# ---- compositions -------------------------------------------------------------------------------
+
+_common = f"{KA}, schema, name, bloat_bytes, bloat_bytes_total, bloat_factor, blocks_read, blocks_hit"
+IHUNG = IDELTA.replace(
+    f"select * from {with_bloat('flagged', 'index')} i",
+    f"""select * from {with_bloat('flagged', 'index')} i
+        where exists (select 1 from user_schemas u where {on(K, 'u', 'i')} and u.schema_name = i.schema)
+          and exists (select 1 from sizes s where {on(K, 's', 'i')} and s.schema = i.schema and s.name = i.table_name)""",
+)
+oracle(
+    "schema_health", _t_fix + " " + _i_fix,
+    f"""select 'table' as kind, {_common}, total_bytes as bytes, total_bytes_total as bytes_total from tdelta
+        union all select 'index', {_common}, bytes, bytes_total from idelta""",
+    *_t_ctes, INDEXES, UNUSED, FLAGGED, IHUNG,
+)
+oracle(
+    "src_snapshots", "index_statio",
+    "select * from index_statio where idx_blks_read is not null and idx_blks_hit is not null",
+)
+oracle(
+    "stream_counter_delta", _stmt_fix,
+    f"""select {pick(KA, 'n')}, p.ord, n.query_id, n.calls - p.calls as calls, n.total_time - p.total_time as total_time, n.rows - p.rows as rows
+        from stmt p join (select * from stmt qualify row_number() over (partition by {K}, query_id order by ord) = 1) n
+          on {on(S, 'p', 'n')} and p.query_id = n.query_id and n.poll_seq = p.poll_seq + 1""",
+    SCAN,
+)
+
+AT = "1700000000 + 60 * {d}"
+_pay = "floor(payload_id / 2500)"
+REPORT = f"""pay AS (
+  select *, 'agent_' || cast(payload_id // 2500 as string) as agent_id, {AT.format(d='day(received_at)')} as at from log_payloads
+), wins AS (select agent_id, at // 60 * 60 as report_start, payload_id, at from pay
+), r_logs AS (
+  select w.agent_id, w.report_start, count(*) as n from wins w join routed r using (payload_id) where r.branch = 'metric' group by all
+), r_stats AS (
+  select w.agent_id, w.report_start, count(distinct w.payload_id) as received, count(r.payload_id) as handled
+  from wins w left join (select * from routed where branch is not null) r using (payload_id) group by all
+), r_tests AS (
+  select agent_id, at // 60 * 60 as report_start, arg_max(at, payload_id) as t from pay
+  where contains(body, 'NOTICE:  FLEET_AGENT_LOG_TEST') group by all
+), r_errs AS (
+  select agent_id, report_start, count(*) as n from (
+    select *, row_number() over w as rn, min(seq) filter (where panic) over (partition by agent_id, report_start) as fp
+    from (select *, 'agent_' || cast(seq // 10000 as string) as agent_id, ({AT.format(d='day(event_time)')}) // 60 * 60 as report_start from errors)
+    window w as (partition by agent_id, report_start order by seq)) where rn <= 10 or seq = fp group by all
+), r_servers AS (
+  select 'agent_' || string_split(config_name, '_')[-1] as agent_id, measured_at // 60 * 60 as report_start,
+         count(distinct config_name) as n, string_agg(distinct config_name, ',' order by config_name) as names
+  from server_records group by all
+)"""
+oracle(
+    "report_document", "log_payloads errors server_records",
+    """select agent_id, report_start, report_start + 60 as reported_at, cast(coalesce(l.n, 0) as int) as n_log_metrics,
+         cast(coalesce(s.n, 0) as int) as n_servers, cast(coalesce(e.n, 0) as int) as n_errors,
+         t.t as log_test_message_received_at, nullif(c.received, 0) as received, nullif(c.handled, 0) as handled, s.names as config_names
+       from r_servers s full join r_logs l using (agent_id, report_start) full join r_tests t using (agent_id, report_start)
+       full join r_stats c using (agent_id, report_start) full join r_errs e using (agent_id, report_start)
+       where l.n > 0 or s.n > 0 or t.t is not null""",
+    *_log, REPORT,
+)
+
+METADATA = f"""meta AS ({ORACLES['server_metadata'][ORACLES['server_metadata'].rindex('select ' + pick(KA, 'p')):]})"""
+oracle(
+    "servers_enriched", f"polls_table settings schemata {_pooler_fix} activity {_repl_fix} {_stmt_fix}",
+    f"""select m.poll_seq, m.config_name, m.config_var_name, nullif(m.platform, '') as platform, nullif(m.max_connections, 0) as max_connections,
+         m.version, m.monitored_at,
+         cast(coalesce((select count(distinct database) from user_schemas x where x.poll_seq = m.poll_seq and x.config_name = m.config_name and m.poll_seq > 1), 0) as int) as n_databases,
+         (select string_agg(schema_name, ',' order by schema_name) from user_schemas x where x.poll_seq = m.poll_seq and x.config_name = m.config_name and m.poll_seq > 1) as schema_names,
+         (select nullif(arg_max(application_name, database), '') from self x where x.poll_seq = m.poll_seq and x.config_name = m.config_name) as replica_name,
+         cast((select count(*) from clients x where x.poll_seq = m.poll_seq and x.config_name = m.config_name) as int) as n_replicas,
+         cast((select count(distinct (name, entity)) from connections_m x where x.poll_seq = m.poll_seq and x.config_name = m.config_name) as int) as n_metrics,
+         cast((select count(*) from tops x where x.poll_seq = m.poll_seq and x.config_name = m.config_name) as int) as n_queries,
+         coalesce((select max({up('total_time', 2)}) from tops x where x.poll_seq = m.poll_seq and x.config_name = m.config_name), 0.0e0) as max_time,
+         cast((select count(*) from settings x where x.poll_seq = m.poll_seq and x.config_name = m.config_name) as int) as n_settings
+       from meta m""",
+    VERSION, MAXCONN, PLATFORM, POOLER_META, METADATA, SCHEMAS, CLIENTS, SELF, CONNECTIONS,
+    SCAN, TEXT, DELTA, VALID, ROLLED, PLACED, worst("rolled").replace("c0 AS (select *", f"c0 AS (select {cols(STATS_ORDER)}"),
+    "tops AS (" + _union + " union all by name select *, 'missing_text' as category from placed where query = 'MISSING' and fingerprint = '')",
+)

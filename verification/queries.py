@@ -369,3 +369,502 @@ def _(spark, sf):
 def _(spark, sf):
     gated = gr.schema_report_gate(_schemas(spark, sf), gr.table_delta(_tables(spark, sf)))
     return gated.select(*POLL_AT, "schema", "name", "total_bytes", "dead_row_estimate")
+
+
+# ---- scalar functions over whole tables ------------------------------------------
+
+from fleetlens.operators import fold as fd  # noqa: E402
+from fleetlens.operators import logs as lg  # noqa: E402
+from fleetlens.operators import report as rep  # noqa: E402
+from fleetlens.plans import schema_health as sh  # noqa: E402
+from fleetlens.plans.fleet_report import ReportInputs, fleet_report  # noqa: E402
+from fleetlens.plans.metric_stream import metric_stream  # noqa: E402
+from fleetlens.plans.slow_query_report import slow_query_report  # noqa: E402
+from fleetlens.sources.tables import read_snapshot, typed_snapshot, write_report_json  # noqa: E402
+from fleetlens.sources.workspace import workspace  # noqa: E402
+from fleetlens.streaming.run import drain  # noqa: E402
+from fleetlens.streaming.state import stream_counter_delta, stream_explain_throttle  # noqa: E402
+
+
+def _table(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("fn_round_up")
+def _(spark, sf):
+    value = F.col("l_extendedprice") / 7.0 * F.col("l_discount")
+    return _table(spark, sf, "lineitem").select(
+        *_LINE, L.round_up2(value).alias("up2"), L.round_up4(value).alias("up4")
+    )
+
+
+@query("fn_ratio4")
+def _(spark, sf):
+    return _table(spark, sf, "lineitem").select(
+        *_LINE, L.ratio4(F.col("l_extendedprice"), F.col("l_discount")).alias("ratio")
+    )
+
+
+@query("fn_hit_ratio")
+def _(spark, sf):
+    return _table(spark, sf, "lineitem").select(
+        *_LINE, L.hit_ratio(F.col("l_partkey") % 50, F.col("l_suppkey") % 10).alias("ratio")
+    )
+
+
+@query("fn_version_cmp")
+def _(spark, sf):
+    a, b = F.col("left_version"), F.col("right_version")
+    return fixture(spark, sf, "versions").select(
+        *_LINE, L.version_compare(a, b).alias("cmp"), L.version_gt(a, b).alias("gt"), L.version_gte(a, b).alias("gte")
+    )
+
+
+def _corpus(spark, sf):
+    return fixture(spark, sf, "corpus")
+
+
+def _text_query(name, build):
+    @query(name)
+    def _(spark, sf):
+        return _corpus(spark, sf).select("row_key", *build(F.col("text")))
+
+
+_text_query("fn_clean_query", lambda t: [tx.clean_query(t).alias("cleaned")])
+_text_query(
+    "fn_parse_comment",
+    lambda t: [tx.query_comment(t).alias("comment"), tx.strip_comments(t).alias("query")],
+)
+_text_query("fn_redact_ip", lambda t: [tx.redact_ip(t).alias("redacted")])
+_text_query("fn_obfuscate_query", lambda t: [tx.obfuscate_query(t).alias("obfuscated")])
+_text_query("fn_truncate_query", lambda t: [tx.truncate_query(t).alias("truncated")])
+
+
+@query("fn_is_agent_query")
+def _(spark, sf):
+    return _corpus(spark, sf).filter(~tx.is_agent_comment(tx.query_comment(F.col("text")))).select("row_key")
+
+
+@query("fn_fingerprint")
+def _(spark, sf):
+    normal = tx.clean_query(tx.obfuscate_query(tx.strip_comments(F.col("text"))))
+    return (
+        _corpus(spark, sf)
+        .select(tx.fingerprint(normal).alias("fingerprint"))
+        .groupBy("fingerprint")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+@query("fn_missing_text")
+def _(spark, sf):
+    stats = fixture(spark, sf, "statements_raw")
+    return qs.normalize_text(stats).select(*POLL, "ord", "query", "fingerprint")
+
+
+@query("fn_obfuscate_explain")
+def _(spark, sf):
+    return fixture(spark, sf, "explain_events").select(
+        "event_id", L.obfuscate_explain(F.col("plan")).alias("plan")
+    )
+
+
+@query("fn_conninfo")
+def _(spark, sf):
+    info = F.col("conninfo")
+    return fixture(spark, sf, "conninfos").select(
+        "c_custkey",
+        L.conninfo_value(info, "host").alias("host"),
+        L.conninfo_value(info, "application_name").alias("application_name"),
+    )
+
+
+@query("fn_lsn_diff")
+def _(spark, sf):
+    return fixture(spark, sf, "replication_clients").select(
+        *POLL, "ord", L.lsn_diff(F.col("sent_lsn"), F.col("replay_lsn")).alias("bytes")
+    )
+
+
+@query("fn_interval_ms")
+def _(spark, sf):
+    return fixture(spark, sf, "replication_clients").select(
+        *POLL, "ord", L.interval_ms(F.col("write_lag")).alias("write_ms"),
+        L.interval_ms(F.col("replay_lag")).alias("replay_ms"),
+    )
+
+
+def _payloads(spark, sf):
+    return fixture(spark, sf, "log_payloads")
+
+
+def _lines(spark, sf):
+    return _payloads(spark, sf).select(
+        "payload_id", "received_at", F.posexplode(F.split("body", "\n")).alias("pos", "line")
+    )
+
+
+@query("fn_syslog_line")
+def _(spark, sf):
+    parsed = _lines(spark, sf).select("payload_id", "pos", L.syslog_line(F.col("line")).alias("s"))
+    return parsed.filter(F.col("s").isNotNull()).select("payload_id", "pos", "s.*")
+
+
+@query("fn_log_timestamp")
+def _(spark, sf):
+    parsed = _lines(spark, sf).select(
+        "payload_id", "pos", "received_at", L.syslog_line(F.col("line")).alias("s")
+    ).filter(F.col("s").isNotNull())
+    return parsed.select(
+        "payload_id", "pos", L.log_timestamp(F.col("s.timestamp"), F.unix_seconds("received_at")).alias("at")
+    )
+
+
+@query("fn_slow_query_line")
+def _(spark, sf):
+    parsed = _lines(spark, sf).select("payload_id", "pos", L.slow_query_line(F.col("line")).alias("q"))
+    return parsed.filter(F.col("q").isNotNull()).select("payload_id", "pos", "q.*")
+
+
+@query("fn_key_values")
+def _(spark, sf):
+    maps = _lines(spark, sf).select(
+        "payload_id", "pos", F.explode(L.key_values(F.col("line"), F.unix_seconds("received_at"))).alias("key", "value")
+    )
+    return maps
+
+
+@query("fn_omit_empty")
+def _(spark, sf):
+    cols = cat.table_columns(fixture(spark, sf, "columns"))
+    return cols.select(*POLL, "table_name", *rep.column_fields(F.col))
+
+
+# ---- logs ------------------------------------------------------------------------
+
+
+def _stitched(spark, sf):
+    return lg.log_stitch(lg.log_prefilter(_payloads(spark, sf)))
+
+
+@query("src_log_payloads")
+def _(spark, sf):
+    return _payloads(spark, sf).select(
+        "payload_id", F.unix_seconds("received_at").alias("received_at"),
+        F.size(F.split("body", "\n")).alias("n_lines"), F.octet_length("body").alias("n_bytes"),
+    )
+
+
+@query("log_prefilter")
+def _(spark, sf):
+    return lg.log_prefilter(_payloads(spark, sf)).select("payload_id")
+
+
+@query("log_test_marker")
+def _(spark, sf):
+    windowed = fd.report_window(_payloads(spark, sf), "received_at", "1 day")
+    return lg.log_test_marker(windowed, by=["report_start"]).withColumn(
+        "report_start", F.unix_seconds("report_start")
+    )
+
+
+@query("log_stitch")
+def _(spark, sf):
+    return _stitched(spark, sf).drop("received_at")
+
+
+@query("log_route")
+def _(spark, sf):
+    return lg.log_route(_stitched(spark, sf)).select("payload_id", "pos", "branch")
+
+
+@query("log_metrics")
+def _(spark, sf):
+    return lg.log_metrics(_stitched(spark, sf)).select("payload_id", "pos", F.explode("metrics").alias("key", "value"))
+
+
+@query("slow_query_events")
+def _(spark, sf):
+    return lg.slow_query_events(lg.slow_query_lines(_stitched(spark, sf)), fixture(spark, sf, "servers")).drop("received_at")
+
+
+@query("slow_query_report")
+def _(spark, sf):
+    """Slow statements per server and fingerprint."""
+    events = slow_query_report(_payloads(spark, sf), fixture(spark, sf, "servers"))
+    return events.groupBy("config_name", "fingerprint", "query").agg(
+        F.sum("calls").alias("calls"), F.min("min_time").alias("min_time"), F.max("max_time").alias("max_time"),
+        F.max("measured_at").alias("measured_at"),
+    )
+
+
+@query("explain_throttle")
+def _(spark, sf):
+    return lg.explain_throttle(fixture(spark, sf, "explain_events")).select(
+        "event_id", "fingerprint", "measured_at", "plan"
+    )
+
+
+@query("agent_log_stats")
+def _(spark, sf):
+    return fd.agent_log_stats(_payloads(spark, sf), "1 hour").withColumn(
+        "report_start", F.unix_seconds("report_start")
+    )
+
+
+# ---- metrics and folding ------------------------------------------------------------
+
+
+@query("metric_series")
+def _(spark, sf):
+    series = mt.metric_series(fixture(spark, sf, "metrics_long"), order=["ord"])
+    return series.select(
+        "config_name", "name", "entity", F.posexplode("values").alias("pos", "v")
+    ).select("config_name", "name", "entity", "pos", "v.value", "v.measured_at")
+
+
+def _metric_stream(spark, sf):
+    return metric_stream(
+        *_fix(spark, sf, "activity", "settings", "db_stats", "index_statio", "table_statio", "pooler_totals", "pooler_pools"),
+        _pooler_metadata(spark, sf), _self(spark, sf), _clients(spark, sf),
+    )
+
+
+@query("metric_stream")
+def _(spark, sf):
+    return _metric_stream(spark, sf)
+
+
+@query("append_stats")
+def _(spark, sf):
+    keep = [*SERVER, "fingerprint", "query", "calls", "total_time", "measured_at"]
+    polled = qs.query_stats_valid(qs.query_stats_delta(_stats(spark, sf))).select(*keep)
+    slow = slow_query_report(_payloads(spark, sf), fixture(spark, sf, "servers")).select(*keep)
+    return mt.append_rows(polled, slow)
+
+
+@query("error_cap")
+def _(spark, sf):
+    return fd.error_cap(fixture(spark, sf, "errors"), "1 day").withColumns(
+        {"report_start": F.unix_seconds("report_start"), "event_time": F.unix_seconds("event_time")}
+    )
+
+
+@query("fold_servers")
+def _(spark, sf):
+    folded = fd.fold_servers(fixture(spark, sf, "server_records"))
+    return folded.select(
+        "config_name", "config_var_name", "monitored_at", "version", "max_connections", "platform",
+        F.col("pooler.version").alias("pooler_version"), F.col("pooler.max_server_connections").alias("pooler_limit"),
+    )
+
+
+@query("latest_database")
+def _(spark, sf):
+    return fd.latest_poll(_sizes(spark, sf))
+
+
+@query("latest_replication")
+def _(spark, sf):
+    return fd.latest(_self(spark, sf), SERVER, "poll_seq").drop("lag")
+
+
+@query("latest_settings")
+def _(spark, sf):
+    return fd.latest_settings(sv.settings_snapshot(fixture(spark, sf, "settings")))
+
+
+@query("report_window")
+def _(spark, sf):
+    timed = _table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return (
+        fd.report_window(timed, "ts")
+        .groupBy("report_start", "event_type")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("report_start", F.unix_seconds("report_start"))
+    )
+
+
+# ---- compositions -------------------------------------------------------------------
+
+
+def _catalog(spark, sf):
+    names = list(sh.CatalogSnapshots.__dataclass_fields__)
+    return sh.CatalogSnapshots(**{n: fixture(spark, sf, n) for n in names})
+
+
+@query("schema_health")
+def _(spark, sf):
+    c = _catalog(spark, sf)
+    common = [*POLL_AT, "schema", "name", "bloat_bytes", "bloat_bytes_total", "bloat_factor", "blocks_read", "blocks_hit"]
+    tables = sh.table_health(c).select(
+        F.lit("table").alias("kind"), *common, F.col("total_bytes").alias("bytes"), F.col("total_bytes_total").alias("bytes_total")
+    )
+    indexes = sh.index_health(c).select(F.lit("index").alias("kind"), *common, "bytes", "bytes_total")
+    return tables.unionByName(indexes)
+
+
+def _agent_of(config_name):
+    return F.concat(F.lit("agent_"), F.element_at(F.split(config_name, "_"), -1))
+
+
+def _report_inputs(spark, sf):
+    c = _catalog(spark, sf)
+    # Logs and errors carry calendar times; their day of month is the poll they belong to.
+    def align(ts):
+        return F.timestamp_seconds(1700000000 + 60 * F.day(ts).cast("bigint"))
+
+    payloads = _payloads(spark, sf).withColumns(
+        {"agent_id": F.concat(F.lit("agent_"), F.floor(F.col("payload_id") / 2500).cast("string")),
+         "received_at": align(F.col("received_at"))}
+    )
+    errors = fixture(spark, sf, "errors").withColumns(
+        {"agent_id": F.concat(F.lit("agent_"), F.floor(F.col("seq") / 10000).cast("string")),
+         "event_time": align(F.col("event_time"))}
+    )
+    slow = slow_query_report(payloads, fixture(spark, sf, "servers")).withColumn(
+        "measured_at", F.unix_seconds("received_at")
+    )
+    metadata = _metadata(spark, sf).withColumn("ord", F.col("poll_seq"))
+    return ReportInputs(
+        server_records=metadata.drop("database"),
+        schemas=cat.schemata_user(c.schemata).filter(F.col("poll_seq") > 1),
+        tables=sh.table_health(c),
+        indexes=sh.index_health(c),
+        columns=cat.table_columns(c_columns(spark, sf)),
+        replica=_self(spark, sf),
+        replica_clients=_clients(spark, sf),
+        metrics=_metric_stream(spark, sf),
+        worst_queries=top_queries(*_statement_inputs(spark, sf)),
+        slow_queries=slow,
+        settings=sv.settings_snapshot(fixture(spark, sf, "settings")),
+        payloads=payloads,
+        errors=errors,
+        agent_of=_agent_of,
+    )
+
+
+def c_columns(spark, sf):
+    return fixture(spark, sf, "columns")
+
+
+def _documents(spark, sf):
+    return fleet_report(_report_inputs(spark, sf))
+
+
+@query("fleet_report")
+def _(spark, sf):
+    return rep.to_json_lines(_documents(spark, sf)).select("agent_id", "report_start", F.col("value").alias("document"))
+
+
+def _small_documents(spark, sf):
+    """Documents of log content alone: metric lines, counters, test receipts and errors."""
+    inputs = _report_inputs(spark, sf)
+    by = list(rep.BY)
+    windowed = fd.report_window(inputs.payloads, "received_at")
+    lines = lg.log_metrics(lg.log_stitch(lg.log_prefilter(windowed)))
+    folded = fd.fold_servers(
+        fd.report_window(fixture(spark, sf, "server_records").withColumn("at", F.timestamp_seconds("measured_at")), "at")
+        .withColumn("agent_id", _agent_of(F.col("config_name"))),
+        by=by,
+    )
+    return rep.report_document(
+        folded, lines, lg.log_test_marker(windowed, by=by), fd.agent_log_stats(inputs.payloads, by=["agent_id"]),
+        fd.error_cap(inputs.errors, by=["agent_id"]), by,
+    )
+
+
+@query("report_document")
+def _(spark, sf):
+    return _small_documents(spark, sf).select(
+        "agent_id", F.unix_seconds("report_start").alias("report_start"), "reported_at",
+        F.coalesce(F.size("log_metrics"), F.lit(0)).alias("n_log_metrics"),
+        F.coalesce(F.size("servers"), F.lit(0)).alias("n_servers"),
+        F.coalesce(F.size("agent.errors"), F.lit(0)).alias("n_errors"),
+        "log_test_message_received_at",
+        F.col("agent.stats.logs.received").alias("received"),
+        F.col("agent.stats.logs.handled").alias("handled"),
+        F.array_join("servers.config_name", ",").alias("config_names"),
+    )
+
+
+@query("servers_enriched")
+def _(spark, sf):
+    inputs = _report_inputs(spark, sf)
+    by = ["poll_seq"]
+    servers = fd.fold_servers(inputs.server_records, by=by)
+    databases = (
+        inputs.schemas.groupBy(*by, "config_name", "database")
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("schema_name").alias("name")))).alias("schemas"))
+    )
+    queries = inputs.worst_queries.withColumn("explain", F.lit(None).cast("string"))
+    out = rep.servers_enriched(
+        servers, databases, inputs.replica, inputs.replica_clients,
+        mt.connections_used(*_fix(spark, sf, "activity", "settings")), queries, inputs.settings, by,
+    )
+    return out.select(
+        "poll_seq", "config_name", "config_var_name", "platform", "max_connections", "version", "monitored_at",
+        F.coalesce(F.size("databases"), F.lit(0)).alias("n_databases"),
+        F.array_join(F.flatten(F.transform("databases", lambda d: d["schemas"]["name"])), ",").alias("schema_names"),
+        F.col("replica.application_name").alias("replica_name"),
+        F.coalesce(F.size("replicas"), F.lit(0)).alias("n_replicas"),
+        F.coalesce(F.size("metrics"), F.lit(0)).alias("n_metrics"),
+        F.coalesce(F.size("queries.stats"), F.lit(0)).alias("n_queries"),
+        F.aggregate(F.coalesce("queries.stats.time", F.array().cast("array<double>")), F.lit(0.0),
+                    lambda a, x: F.greatest(a, F.coalesce(x, F.lit(0.0)))).alias("max_time"),
+        F.coalesce(F.size("settings"), F.lit(0)).alias("n_settings"),
+    )
+
+
+@query("sink_report_json")
+def _(spark, sf):
+    """Write gzip JSON lines to the shared folder and read them back."""
+    path = workspace(spark, "reports") + "/reports"
+    write_report_json(_small_documents(spark, sf), path)
+    return spark.read.text(path).select(F.xxhash64("value").alias("document"))
+
+
+@query("src_snapshots")
+def _(spark, sf):
+    """Land a snapshot table in the shared folder and scan it with its declared schema."""
+    path = workspace(spark, "snapshots") + "/index_statio"
+    fixture(spark, sf, "index_statio").write.parquet(path)
+    return read_snapshot(spark, "index_statio", path)
+
+
+# ---- streams ---------------------------------------------------------------------------
+
+
+def _landed(spark, rows, purpose):
+    """A directory of files that a stream reads."""
+    path = workspace(spark, purpose) + "/landing"
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+@query("stream_logs")
+def _(spark, sf):
+    stream = _landed(spark, _payloads(spark, sf), "payloads")
+    routed = lg.log_route(lg.log_stitch(lg.log_prefilter(stream))).select("payload_id", "pos", "branch")
+    return drain(spark, routed, "logs")
+
+
+@query("stream_counter_delta")
+def _(spark, sf):
+    counters = ["calls", "total_time", "rows"]
+    stats = qs.statement_stats(*_statement_inputs(spark, sf)).select(
+        *SERVER, "query_id", "poll_seq", "measured_at", "ord", *counters
+    )
+    stream = _landed(spark, stats, "polls")
+    return drain(spark, stream_counter_delta(stream, [*SERVER, "query_id"], counters), "deltas")
+
+
+@query("stream_explain_throttle")
+def _(spark, sf):
+    stream = _landed(spark, fixture(spark, sf, "explain_events"), "plans")
+    return drain(spark, stream_explain_throttle(stream), "throttle").select(
+        "event_id", "fingerprint", "measured_at", "plan"
+    )
