@@ -16,45 +16,59 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def adjacent_pairs(
-    rows: DataFrame,
-    keys: Sequence[str],
-    payload: Sequence[str],
-    poll: str = "poll_seq",
-    order: str = "ord",
-    bucket_polls: int = 64,
+BUCKET_POLLS = 64
+
+
+def _with_next_poll(
+    rows: DataFrame, keys: Sequence[str], poll: str, bucket_polls: int, following: Column
 ) -> DataFrame:
-    """Each row that has a successor, with ``next`` = the successor's payload.
+    """Rows with ``next`` = an aggregate over the rows of the same keys one poll later.
 
-    The successor is the first row (by ``order``) with the same keys one poll
-    later.  The first poll of a bucket is also copied to the bucket before it,
-    where it serves only as a successor: 1/``bucket_polls`` extra rows buy
-    windows that never exceed ``bucket_polls`` polls of one key.
+    The first poll of a bucket is also copied to the bucket before it, where it
+    serves only as a successor: 1/``bucket_polls`` extra rows buy windows that
+    never exceed ``bucket_polls`` polls of one key, and no self-join is needed.
     """
     home = F.floor(F.col(poll) / bucket_polls)
     buckets = F.when(F.col(poll) % bucket_polls == 0, F.array(home, home - 1)).otherwise(F.array(home))
     span = Window.partitionBy(*keys, "_bucket").orderBy(poll).rangeBetween(1, 1)
     return (
         rows.withColumn("_bucket", F.explode(buckets))
-        .withColumn("next", F.min_by(F.struct(*payload), F.col(order)).over(span))
-        .filter((F.col("_bucket") == home) & F.col("next").isNotNull())
+        .withColumn("next", following.over(span))
+        .filter(F.col("_bucket") == home)
         .drop("_bucket")
     )
 
 
-def all_adjacent_pairs(
-    rows: DataFrame, keys: Sequence[str], previous: Sequence[str], poll: str = "poll_seq"
+def adjacent_pairs(
+    rows: DataFrame,
+    keys: Sequence[str],
+    payload: Sequence[str],
+    poll: str = "poll_seq",
+    order: str = "ord",
+    bucket_polls: int = BUCKET_POLLS,
 ) -> DataFrame:
-    """Every (previous, current) combination of adjacent polls, duplicates multiplying.
+    """Each row that has a successor, with ``next`` = the successor's payload.
 
-    The join key includes the poll, so it is as fine as the data and no key is hot.
+    The successor is the first row (by ``order``) with the same keys one poll later.
     """
-    before = rows.select(
-        *keys,
-        (F.col(poll) + 1).alias(poll),
-        F.struct(*previous).alias("prev"),
+    first = F.min_by(F.struct(*payload), F.col(order))
+    return _with_next_poll(rows, keys, poll, bucket_polls, first).filter(F.col("next").isNotNull())
+
+
+def all_adjacent_pairs(
+    rows: DataFrame,
+    keys: Sequence[str],
+    previous: Sequence[str],
+    poll: str = "poll_seq",
+    bucket_polls: int = BUCKET_POLLS,
+) -> DataFrame:
+    """Later rows with ``prev`` = an adjacent earlier row, duplicates multiplying."""
+    every = F.collect_list(F.struct(*[c for c in rows.columns if c not in keys]))
+    return (
+        _with_next_poll(rows, keys, poll, bucket_polls, every)
+        .select(*keys, F.struct(*previous).alias("prev"), F.explode("next").alias("next"))
+        .select(*keys, "prev", "next.*")
     )
-    return rows.join(before, [*keys, poll])
 
 
 def lag_pairs(

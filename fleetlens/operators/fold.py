@@ -40,9 +40,13 @@ def latest(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def latest_poll(rows: DataFrame, keys: Sequence[str] = SERVER, poll: str = "poll_seq") -> DataFrame:
-    """All rows of the last poll of every key (a flat tree or list replaced as a whole)."""
-    last = rows.groupBy(*keys).agg(F.max(poll).alias(poll))
-    return rows.join(last, [*keys, poll], "left_semi")
+    """All rows of the last poll of every key (a flat tree or list replaced as a whole).
+
+    The rank filter also runs before the shuffle, so a long history sends only
+    its latest rows.
+    """
+    newest = Window.partitionBy(*keys).orderBy(F.desc(poll))
+    return rows.withColumn("_rank", F.rank().over(newest)).filter(F.col("_rank") == 1).drop("_rank")
 
 
 def latest_settings(settings: DataFrame, order: str = "poll_seq") -> DataFrame:

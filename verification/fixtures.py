@@ -743,6 +743,12 @@ def ctes(d: Dialect, *names: str) -> str:
     return ",\n".join(f"{n} AS ({FIXTURES[n][1](d)})" for n in _closure(names))
 
 
+_PLANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One fixture as a lazy DataFrame."""
-    return spark.sql(f"WITH {ctes(SparkDialect(sf_dir), name)} SELECT * FROM {name}")
+    """One fixture as a lazy DataFrame; the analysed plan is kept, not the data."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _PLANS:
+        _PLANS[key] = spark.sql(f"WITH {ctes(SparkDialect(sf_dir), name)} SELECT * FROM {name}")
+    return _PLANS[key]

@@ -883,18 +883,18 @@ oracle(
     SCAN,
 )
 
-AT = "1700000000 + 60 * {d}"
+AT = "(1700000000 + 60 * {d})"
 _pay = "floor(payload_id / 2500)"
 REPORT = f"""pay AS (
-  select *, 'agent_' || cast(payload_id // 2500 as string) as agent_id, {AT.format(d='day(received_at)')} as at from log_payloads
-), wins AS (select agent_id, at // 60 * 60 as report_start, payload_id, at from pay
+  select *, 'agent_' || cast(payload_id // 2500 as string) as agent_id, {AT.format(d='day(received_at)')} as at_s from log_payloads
+), wins AS (select agent_id, at_s // 60 * 60 as report_start, payload_id, at_s from pay
 ), r_logs AS (
   select w.agent_id, w.report_start, count(*) as n from wins w join routed r using (payload_id) where r.branch = 'metric' group by all
 ), r_stats AS (
   select w.agent_id, w.report_start, count(distinct w.payload_id) as received, count(r.payload_id) as handled
   from wins w left join (select * from routed where branch is not null) r using (payload_id) group by all
 ), r_tests AS (
-  select agent_id, at // 60 * 60 as report_start, arg_max(at, payload_id) as t from pay
+  select agent_id, at_s // 60 * 60 as report_start, arg_max(at_s, payload_id) as t from pay
   where contains(body, 'NOTICE:  FLEET_AGENT_LOG_TEST') group by all
 ), r_errs AS (
   select agent_id, report_start, count(*) as n from (
