@@ -123,18 +123,22 @@ def log_metrics(stitched: DataFrame) -> DataFrame:
     )
 
 
+def _present(value: Column) -> Column:
+    """The value as an array of one, or of none when NULL.
+
+    Exploding it keeps only present values and evaluates them once; a filter on
+    the value would be evaluated again by the projection above it.
+    """
+    return F.filter(F.array(value), lambda v: v.isNotNull())
+
+
 def slow_query_lines(stitched: DataFrame) -> DataFrame:
     """Parsed duration messages; other statements' messages give no row."""
-    return (
-        stitched.filter(is_sql_line(F.col("process")))
-        .withColumn("_slow", slow_query_line(F.col("message")))
-        .filter(F.col("_slow").isNotNull())
-        .withColumn("measured_at", log_timestamp(F.col("timestamp"), F.unix_seconds("received_at")))
-        .select(
-            *[c for c in stitched.columns if c not in ("message", "timestamp", "process", "segment")],
-            "measured_at",
-            "_slow.*",
-        )
+    carried = [c for c in stitched.columns if c not in ("message", "timestamp", "process", "segment")]
+    return stitched.filter(is_sql_line(F.col("process"))).select(
+        *carried,
+        log_timestamp(F.col("timestamp"), F.unix_seconds("received_at")).alias("measured_at"),
+        F.inline(_present(slow_query_line(F.col("message")))),
     )
 
 
@@ -144,7 +148,7 @@ def log_route(stitched: DataFrame) -> DataFrame:
     branch = F.when(is_metric_line(process), "metric").when(
         is_sql_line(process) & slow_query_line(F.col("message")).isNotNull(), "slow_query"
     )
-    return stitched.withColumn("branch", branch).filter(F.col("branch").isNotNull())
+    return stitched.select(*stitched.columns, F.explode(_present(branch)).alias("branch"))
 
 
 def slow_query_events(

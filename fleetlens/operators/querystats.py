@@ -42,6 +42,19 @@ def statement_stats(statements: DataFrame, databases: DataFrame, versions: DataF
     return drop_nulls(timed, times).select(*POLL_AT, "ord", "query_id", "query", *COUNTERS, *GAUGES)
 
 
+def _is_agent_row(raw: Column, comment: Column, tag: str) -> Column:
+    """The comment holds the agent tag.
+
+    The optimizer pushes this filter down to the scan, where it would extract the
+    comments of every row.  A tag that neither spans two joined comments nor holds
+    redacted text must stand in the raw text already, a plain substring test.
+    """
+    marked = tx.is_agent_comment(comment, tag)
+    if "//" in tag or tx.REDACTED in tag:
+        return marked
+    return F.coalesce(F.contains(raw, F.lit(tag)), F.lit(False)) & marked
+
+
 def normalize_text(
     rows: DataFrame,
     text: str = "query",
@@ -59,7 +72,7 @@ def normalize_text(
         "comment", F.coalesce(tx.query_comment(F.col("_source")), F.lit(""))
     )
     if not keep_agent_queries:
-        out = out.filter(~tx.is_agent_comment(F.col("comment"), agent_tag))
+        out = out.filter(~_is_agent_row(source, F.col("comment"), agent_tag))
     return (
         out.withColumn(
             "_clean", tx.clean_query(tx.obfuscate_query(tx.strip_comments(F.col("_source"))))
