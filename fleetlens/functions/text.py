@@ -4,7 +4,9 @@ All expressions are native Catalyst columns.  Patterns are written for the Java
 regex engine so that they match what an RE2 engine would:
 
 * ``(?d)`` makes ``.`` exclude only the line feed,
-* ``(?iu)`` folds case over Unicode,
+* case is folded by explicit classes (k and s also have one non-ASCII form each), which is
+  exact where Java's Unicode flag is not, and several times faster than a flag,
+* a lookahead on the first character rejects most positions before the alternatives,
 * white space is spelled ``[\\t\\n\\f\\r ]`` and ASCII word boundaries as lookbehind,
 * the open-ended list repetition is possessive and non-capturing: a repeated
   capturing group recurses once per tuple in Java and overflows the stack on a
@@ -40,17 +42,36 @@ _NUMBER = r"\d+\.?\d*"
 _BIND = r"\$\d+"
 _PARAM = rf"(?:{_S}{_QUOTED}|{_NUMBER}|{_BIND})"
 _VALUE = rf"(?:{_QUOTED}|{_NUMBER}|{_BIND})"
-OPERATOR_PARAM = rf"(?iu)((?:=|>|<|i?like|limit|select|offset|then){_S}){_PARAM}"
 
-_TUPLE = r"\((?:'?.+?'|'?.+?'?)\)"
-LIST_PARAM = rf"(?diu)((?<![0-9A-Za-z_])(?:in|values){_S}){_TUPLE}(?:,{_S}{_TUPLE})*+"
 
-BETWEEN_PARAM = rf"(?iu)((?<![0-9A-Za-z_])between(?:{_S}symmetric)?{_S}){_VALUE}({_S}AND{_S}){_VALUE}"
+def _any_case(word: str) -> str:
+    """Pattern of a lower-case word in any case, with the simple Unicode folds."""
+    folds = {"k": "\u212a", "s": "\u017f"}
+    return "".join(f"[{c}{c.upper()}{folds.get(c, '')}]" if c.isalpha() else c for c in word)
+
 
-EXPLAIN_LINE = r"(?iu)(?:Cond:|Filter:)"
-EXPLAIN_PARAM = rf"(?iu)((?:=|>|<|~~|ANY \(){_S}){_PARAM}"
+_OPERATORS = "|".join(
+    ["=", ">", "<", _any_case("i") + "?" + _any_case("like")]
+    + [_any_case(w) for w in ("limit", "select", "offset", "then")]
+)
+OPERATOR_PARAM = rf"(?=[=><iIlLsSoOtT\u017f])((?:{_OPERATORS}){_S}){_PARAM}"
+
+_TUPLE = r"\((?:'?.+?'|'?.+?'?)\)"
+_WORD_START = r"(?<![0-9A-Za-z_])"
+LIST_PARAM = (
+    rf"(?d)(?=[iIvV]){_WORD_START}((?:{_any_case('in')}|{_any_case('values')}){_S})"
+    rf"{_TUPLE}(?:,{_S}{_TUPLE})*+"
+)
+BETWEEN_PARAM = (
+    rf"(?=[bB]){_WORD_START}({_any_case('between')}(?:{_S}{_any_case('symmetric')})?{_S}){_VALUE}"
+    rf"({_S}{_any_case('and')}{_S}){_VALUE}"
+)
+
+EXPLAIN_LINE = rf"{_any_case('cond')}:|{_any_case('filter')}:"
+EXPLAIN_PARAM = rf"((?:=|>|<|~~|{_any_case('any')} \(){_S}){_PARAM}"
 
 _SPACE_RUN = r"\p{IsWhite_Space}+"
+_ASCII_SPACE_RUN = r"[\t-\r ]+"
 _SPACE_EDGES = r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$"
 
 
@@ -60,8 +81,15 @@ def trim_space(text: Column) -> Column:
 
 
 def clean_query(text: Column) -> Column:
-    """Collapse every run of Unicode white space to one space and trim."""
-    return F.trim(F.regexp_replace(text, _SPACE_RUN, " "))
+    """Collapse every run of Unicode white space to one space and trim.
+
+    Text without multi-byte characters takes the much cheaper ASCII class.
+    """
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    collapsed = F.when(ascii_only, F.regexp_replace(text, _ASCII_SPACE_RUN, " ")).otherwise(
+        F.regexp_replace(text, _SPACE_RUN, " ")
+    )
+    return F.trim(collapsed)
 
 
 def redact_ip(text: Column) -> Column:

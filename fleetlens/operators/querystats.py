@@ -74,15 +74,14 @@ def normalize_text(
     if not keep_agent_queries:
         out = out.filter(~_is_agent_row(source, F.col("comment"), agent_tag))
     return (
-        out.withColumn(
-            "_clean", tx.clean_query(tx.obfuscate_query(tx.strip_comments(F.col("_source"))))
-        )
+        out.withColumn("_plain", tx.obfuscate_query(tx.strip_comments(F.col("_source"))))
+        .withColumn("_clean", tx.clean_query(F.col("_plain")))
         .withColumn(
             "fingerprint",
             F.when(F.col("_clean").isNull(), "").otherwise(tx.fingerprint(F.col("_clean"))),
         )
         .withColumn(text, F.coalesce(tx.truncate_query(F.col("_clean")), F.lit(tx.MISSING_TEXT)))
-        .drop("_source", "_clean")
+        .drop("_source", "_plain", "_clean")
     )
 
 

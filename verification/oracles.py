@@ -804,7 +804,8 @@ oracle(
 
 oracle(
     "metric_series", "metrics_long",
-    f"""select config_name, name, entity, cast(row_number() over (partition by config_name, name, entity order by ord) - 1 as int) as pos,
+    f"""select cast(measured_at // 60 * 60 as bigint) as report_start, config_name, name, entity,
+               cast(row_number() over (partition by measured_at // 60, config_name, name, entity order by ord) - 1 as int) as pos,
                {up('value', 4)} as value, measured_at from metrics_long""",
 )
 _all_metrics = " union all by name ".join(

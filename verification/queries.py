@@ -380,7 +380,7 @@ from fleetlens.plans import schema_health as sh  # noqa: E402
 from fleetlens.plans.fleet_report import ReportInputs, fleet_report  # noqa: E402
 from fleetlens.plans.metric_stream import metric_stream  # noqa: E402
 from fleetlens.plans.slow_query_report import slow_query_report  # noqa: E402
-from fleetlens.sources.tables import read_snapshot, typed_snapshot, write_report_json  # noqa: E402
+from fleetlens.sources.tables import read_snapshot, write_report_json  # noqa: E402
 from fleetlens.sources.workspace import workspace  # noqa: E402
 from fleetlens.streaming.run import drain  # noqa: E402
 from fleetlens.streaming.state import stream_counter_delta, stream_explain_throttle  # noqa: E402
@@ -620,10 +620,12 @@ def _(spark, sf):
 
 @query("metric_series")
 def _(spark, sf):
-    series = mt.metric_series(fixture(spark, sf, "metrics_long"), order=["ord"])
+    samples = fixture(spark, sf, "metrics_long").withColumn("at", F.timestamp_seconds("measured_at"))
+    series = mt.metric_series(fd.report_window(samples, "at"), order=["ord"], by=["report_start"])
     return series.select(
-        "config_name", "name", "entity", F.posexplode("values").alias("pos", "v")
-    ).select("config_name", "name", "entity", "pos", "v.value", "v.measured_at")
+        F.unix_seconds("report_start").alias("report_start"), "config_name", "name", "entity",
+        F.posexplode("values").alias("pos", "v"),
+    ).select("report_start", "config_name", "name", "entity", "pos", "v.value", "v.measured_at")
 
 
 def _metric_stream(spark, sf):
@@ -711,20 +713,26 @@ def _agent_of(config_name):
     return F.concat(F.lit("agent_"), F.element_at(F.split(config_name, "_"), -1))
 
 
+def _aligned(rows, time, group, per_agent):
+    """Logs and errors carry calendar times; their day of month is the poll they belong to."""
+    agent = F.floor(F.col(group) / per_agent).cast("string")
+    return rows.withColumns(
+        {"agent_id": F.concat(F.lit("agent_"), agent),
+         time: F.timestamp_seconds(1700000000 + 60 * F.day(time).cast("bigint"))}
+    )
+
+
+def _report_payloads(spark, sf):
+    return _aligned(_payloads(spark, sf), "received_at", "payload_id", 2500)
+
+
+def _report_errors(spark, sf):
+    return _aligned(fixture(spark, sf, "errors"), "event_time", "seq", 10000)
+
+
 def _report_inputs(spark, sf):
     c = _catalog(spark, sf)
-    # Logs and errors carry calendar times; their day of month is the poll they belong to.
-    def align(ts):
-        return F.timestamp_seconds(1700000000 + 60 * F.day(ts).cast("bigint"))
-
-    payloads = _payloads(spark, sf).withColumns(
-        {"agent_id": F.concat(F.lit("agent_"), F.floor(F.col("payload_id") / 2500).cast("string")),
-         "received_at": align(F.col("received_at"))}
-    )
-    errors = fixture(spark, sf, "errors").withColumns(
-        {"agent_id": F.concat(F.lit("agent_"), F.floor(F.col("seq") / 10000).cast("string")),
-         "event_time": align(F.col("event_time"))}
-    )
+    payloads, errors = _report_payloads(spark, sf), _report_errors(spark, sf)
     slow = slow_query_report(payloads, fixture(spark, sf, "servers")).withColumn(
         "measured_at", F.unix_seconds("received_at")
     )
@@ -734,7 +742,7 @@ def _report_inputs(spark, sf):
         schemas=cat.schemata_user(c.schemata).filter(F.col("poll_seq") > 1),
         tables=sh.table_health(c),
         indexes=sh.index_health(c),
-        columns=cat.table_columns(c_columns(spark, sf)),
+        columns=cat.table_columns(fixture(spark, sf, "columns")),
         replica=_self(spark, sf),
         replica_clients=_clients(spark, sf),
         metrics=_metric_stream(spark, sf),
@@ -747,10 +755,6 @@ def _report_inputs(spark, sf):
     )
 
 
-def c_columns(spark, sf):
-    return fixture(spark, sf, "columns")
-
-
 def _documents(spark, sf):
     return fleet_report(_report_inputs(spark, sf))
 
@@ -762,9 +766,9 @@ def _(spark, sf):
 
 def _small_documents(spark, sf):
     """Documents of log content alone: metric lines, counters, test receipts and errors."""
-    inputs = _report_inputs(spark, sf)
+    payloads = _report_payloads(spark, sf)
     by = list(rep.BY)
-    windowed = fd.report_window(inputs.payloads, "received_at")
+    windowed = fd.report_window(payloads, "received_at")
     lines = lg.log_metrics(lg.log_stitch(lg.log_prefilter(windowed)))
     folded = fd.fold_servers(
         fd.report_window(fixture(spark, sf, "server_records").withColumn("at", F.timestamp_seconds("measured_at")), "at")
@@ -772,8 +776,8 @@ def _small_documents(spark, sf):
         by=by,
     )
     return rep.report_document(
-        folded, lines, lg.log_test_marker(windowed, by=by), fd.agent_log_stats(inputs.payloads, by=["agent_id"]),
-        fd.error_cap(inputs.errors, by=["agent_id"]), by,
+        folded, lines, lg.log_test_marker(windowed, by=by), fd.agent_log_stats(payloads, by=["agent_id"]),
+        fd.error_cap(_report_errors(spark, sf), by=["agent_id"]), by,
     )
 
 
@@ -793,17 +797,18 @@ def _(spark, sf):
 
 @query("servers_enriched")
 def _(spark, sf):
-    inputs = _report_inputs(spark, sf)
     by = ["poll_seq"]
-    servers = fd.fold_servers(inputs.server_records, by=by)
+    metadata = _metadata(spark, sf).withColumn("ord", F.col("poll_seq")).drop("database")
+    servers = fd.fold_servers(metadata, by=by)
     databases = (
-        inputs.schemas.groupBy(*by, "config_name", "database")
+        _schemas(spark, sf).filter(F.col("poll_seq") > 1).groupBy(*by, "config_name", "database")
         .agg(F.sort_array(F.collect_list(F.struct(F.col("schema_name").alias("name")))).alias("schemas"))
     )
-    queries = inputs.worst_queries.withColumn("explain", F.lit(None).cast("string"))
+    queries = top_queries(*_statement_inputs(spark, sf)).withColumn("explain", F.lit(None).cast("string"))
     out = rep.servers_enriched(
-        servers, databases, inputs.replica, inputs.replica_clients,
-        mt.connections_used(*_fix(spark, sf, "activity", "settings")), queries, inputs.settings, by,
+        servers, databases, _self(spark, sf), _clients(spark, sf),
+        mt.connections_used(*_fix(spark, sf, "activity", "settings")), queries,
+        sv.settings_snapshot(fixture(spark, sf, "settings")), by,
     )
     return out.select(
         "poll_seq", "config_name", "config_var_name", "platform", "max_connections", "version", "monitored_at",
