@@ -554,7 +554,7 @@ def _stitched(spark, sf):
 def _(spark, sf):
     return _payloads(spark, sf).select(
         "payload_id", F.unix_seconds("received_at").alias("received_at"),
-        F.size(F.split("body", "\n")).alias("n_lines"), F.octet_length("body").alias("n_bytes"),
+        F.size(F.split("body", "\n")).alias("n_lines"), F.octet_length("body").cast("bigint").alias("n_bytes"),
     )
 
 
