@@ -6,9 +6,11 @@ the rows of one key in one micro-batch, plus that key's small state.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from fleetlens.functions.text import obfuscate_explain
 from fleetlens.operators.logs import EXPLAIN_BYTES, EXPLAIN_SECONDS
 
+# Workers receive the processors by value, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
