@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm.embeddings import near_duplicate_vectors
+from fleetlens.llm.quality import quality_rules
 from fleetlens.llm.shipping import ship
 from fleetlens.llm.storage import shared_folder
 from fleetlens.llm.urlfilter import judge_urls
@@ -53,3 +54,11 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
+
+
+@_registered("op2_quality_rules")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(_table(spark, sf_dir, "documents"), keep_text=False)
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
