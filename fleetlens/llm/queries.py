@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from fleetlens.llm.bpe import bpe_round_trip
 from fleetlens.llm.embeddings import near_duplicate_vectors
+from fleetlens.llm.packing import pack_documents
 from fleetlens.llm.quality import quality_rules
 from fleetlens.llm.shipping import ship
 from fleetlens.llm.storage import shared_folder
@@ -17,6 +19,7 @@ from fleetlens.llm.warc import read_warc, write_warc
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+TOKENIZER = "word_bpe_49k.json"
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 
@@ -62,3 +65,14 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
     )
+
+
+@_registered("op4_best_fit_packing")
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@_registered("op7_bpe")
+def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_round_trip(docs, public_tokenizers.path(TOKENIZER))

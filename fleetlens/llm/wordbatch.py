@@ -74,6 +74,14 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
+    def lines(self, which: np.ndarray) -> bytes:
+        """Some words, one per line, without a line feed at the end."""
+        size = self.end[which] - self.start[which] + 1
+        out = np.full(int(size.sum()), 0x0A, dtype=np.uint8)
+        to = np.cumsum(size) - size
+        out[ranges(to, size - 1)] = self.data[ranges(self.start[which], size - 1)]
+        return out[:-1].tobytes()
+
     def of(self) -> np.ndarray:
         """Text number of every word, from 0."""
         return np.repeat(np.arange(self.n), np.diff(self.bounds))
