@@ -22,8 +22,8 @@ from fleetlens.llm.storage import stored
 THRESHOLD = 0.95
 SAMPLE = 16384  #: vectors, chosen by hash, that the centroids are fitted on
 MAX_CELLS = 1024  #: bounds the broadcast centroids
-CELL_ROWS = 256  #: vectors per cell aimed at
-BLOCK_ROWS = 1024  #: larger cells are compared block by block
+HOSTS = 1024  #: vectors at home in a cell that one task compares
+MEMBERS = 4096  #: with so many members of the cell
 SLACK = 1e-6
 
 
@@ -32,6 +32,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _matrix(vectors, width: int) -> np.ndarray:
+    vectors = list(vectors)
+    if all(len(v) == width for v in vectors):
+        return np.array(vectors, dtype=np.float64).reshape(len(vectors), width)
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
@@ -63,52 +66,55 @@ def cells_of(x: np.ndarray, centroids: np.ndarray, threshold: float) -> tuple[np
     return own, copy
 
 
-def _roots(linked: np.ndarray) -> np.ndarray:
-    """Smallest row reachable from each row of a symmetric mask."""
-    label = np.arange(len(linked))
+def _roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest id reachable from each row and each column of a mask over two sides with ids."""
+    left, right = left.copy(), right.copy()
+    none = np.iinfo(np.int64).max
     while True:
-        step = np.minimum(label, np.where(linked, label[None, :], len(label)).min(axis=1, initial=len(label)))
-        step = step[step]
-        if (step == label).all():
-            return label
-        label = step
-
-
-def _compare(group: pd.DataFrame, width: int, threshold: float) -> pd.DataFrame:
-    """Links within one block or between two; one row per vector that has any."""
-    left_no, right_no = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-    group = group.sort_values("rep", ignore_index=True)
-    x = _matrix(group["vector"], width)
-    norm = np.linalg.norm(x, axis=1)
-    size = group["vector"].str.len().to_numpy()
-    home = group["home"].to_numpy()
+        to_right = np.minimum(right, np.where(linked, left[:, None], none).min(axis=0, initial=none))
+        to_left = np.minimum(left, np.where(linked, to_right[None, :], none).min(axis=1, initial=none))
+        if (to_left == left).all() and (to_right == right).all():
+            return left, right
+        left, right = to_left, to_right
+
+
+def _compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links between a block of the vectors at home in a cell and a block of all its members."""
     cell = int(group["cell"].iloc[0])
-    weight = group["weight"].to_numpy()
-    block = group["block"].to_numpy()
-    n = len(group)
-    linked = np.zeros((n, n), dtype=bool)
-    for i in range(0, n, BLOCK_ROWS):
-        part = slice(i, i + BLOCK_ROWS)
-        linked[part] = (x[part] @ x.T) / (norm[part, None] * norm[None, :]) >= threshold
-    linked &= size[:, None] == size[None, :]
-    np.fill_diagonal(linked, False)
-    mine = home == cell
-    linked &= mine[:, None] | mine[None, :]
+    host, other = group[group["host"]], group[~group["host"]]
+    if not len(host) or not len(other):
+        return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
+    size, other_size = host["vector"].str.len().to_numpy(), other["vector"].str.len().to_numpy()
+    width = int(max(size.max(), other_size.max()))
+    x, y = _matrix(host["vector"], width), _matrix(other["vector"], width)
+    linked = (x @ y.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) >= threshold
+    rep, other_rep = host["rep"].to_numpy(), other["rep"].to_numpy()
+    keep = linked.any(axis=1)
+    also = linked.any(axis=0)
+    linked = linked[np.ix_(keep, also)]
+    host, other, rep, other_rep = host[keep], other[also], rep[keep], other_rep[also]
+    linked &= size[keep][:, None] == other_size[also][None, :]
+    linked &= rep[:, None] != other_rep[None, :]
+    home = other["home"].to_numpy()
     # A pair of two cells that meets in both counts in the smaller one only.
-    guests = np.flatnonzero(~mine)
-    for other in np.unique(home[guests]):
-        there = np.array([other in c for c in group["cells"]]) & mine
-        if other < cell:
-            rows, cols = np.flatnonzero(there), np.flatnonzero(home == other)
-            linked[np.ix_(rows, cols)] = False
-            linked[np.ix_(cols, rows)] = False
-    if left_no != right_no:
-        linked &= block[:, None] != block[None, :]
-    links = (linked * weight[None, :]).sum(axis=1)
-    root = _roots(linked)
-    reps = group["rep"].to_numpy()
-    keep = links > 0
-    return pd.DataFrame({"rep": reps[keep], "links": links[keep].astype("int64"), "root": reps[root[keep]]})
+    for b in np.unique(home[home < cell]):
+        both = np.array([b in c for c in host["cells"]])
+        linked[np.ix_(both, home == b)] = False
+    if not linked.any():
+        return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
+    weight, other_weight = host["weight"].to_numpy(), other["weight"].to_numpy()
+    root, other_root = _roots(linked, rep, other_rep)
+    links = (linked @ other_weight).astype("int64")
+    # Of two vectors at home here each is a host in its turn; a guest gets its count from its host.
+    other_links = np.where(home == cell, 0, weight @ linked).astype("int64")
+    out = pd.DataFrame(
+        {
+            "rep": np.concatenate([rep, other_rep]),
+            "links": np.concatenate([links, other_links]),
+            "root": np.concatenate([root, other_root]),
+        }
+    )
+    return out[(out["links"] > 0) | (out["root"] != out["rep"])]
 
 
 def near_duplicate_vectors(
@@ -116,8 +122,8 @@ def near_duplicate_vectors(
     threshold: float = THRESHOLD,
     sample: int = SAMPLE,
     max_cells: int = MAX_CELLS,
-    cell_rows: int = CELL_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    hosts: int = HOSTS,
+    members: int = MEMBERS,
     key: str = "vec_id",
     vector: str = "embedding",
 ) -> DataFrame:
@@ -146,7 +152,7 @@ def near_duplicate_vectors(
     drawn = [
         r["v"] for r in classes.select("v", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(sample).collect()
     ]
-    k = int(max(1, min(max_cells, n // cell_rows, len(drawn) // 8)))
+    k = int(max(1, min(max_cells, np.sqrt(n) / 4, len(drawn) // 8)))
     centroids = spherical_kmeans(_matrix(drawn, width), k) if drawn else np.ones((1, width))
     shared = spark.sparkContext.broadcast(centroids)
 
@@ -162,30 +168,40 @@ def near_duplicate_vectors(
                     }
                 )
 
+    kind = element.simpleString() if floats else "double"
     assigned = stored(
-        classes.mapInPandas(assign, "rep long, weight long, home int, cells array<int>, vector array<double>"),
+        classes.mapInPandas(assign, f"rep long, weight long, home int, cells array<int>, vector array<{kind}>"),
         "vector-cells",
     )
-    # One row per cell, at most max_cells of them: how many blocks its members fill.
+    copies = assigned.withColumn("cell", F.explode("cells"))
+    # One row per cell, at most max_cells of them: how many blocks its hosts and members fill.
     blocks = F.broadcast(
-        assigned.select(F.explode("cells").alias("cell"))
-        .groupBy("cell")
-        .agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    )
-    member = (
-        assigned.withColumn("cell", F.explode("cells"))
-        .join(blocks, "cell")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-            "block", "rep", "weight", "home", "cells", "vector",
+        copies.groupBy("cell").agg(
+            F.ceil(F.count(F.when(F.col("home") == F.col("cell"), 1)) / hosts).cast("int").alias("host_blocks"),
+            F.ceil(F.count("*") / members).cast("int").alias("member_blocks"),
         )
     )
+    sized = copies.join(blocks, "cell")
+    part = F.xxhash64("rep")
+    columns = ["cell", "i", "j", "host", "rep", "weight", "home", "cells", "vector"]
+    as_host = (
+        sized.where("home = cell")
+        .withColumn("i", F.pmod(part, F.col("host_blocks")).cast("int"))
+        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)))
+        .withColumn("host", F.lit(True))
+        .select(*columns)
+    )
+    as_member = (
+        sized.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("host_blocks") - 1)))
+        .withColumn("j", F.pmod(part, F.col("member_blocks")).cast("int"))
+        .withColumn("host", F.lit(False))
+        .where("host_blocks > 0")
+        .select(*columns)
+    )
     found = stored(
-        member.groupBy("cell", "i", "j").applyInPandas(
-            lambda g: _compare(g, width, threshold), "rep long, links long, root long"
-        ),
+        as_host.unionByName(as_member)
+        .groupBy("cell", "i", "j")
+        .applyInPandas(lambda g: _compare(g, threshold), "rep long, links long, root long"),
         "vector-links",
     )
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
