@@ -13,6 +13,7 @@ from fleetlens.llm.packing import pack_documents
 from fleetlens.llm.quality import quality_rules
 from fleetlens.llm.shipping import ship
 from fleetlens.llm.storage import shared_folder
+from fleetlens.llm.toxicity import score_toxicity
 from fleetlens.llm.urlfilter import judge_urls
 from fleetlens.llm.warc import read_warc, write_warc
 
@@ -76,3 +77,9 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_round_trip(docs, public_tokenizers.path(TOKENIZER))
+
+
+@_registered("op10_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, _table(spark, sf_dir, "labels")).drop("text")

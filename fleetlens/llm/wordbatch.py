@@ -21,6 +21,8 @@ SLICE_BYTES = 1 << 21
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Every ASCII byte that is neither letter nor digit, for words without punctuation.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BYTE_VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _tables: dict[int, np.ndarray] = {}
 
@@ -102,12 +104,12 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def words_of(data: np.ndarray, at: np.ndarray, first: int = 0) -> Words:
+def words_of(data: np.ndarray, at: np.ndarray, first: int = 0, gaps: np.ndarray = _SPACE) -> Words:
     """Words of adjacent texts in one byte array; ``at`` has their bounds."""
     at = at - at[0]
     n = len(at) - 1
     blank = np.ones(len(data) + 2, dtype=bool)
-    blank[1:-1] = _SPACE[data]
+    blank[1:-1] = gaps[data]
     # Boundaries between texts also end words; each empty gap in between is handled by sorting.
     change = blank[1:] != blank[:-1]
     inner = np.unique(at[1:-1])
@@ -120,7 +122,7 @@ def words_of(data: np.ndarray, at: np.ndarray, first: int = 0) -> Words:
     return Words(data, first, n, start, end, np.searchsorted(start, at), at)
 
 
-def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Words]:
+def slices(column: pa.Array, size: int = SLICE_BYTES, gaps: np.ndarray = _SPACE) -> Iterator[Words]:
     """Whole texts in slices of about ``size`` bytes; a longer text is a slice of its own."""
     if not len(column):
         return
@@ -128,7 +130,7 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Words]:
     i, n = 0, len(at) - 1
     while i < n:
         j = min(n, max(i + 1, int(np.searchsorted(at, at[i] + size, side="right")) - 1))
-        yield words_of(data[at[i] : at[j]], at[i : j + 1], i)
+        yield words_of(data[at[i] : at[j]], at[i : j + 1], i, gaps)
         i = j
 
 
