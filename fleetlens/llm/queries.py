@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetlens.llm.bpe import bpe_round_trip
 from fleetlens.llm.embeddings import near_duplicate_vectors
@@ -13,6 +14,7 @@ from fleetlens.llm.packing import pack_documents
 from fleetlens.llm.quality import quality_rules
 from fleetlens.llm.shipping import ship
 from fleetlens.llm.storage import shared_folder
+from fleetlens.llm.substring import remove_repeats
 from fleetlens.llm.toxicity import score_toxicity
 from fleetlens.llm.urlfilter import judge_urls
 from fleetlens.llm.warc import read_warc, write_warc
@@ -83,3 +85,9 @@ def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_toxicity(docs, _table(spark, sf_dir, "labels")).drop("text")
+
+
+@_registered("op1_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
