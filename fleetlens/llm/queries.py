@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.bpe import bpe_round_trip
 from fleetlens.llm.embeddings import near_duplicate_vectors
+from fleetlens.llm.ngramjoin import near_duplicates
 from fleetlens.llm.packing import pack_documents
 from fleetlens.llm.quality import quality_rules
 from fleetlens.llm.shipping import ship
@@ -91,3 +92,8 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+@_registered("op5_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
