@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.bpe import bpe_round_trip
 from fleetlens.llm.embeddings import near_duplicate_vectors
+from fleetlens.llm.licenses import scan_licenses
 from fleetlens.llm.ngramjoin import near_duplicates
 from fleetlens.llm.packing import pack_documents
 from fleetlens.llm.quality import quality_rules
@@ -97,3 +98,9 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_registered("op5_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_registered("op3_license_scans")
+def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "paragraph", "family", "probability", "template", "overlap")
