@@ -1,13 +1,79 @@
-"""A corpus pipeline over ``documents``: every stage is written as Parquet and read back for the next."""
+"""A corpus pipeline over ``documents``: every stage is written as Parquet and read back for the next.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on every document that its predecessor kept.  All
+but the last return the columns of the documents, whatever those are; only ``doc_id``, ``text``,
+``lang``, ``source`` and ``n_chars`` have a meaning here, and only ``text`` and ``n_chars`` change.
+Null and empty texts fail the quality rules.  An empty table passes through all stages empty.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fleetlens.llm.ngramjoin import near_duplicates
+from fleetlens.llm.packing import pack_documents
+from fleetlens.llm.quality import quality_rules
+from fleetlens.llm.queries import TOKENIZER
 from fleetlens.llm.shipping import ship
 from fleetlens.llm.storage import stored
+from fleetlens.llm.substring import remove_repeats
+from fleetlens.llm.toxicity import score_toxicity
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    ship(spark)
+    whole = docs.select(F.struct(*_columns(docs)).alias("_doc"), "text", "lang", "source")
+    return quality_rules(whole).where("kept").select("_doc.*")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model predicts as toxic go."""
+    ship(spark)
+    whole = docs.select(F.struct(*_columns(docs)).alias("_doc"), "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_toxicity(whole, labels).where("predicted = 0").select("_doc.*")
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id.
+
+    Documents without an id take no part and stay; rows that repeat an id stay or go together.
+    """
+    ship(spark)
+    gone = near_duplicates(docs.select("doc_id", "text")).where("not kept and doc_id is not null").select("doc_id")
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*_columns(docs))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that repeat go; documents without any keep their text as it is, emptied ones go."""
+    ship(spark)
+    cut = remove_repeats(docs.select(F.struct(*_columns(docs)).alias("_doc"), "text"))
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept_text")).otherwise(F.col("_doc.text"))
+    values = {"text": text, "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("_doc.n_chars"))}
+    return cut.where("n_words > n_removed").select(*[values.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of the documents in training sequences."""
+    ship(spark)
+    return pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
 
-STAGES = []
+STAGES = [
+    ("quality", quality),
+    ("toxicity", toxicity),
+    ("ngram_join", ngram_join),
+    ("substring_dedup", substring_dedup),
+    ("packing", packing),
+]
 
 #: Models and packings are not expressible in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -17,6 +83,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each on everything that its predecessor kept."""
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
