@@ -344,7 +344,7 @@ def bpe_encode(documents: DataFrame, path: str, text: str = "text", ids: str = "
     if text not in kept:
         raise ValueError("the ids cannot replace the text they are made of")
     frame = documents.select(*[f"`{c}`" for c in kept])
-    schema = frame.schema.add(ids, T.ArrayType(T.IntegerType()))
+    schema = T.StructType([*frame.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,7 +361,7 @@ def bpe_decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "dec
     """Add ``text``, the ids decoded with special tokens kept.  Null ids give a null text."""
     kept = [c for c in encoded.columns if c != text]
     frame = encoded.select(*[f"`{c}`" for c in kept])
-    schema = frame.schema.add(text, "string")
+    schema = T.StructType([*frame.schema.fields, T.StructField(text, T.StringType())])
     at = kept.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,7 +73,7 @@ CLASSES = (UNKNOWN, *TEMPLATES)
 BITS = 16  #: hashed feature space
 #: Adjacent words that are scored together, and the step between such spans.  A longer paragraph is
 #: scored by its best span: short ones find a sentence among other words, long ones a long template.
-SPANS = ((8, 2), (24, 8))
+SPANS = ((8, 2), (12, 4), (24, 8))
 SAMPLE = 4000  #: ordinary paragraphs, chosen by hash, that the unknown class learns from
 PER_TEMPLATE = 60  #: perturbed copies of each template sentence
 MIN_PROBABILITY = 0.5
@@ -140,7 +140,7 @@ def _examples(ordinary: list[str], seed: int = 11) -> tuple[list[str], np.ndarra
 
 def train(ordinary: list[str], epochs: int = 40, rate: float = 0.5, penalty: float = 1e-5) -> LicenseModel:
     """Sparse logistic regression by adaptive gradient steps; a fifth of the examples calibrates."""
-    texts, labels = _examples(ordinary)
+    texts, labels = _examples(_without_templates(ordinary))
     rows = _rows(texts)
     order = np.random.default_rng(5).permutation(len(rows))
     split = len(order) // 5
@@ -190,6 +190,19 @@ def _template_pairs() -> list[tuple[int, str, np.ndarray]]:
     return out
 
 
+def _without_templates(texts: list[str]) -> list[str]:
+    """Texts that hold under a third of every template's word pairs."""
+    templates = _template_pairs()
+    part = _line_words(pa.array(texts, pa.string()))
+    h = part.hashes()
+    out = []
+    for text, a, b in zip(texts, part.bounds[:-1], part.bounds[1:]):
+        have = np.unique(gram_hashes(h[a:b], 2))
+        if all(np.isin(pairs, have).mean() < 1 / 3 for _, _, pairs in templates if len(pairs)):
+            out.append(text)
+    return out
+
+
 def _template_overlap(h: np.ndarray, family: int, templates) -> tuple[float, str]:
     """Largest share of a template's word pairs among those of some words, and the template."""
     have = np.unique(gram_hashes(h, 2))
