@@ -4,7 +4,7 @@ Each class has a model of the words that its labelled texts use, from continuati
 many different contexts (previous words) a word occurs, less an absolute discount.  Text that is
 copied often repeats its contexts, so copies do not make their rare words look typical of a class.
 What the discount takes goes to a backoff shared by both classes, from counts over all documents;
-a word without enough contexts in either class thus says nothing but a constant.  A text scores by
+a word without enough contexts in either class says nothing.  A text scores by
 the highest length-normalised log-likelihood ratio among its expressions of three adjacent words,
 since a few words make a long text toxic, and a logistic curve turns that into a probability.
 """
@@ -165,10 +165,9 @@ def score_toxicity(
     backoff = np.array([counts.get(i, 0) for i in range(len(known))], dtype=float) / max(1, counts.get(-1, 0))
     t0, t1 = max(1, sums["tc0"] or 0), max(1, sums["tc1"] or 0)
     free0, free1 = max(sums["dc0"] or 0.0, 1.0) / t0, max(sums["dc1"] or 0.0, 1.0) / t1
-    constant = float(np.log(free1 / free0)) if sums["tc0"] and sums["tc1"] else 0.0
     toxic = np.maximum(c1 - DISCOUNT, 0) / t1 + free1 * backoff
     ordinary = np.maximum(c0 - DISCOUNT, 0) / t0 + free0 * backoff
-    ratio = np.log(np.maximum(toxic, 1e-12)) - np.log(np.maximum(ordinary, 1e-12)) - constant
+    ratio = np.log(np.maximum(toxic, 1e-12)) - np.log(np.maximum(ordinary, 1e-12))
     if not (sums["tc0"] and sums["tc1"]):
         ratio = np.zeros(len(known))
     table = spark.sparkContext.broadcast((known, ratio))
