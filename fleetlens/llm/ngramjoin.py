@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.llm.components import connected_components
-from fleetlens.llm.storage import release, stored
+from fleetlens.llm.storage import release, shuffle_partitions, stored
 from fleetlens.llm.wordbatch import Words, gram_hashes, mix, ranges, slices, words_of
 
 SHINGLE = 5
@@ -34,6 +34,7 @@ TREES = 24
 DEPTH = 8  #: bytes of a label
 RECALL = 0.999
 BLOCK = 512  #: documents of a cluster that one task compares with as many others
+KEY_BITS = 24  #: of a text key, that decide before a shuffle whether a text can be needed
 BAND = 1.25  #: sets whose sizes differ by more than this factor cannot reach 0.8
 
 
@@ -115,18 +116,36 @@ def _signed(documents: DataFrame, trees: int, depth: int) -> DataFrame:
     return documents.mapInArrow(run, "id long, text_key binary, set_key binary, n long, labels array<long>")
 
 
-def _packed(documents: DataFrame) -> DataFrame:
-    """``text_key, packed`` from ``text``: compressed text is what the shuffle carries."""
+def _key_bits(keys: DataFrame) -> np.ndarray:
+    """A bit for each value of the first ``KEY_BITS`` bits of a key: a fixed size for any number of keys."""
+    front = F.conv(F.hex(F.substring("text_key", 1, KEY_BITS // 8)), 16, 10).cast("long")
+    found = (
+        keys.select(front.alias("front"))
+        .groupBy(F.shiftright("front", 6).cast("int").alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(front & 63 as int)))").alias("bits"))
+        .toPandas()
+    )
+    out = np.zeros((1 << KEY_BITS) // 64, dtype=np.uint64)
+    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
+def _packed(documents: DataFrame, bits) -> DataFrame:
+    """``text_key, packed`` from ``text``: compressed text is what the shuffle carries.
+
+    Texts whose key has no bit set are left out; a few others that nobody asked for may remain.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
+        wanted = bits.value
         for batch in batches:
             raw = [t.encode() for t in batch.column(0).to_pylist()]
+            keys = [hashlib.md5(r).digest() for r in raw]
+            front = np.array([int.from_bytes(k[: KEY_BITS // 8], "big") for k in keys], dtype=np.int64)
+            hit = np.flatnonzero(wanted[front >> 6] >> (front & 63).astype(np.uint64) & np.uint64(1)).tolist()
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([hashlib.md5(r).digest() for r in raw], pa.binary()),
-                    pa.array([squeeze.compress(r) for r in raw], pa.binary()),
-                ],
+                [pa.array([keys[i] for i in hit], pa.binary()), pa.array([squeeze.compress(raw[i]) for i in hit], pa.binary())],
                 names=["text_key", "packed"],
             )
 
@@ -278,12 +297,13 @@ def near_duplicates(
             (F.col("band") * 1000003 + F.col("sub")).alias("block"),
         )
     )
-    bodies = _packed(docs.where("id is not null").select("text")).join(
+    bits = documents.sparkSession.sparkContext.broadcast(_key_bits(members))
+    bodies = _packed(docs.where("id is not null").select("text"), bits).join(
         members.select("text_key").distinct(), "text_key", "left_semi"
     ).groupBy("text_key").agg(F.first("packed").alias("packed"))
     ordered = (
         dealt.join(bodies, "text_key").select("task", "rep", "weight", "block", "packed")
-        .repartition("task").sortWithinPartitions("task", "rep")
+        .repartition(shuffle_partitions(documents.sparkSession), "task").sortWithinPartitions("task", "rep")
     )
     found = stored(_verified(ordered, threshold), "links")
     release(documents.sparkSession)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.storage import release, stored
+from fleetlens.llm.storage import release, shuffle_partitions, stored
 from fleetlens.llm.wordbatch import Words, gram_hashes, slices, words_of
 
 LENGTH = 35
@@ -241,7 +241,7 @@ def repeated_runs(
         "large-parts",
     )
     small = runs.join(large, "anchor", "left_anti")
-    ordered = small.select("anchor", "run", "copies").repartition("anchor").sortWithinPartitions("anchor", "run")
+    ordered = small.select("anchor", "run", "copies").repartition(shuffle_partitions(spark), "anchor").sortWithinPartitions("anchor", "run")
     found = _subtrees(ordered, length)
     if large.isEmpty():
         return found
@@ -255,7 +255,7 @@ def repeated_runs(
             keyed.groupBy("prefix").count().where(F.col("count") > part_windows).select("prefix"), f"crowded-{words}"
         )
         fits = keyed.join(crowded, "prefix", "left_anti").select("prefix", F.col("window").alias("run"), "copies")
-        part = _subtrees(fits.repartition("prefix").sortWithinPartitions("prefix", "run"), length)
+        part = _subtrees(fits.repartition(shuffle_partitions(spark), "prefix").sortWithinPartitions("prefix", "run"), length)
         repeats = repeats.unionByName(part.select(F.col("run").alias("window")))
         left = stored(keyed.join(crowded, "prefix", "left_semi").drop("prefix"), f"split-{words}")
     # Whole windows: each is a part of its own.
