@@ -10,12 +10,14 @@ import zipfile
 from pyspark.sql import SparkSession
 
 import fleetlens
+from fleetlens.sources.workspace import ensure_shared
 
 _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package once per application through Spark's own file server."""
+    """Send the package once per application through Spark's own file server, and see to a shared folder."""
+    ensure_shared(spark)
     context = spark.sparkContext
     if context.applicationId in _sent:
         return

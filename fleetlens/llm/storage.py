@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import gc
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.sources.workspace import workspace
+
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; raises where no such folder is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/llm-{purpose}-{uuid.uuid4().hex}"
+    """A fresh folder that all executors share; raises where none is configured."""
+    return workspace(spark, f"llm-{purpose}")
 
 
 def stored(frame: DataFrame, purpose: str) -> DataFrame:
@@ -24,6 +22,11 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's number of partitions, for steps whose work the size of their rows does not show."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder made by this module once nothing reads it."""
     jvm = spark.sparkContext._jvm
