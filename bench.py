@@ -6,13 +6,14 @@ import json
 import os
 import time
 
+from fleetlens.sources.workspace import ensure_shared
 from verification.queries import QUERIES
 
 HEADLINE = [
     "top_queries", "statement_stats", "query_stats_delta", "fingerprint_rollup", "database_delta",
     "pooler_delta", "table_delta", "index_delta", "index_stats", "bloat_report", "cache_hit_rates",
     "fn_obfuscate_query", "fn_fingerprint", "fn_parse_comment", "log_stitch", "log_metrics",
-    "slow_query_report", "explain_throttle", "agent_log_stats", "metric_stream", "metric_series",
+    "slow_query_report", "explain_throttle", "collector_log_stats", "metric_stream", "metric_series",
     "schema_health", "error_cap", "report_document", "stream_logs",
 ]
 
@@ -34,6 +35,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_shared(spark)
     names = os.environ.get("BENCH_QUERIES", " ".join(HEADLINE)).split()
     # One small run starts the JIT and the Python side.
     QUERIES["statement_stats"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()

@@ -1,17 +1,24 @@
-"""Folders for streaming checkpoints and staged output."""
+"""Folders for intermediate and staged data that the driver and all executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+#: Set by ``ensure_shared`` where the session has no ``spark.checkpoint.dir``.
+SHARED = "spark.fleetlens.shared.dir"
 
-def workspace(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the shared checkpoint directory of the session.
 
-    Only a session without one (a local test) falls back to a temporary folder.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+def workspace(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder under the shared directory of the session; raises where none is configured."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SHARED, None)
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{shared.rstrip('/')}/fleetlens-{purpose}-{uuid.uuid4().hex}"
+
+
+def ensure_shared(spark: SparkSession) -> None:
+    """Where the cluster names no checkpoint directory, use a folder beside the session's warehouse."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SHARED, None)):
+        spark.conf.set(SHARED, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared")
