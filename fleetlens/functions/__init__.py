@@ -18,7 +18,7 @@ from fleetlens.functions.numeric import (  # noqa: F401
 from fleetlens.functions.text import (  # noqa: F401
     clean_query,
     fingerprint,
-    is_agent_comment,
+    is_collector_comment,
     obfuscate_explain,
     obfuscate_query,
     query_comment,

@@ -28,9 +28,9 @@ QUERY_BYTES = 5000
 COMMENT_BYTES = 1000
 FINGERPRINT_CHARS = 10
 
-# The comment by which an agent marks its own statements.  A deployment passes
+# The comment by which a collector marks its own statements.  A deployment passes
 # the tag its collector writes.
-AGENT_TAG = "/* app:fleet-agent */"
+COLLECTOR_TAG = "/* app:fleet-collector */"
 
 # --- fixed values: patterns -----------------------------------------------
 _S = r"[\t\n\f\r ]*"
@@ -56,11 +56,20 @@ _OPERATORS = "|".join(
 )
 OPERATOR_PARAM = rf"(?=[=><iIlLsSoOtT\u017f])((?:{_OPERATORS}){_S}){_PARAM}"
 
-_TUPLE = r"\((?:'?.+?'|'?.+?'?)\)"
+_SAME_LINE = r"[\t\f\r ]*"
+_NEXT_LINE = rf"{_SAME_LINE}\n{_S}"
+# A tuple that ends in a quote, or else the shortest one.  If no quote closes a tuple any more on a
+# line, none will later on that line; so a line is a run of the first kind, then one of the second.
+_QUOTED_TUPLE = r"\(.+?'\)"
+_PLAIN_TUPLE = r"\(.+?\)"
+_LINE_OF_TUPLES = (
+    rf"(?:{_QUOTED_TUPLE}(?:,{_SAME_LINE}{_QUOTED_TUPLE})*+(?:,{_SAME_LINE}{_PLAIN_TUPLE})*+"
+    rf"|{_PLAIN_TUPLE}(?:,{_SAME_LINE}{_PLAIN_TUPLE})*+)"
+)
 _WORD_START = r"(?<![0-9A-Za-z_])"
 LIST_PARAM = (
     rf"(?d)(?=[iIvV]){_WORD_START}((?:{_any_case('in')}|{_any_case('values')}){_S})"
-    rf"{_TUPLE}(?:,{_S}{_TUPLE})*+"
+    rf"{_LINE_OF_TUPLES}(?:,{_NEXT_LINE}{_LINE_OF_TUPLES})*+"
 )
 BETWEEN_PARAM = (
     rf"(?=[bB]){_WORD_START}({_any_case('between')}(?:{_S}{_any_case('symmetric')})?{_S}){_VALUE}"
@@ -118,8 +127,8 @@ def truncate_bytes(text: Column, limit: int) -> Column:
     return F.when(F.octet_length(text) > limit, F.concat(head, F.lit(TRUNCATED))).otherwise(text)
 
 
-def truncate_query(text: Column) -> Column:
-    return truncate_bytes(text, QUERY_BYTES)
+def truncate_query(text: Column, max_bytes: int | None = QUERY_BYTES) -> Column:
+    return text if max_bytes is None else truncate_bytes(text, max_bytes)
 
 
 def _comments(text: Column) -> Column:
@@ -139,9 +148,14 @@ def _remove_first(text: Column, part: Column) -> Column:
     )
 
 
-def query_comment(text: Column) -> Column:
-    """All ``/*...*/`` comments joined without separator, capped in bytes."""
-    return truncate_bytes(F.array_join(_comments(text), ""), COMMENT_BYTES)
+def all_comments(text: Column) -> Column:
+    """All ``/*...*/`` comments joined without separator."""
+    return F.array_join(_comments(text), "")
+
+
+def query_comment(text: Column, max_bytes: int | None = COMMENT_BYTES) -> Column:
+    """All comments, capped in bytes; ``None`` leaves them whole."""
+    return all_comments(text) if max_bytes is None else truncate_bytes(all_comments(text), max_bytes)
 
 
 def strip_comments(text: Column) -> Column:
@@ -155,7 +169,7 @@ def strip_comments(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("/*")), stripped).otherwise(text)
 
 
-def is_agent_comment(comment: Column, tag: str = AGENT_TAG) -> Column:
+def is_collector_comment(comment: Column, tag: str = COLLECTOR_TAG) -> Column:
     return F.contains(comment, F.lit(tag))
 
 

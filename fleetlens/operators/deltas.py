@@ -82,7 +82,7 @@ def lag_pairs(
 
     Within a bucket this is a plain lag.  The first row of a bucket takes the
     last row of the closest earlier bucket, found on one summary row per bucket.
-    Both branches read the same exchange.
+    The rows and the summary are two scans of the input, each shuffled once by the key and bucket.
     """
     bucketed = rows.withColumn("_bucket", F.floor(F.col(poll) / bucket_polls)).repartition(
         *[F.col(k) for k in keys], F.col("_bucket")

@@ -80,7 +80,7 @@ def error_cap(
     )
 
 
-def agent_log_stats(
+def collector_log_stats(
     payloads: DataFrame, interval: str = REPORT_INTERVAL, by: Sequence[str] = ()
 ) -> DataFrame:
     """Counts over log processing per report interval.

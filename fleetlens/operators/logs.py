@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.binding import let
 from fleetlens.functions.logtext import key_values, log_timestamp, slow_query_line, syslog_line
-from fleetlens.functions.text import AGENT_TAG, obfuscate_explain
+from fleetlens.functions.text import COLLECTOR_TAG, obfuscate_explain
 from fleetlens.operators.querystats import normalize_text
 from fleetlens.schemas import SERVER
 
@@ -24,7 +24,7 @@ SQL_PROCESS_PREFIX = "postgres."
 EXPLAIN_BYTES = 30000
 EXPLAIN_SECONDS = 3600
 # The text a collector raises to test log delivery; a deployment passes its own.
-TEST_MARKER = "NOTICE:  FLEET_AGENT_LOG_TEST"
+TEST_MARKER = "NOTICE:  FLEET_COLLECTOR_LOG_TEST"
 
 
 def mentions_postgres(body: Column) -> Column:
@@ -42,11 +42,11 @@ def log_prefilter(payloads: DataFrame) -> DataFrame:
 def log_test_marker(
     payloads: DataFrame, marker: str = TEST_MARKER, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Receipt time of the last payload (in ingest order) that carries the test marker."""
+    """Receipt time of the last payload received that carries the test marker."""
     return (
         payloads.filter(F.contains("body", F.lit(marker)))
         .groupBy(*by)
-        .agg(F.max_by(F.unix_seconds("received_at"), "payload_id").alias("log_test_received_at"))
+        .agg(F.unix_seconds(F.max("received_at")).alias("log_test_received_at"))
         .filter(F.col("log_test_received_at").isNotNull())
     )
 
@@ -154,8 +154,8 @@ def log_route(stitched: DataFrame) -> DataFrame:
 def slow_query_events(
     lines: DataFrame,
     servers: DataFrame,
-    keep_agent_queries: bool = False,
-    agent_tag: str = AGENT_TAG,
+    keep_collector_queries: bool = False,
+    collector_tag: str = COLLECTOR_TAG,
 ) -> DataFrame:
     """Slow lines as statement statistics rows of their server.
 
@@ -168,7 +168,7 @@ def slow_query_events(
     )
     text = lines.withColumn("query", F.col("raw"))
     events = normalize_text(
-        text, redact=False, keep_agent_queries=keep_agent_queries, agent_tag=agent_tag
+        text, redact=False, keep_collector_queries=keep_collector_queries, collector_tag=collector_tag
     ).join(known, "color")
     duration = F.col("duration_ms")
     carried = [c for c in lines.columns if c not in ("color", "measured_at", "raw", "duration_ms", "metadata")]

@@ -28,51 +28,62 @@ def statement_stats(statements: DataFrame, databases: DataFrame, versions: DataF
     current = databases.filter(F.col("datname") == F.col("database")).select(
         *POLL, F.col("oid").alias("dbid")
     )
-    new_names = version_gte(F.col("version"), F.lit(NEW_TIME_NAMES_SINCE))
+    # One comparison per server, not per statement.
+    renamed = versions.select(*SERVER, version_gte(F.col("version"), F.lit(NEW_TIME_NAMES_SINCE)).alias("_renamed"))
     times = {
-        f"{kind}_time": F.when(new_names, F.col(f"{kind}_exec_time")).otherwise(F.col(f"{kind}_time"))
+        f"{kind}_time": F.when(F.col("_renamed"), F.col(f"{kind}_exec_time")).otherwise(F.col(f"{kind}_time"))
         for kind in ("total", "min", "max")
     }
     timed = (
         drop_nulls(statements, REQUIRED["statements"])
         .join(current, [*POLL, "dbid"])
-        .join(versions.select(*SERVER, "version"), SERVER, "left")
+        .join(renamed, SERVER, "left")
         .withColumns(times)
     )
     return drop_nulls(timed, times).select(*POLL_AT, "ord", "query_id", "query", *COUNTERS, *GAUGES)
 
 
-def _is_agent_row(raw: Column, comment: Column, tag: str) -> Column:
-    """The comment holds the agent tag.
+def _is_collector_row(raw: Column, comment: Column, tag: str) -> Column:
+    """The comment holds the collector tag.
 
     The optimizer pushes this filter down to the scan, where it would extract the
     comments of every row.  A tag that neither spans two joined comments nor holds
     redacted text must stand in the raw text already, a plain substring test.
     """
-    marked = tx.is_agent_comment(comment, tag)
+    marked = tx.is_collector_comment(comment, tag)
     if "//" in tag or tx.REDACTED in tag:
         return marked
     return F.coalesce(F.contains(raw, F.lit(tag)), F.lit(False)) & marked
 
 
+def without_collector_rows(
+    rows: DataFrame, text: str = "query", collector_tag: str = tx.COLLECTOR_TAG, redacted: str | None = None
+) -> DataFrame:
+    """Rows whose comments do not hold the collector tag; ``redacted`` names a redacted copy of the text."""
+    comment = F.coalesce(tx.all_comments(F.col(redacted or text)), F.lit(""))
+    return rows.filter(~_is_collector_row(F.col(text), comment, collector_tag))
+
+
 def normalize_text(
     rows: DataFrame,
     text: str = "query",
     redact: bool = True,
-    keep_agent_queries: bool = False,
-    agent_tag: str = tx.AGENT_TAG,
+    keep_collector_queries: bool = False,
+    collector_tag: str = tx.COLLECTOR_TAG,
+    comment_bytes: int | None = tx.COMMENT_BYTES,
+    query_bytes: int | None = tx.QUERY_BYTES,
 ) -> DataFrame:
     """Comment, cleaned obfuscated text and fingerprint of a statement column.
 
     NULL text becomes the missing marker with an empty fingerprint.  Statements
-    carrying the agent tag are dropped unless kept on request.
+    carrying the collector tag are dropped unless kept on request; the tag is looked
+    for in whole comments.  ``None`` leaves comments or texts uncut.
     """
     source = F.col(text)
-    out = rows.withColumn("_source", tx.redact_ip(source) if redact else source).withColumn(
-        "comment", F.coalesce(tx.query_comment(F.col("_source")), F.lit(""))
-    )
-    if not keep_agent_queries:
-        out = out.filter(~_is_agent_row(source, F.col("comment"), agent_tag))
+    out = rows.withColumn("_source", tx.redact_ip(source) if redact else source)
+    if not keep_collector_queries:
+        out = without_collector_rows(out, text, collector_tag, "_source")
+    out = out.withColumn("comment", F.coalesce(tx.query_comment(F.col("_source"), comment_bytes), F.lit("")))
     return (
         out.withColumn("_plain", tx.obfuscate_query(tx.strip_comments(F.col("_source"))))
         .withColumn("_clean", tx.clean_query(F.col("_plain")))
@@ -80,7 +91,7 @@ def normalize_text(
             "fingerprint",
             F.when(F.col("_clean").isNull(), "").otherwise(tx.fingerprint(F.col("_clean"))),
         )
-        .withColumn(text, F.coalesce(tx.truncate_query(F.col("_clean")), F.lit(tx.MISSING_TEXT)))
+        .withColumn(text, F.coalesce(tx.truncate_query(F.col("_clean"), query_bytes), F.lit(tx.MISSING_TEXT)))
         .drop("_source", "_plain", "_clean")
     )
 
@@ -163,42 +174,26 @@ def missing_text_placeholder(rolled: DataFrame) -> DataFrame:
     )
 
 
-def worst_queries(
-    rolled: DataFrame, limit: int = TOP_PER_CATEGORY, slow_ms: float = SLOW_MS, salts: int = 16
-) -> DataFrame:
+def worst_queries(rolled: DataFrame, limit: int = TOP_PER_CATEGORY, slow_ms: float = SLOW_MS) -> DataFrame:
     """The worst statements of every server poll, with the category that chose them.
 
     Four passes by calls, total time, mean time and block IO time; each takes the
     next ``limit`` rows no earlier pass took, the last two only rows of at least
     ``slow_ms``.  Placeholder rows pass through.  Ties go to the smaller fingerprint.
 
-    A pick of pass *n* ranks within ``n * limit`` of its own measure, so a salted
-    first stage that keeps those ranks per salt loses nothing, and the exact
-    passes then see at most ``10 * limit * salts`` rows per server poll.
+    Every pass ranks within the server poll, rows that are still open first, so one
+    shuffle serves all four.
     """
     measures = [("calls", "calls"), ("total_time", "total_time"), ("mean_time", "mean_time"),
                 ("block_io", "total_blk_io_time")]
-
-    def ranked(measure: str, *by: str) -> Column:
-        order = [F.col(measure).desc(), F.col("fingerprint").asc()]
-        return F.row_number().over(Window.partitionBy(*POLL, *by).orderBy(*order))
-
-    rows = rolled.withColumn("_hold", is_placeholder()).filter(F.col("_hold") | (F.col("calls") > 0))
-    eligible = {"mean_time": F.col("mean_time") >= slow_ms, "total_blk_io_time": F.col("total_blk_io_time") >= slow_ms}
-
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("fingerprint"), F.lit(salts)))
-    near_top = F.col("_hold")
-    for n, (_, measure) in enumerate(measures, start=1):
-        salted = salted.withColumn(f"_r{n}", ranked(measure, "_salt", "_hold"))
-        near_top = near_top | (
-            (F.col(f"_r{n}") <= n * limit) & eligible.get(measure, F.lit(True))
-        )
-    out = salted.filter(near_top).drop("_salt", *[f"_r{n}" for n in range(1, 5)])
-
+    slow_only = {"mean_time", "total_blk_io_time"}
+    out = rolled.withColumn("_hold", is_placeholder()).filter(F.col("_hold") | (F.col("calls") > 0))
     out = out.withColumn("category", F.when(F.col("_hold"), F.lit("missing_text")))
     for name, measure in measures:
-        out = out.withColumn("_open", F.col("category").isNull() & eligible.get(measure, F.lit(True)))
-        out = out.withColumn("_rank", ranked(measure, "_open"))
+        eligible = F.col(measure) >= slow_ms if measure in slow_only else F.lit(True)
+        out = out.withColumn("_open", F.coalesce(F.col("category").isNull() & eligible, F.lit(False)))
+        order = [F.col("_open").desc(), F.col(measure).desc(), F.col("fingerprint").asc()]
+        out = out.withColumn("_rank", F.row_number().over(Window.partitionBy(*POLL).orderBy(*order)))
         out = out.withColumn(
             "category",
             F.when(F.col("_open") & (F.col("_rank") <= limit), F.lit(name)).otherwise(F.col("category")),

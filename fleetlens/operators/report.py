@@ -1,8 +1,8 @@
 """Nested report documents.
 
-A document belongs to one agent and one report interval (``by``).  Children are
+A document belongs to one collector and one report interval (``by``).  Children are
 aggregated per server before they join their parent, so the widest group is what
-one agent saw in one interval, whatever the size of the fleet.
+one collector saw in one interval, whatever the size of the fleet.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from fleetlens.functions.numeric import round_up2
 from fleetlens.operators.metrics import metric_series
 from fleetlens.schemas import BLOCK_COUNTERS
 
-BY = ("agent_id", "report_start")
+BY = ("collector_id", "report_start")
 
 
 # ---- empty values -------------------------------------------------------------
@@ -225,14 +225,14 @@ def report_document(
     errors: DataFrame,
     by: Sequence[str] = BY,
     interval_seconds: int = 60,
-    agent_version: str = "1.0",
+    collector_version: str = "1.0",
 ) -> DataFrame:
-    """One nested document per agent and interval; invalid ones are left out.
+    """One nested document per collector and interval; invalid ones are left out.
 
     ``servers`` comes from :func:`servers_enriched`; the others carry the ``by``
     columns.  Documents whose only content is counters or errors are not sent.
     """
-    agent_col, start = by
+    collector_col, start = by
     server_cols = [F.col(c) for c in servers.columns if c not in by]
     parts = [
         _list(servers, by, ["config_name", "config_var_name"], server_cols, "servers"),
@@ -254,9 +254,9 @@ def report_document(
     out = parts[0]
     for part in parts[1:]:
         out = out.join(part, list(by), "full")
-    agent = F.struct(
-        F.col(agent_col).alias("uuid"),
-        F.lit(agent_version).alias("version"),
+    collector = F.struct(
+        F.col(collector_col).alias("uuid"),
+        F.lit(collector_version).alias("version"),
         F.when(F.col("_logs").isNotNull(), F.struct(F.col("_logs").alias("logs"))).alias("stats"),
         F.col("_errors").alias("errors"),
     )
@@ -266,7 +266,7 @@ def report_document(
         "servers",
         (F.unix_seconds(start) + interval_seconds).alias("reported_at"),
         "log_test_message_received_at",
-        agent.alias("agent"),
+        collector.alias("collector"),
     )
     return doc.filter(is_valid_report(doc))
 

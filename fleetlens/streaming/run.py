@@ -11,8 +11,6 @@ from fleetlens.operators.fold import REPORT_INTERVAL
 from fleetlens.sources.workspace import workspace
 from fleetlens.streaming.state import ROCKSDB
 
-# Late rows are accepted for two minutes; the windows themselves are tumbling.
-WATERMARK = "2 minutes"
 
 
 def drain(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFrame:
@@ -40,11 +38,15 @@ def drain(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFrame:
 
 
 def windowed_counts(
-    rows: DataFrame, event_time: str, keys: list[str], interval: str = REPORT_INTERVAL
+    rows: DataFrame, event_time: str, keys: list[str], watermark: str, interval: str = REPORT_INTERVAL
 ) -> DataFrame:
-    """Rows per report interval and key over a stream with late data."""
+    """Rows per report interval and key over a stream with late data.
+
+    Rows later than ``watermark`` are left out; the progress of the query counts them
+    (``numRowsDroppedByWatermark``).
+    """
     return (
-        rows.withWatermark(event_time, WATERMARK)
+        rows.withWatermark(event_time, watermark)
         .groupBy(F.window(event_time, interval), *keys)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("window.start").alias("report_start"), *keys, "n")

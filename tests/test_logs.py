@@ -12,16 +12,16 @@ def payloads(spark, *bodies):
     return spark.createDataFrame([(i, T0, b) for i, b in enumerate(bodies)], "payload_id bigint, received_at timestamp, body string")
 
 
-def line(process, segment, message, color="GREEN"):
-    return f"531 <132>1 2022-08-11T02:47:50+00:00 host app {process} - [{color}] [{segment}] {message}"
+def line(process, segment, message, color="TEAL"):
+    return f"219 <158>1 2031-02-03T04:05:06+00:00 host app {process} - [{color}] [{segment}] {message}"
 
 
 def test_stitching(spark):
-    body = "\n".join([line("postgres.1", "12-1", " select"), line("postgres.2", "12-1", " other"), line("postgres.1", "12-2", " more"),
-                      "noise", line("postgres.1", "13-1", " next")])
+    body = "\n".join([line("postgres.31", "7-1", " select"), line("postgres.32", "7-1", " other"), line("postgres.31", "7-2", " more"),
+                      "noise", line("postgres.31", "8-1", " next")])
     got = logs.log_stitch(payloads(spark, body)).orderBy("pos").collect()
     assert [(r.process, r.segment, r.message) for r in got] == [
-        ("postgres.1", "12", " select more"), ("postgres.2", "12", " other"), ("postgres.1", "13", " next")]
+        ("postgres.31", "7", " select more"), ("postgres.32", "7", " other"), ("postgres.31", "8", " next")]
 
 
 def test_stitching_a_long_payload_matches_plain_python(spark):
@@ -36,10 +36,10 @@ def test_stitching_a_long_payload_matches_plain_python(spark):
 
 
 def test_metric_lines_without_segment_are_glued(spark):
-    text = "1 <134>1 2022-03-24T23:59:31+00:00 host app heroku-postgres - "
+    text = "77 <158>1 2030-01-01T00:00:00+00:00 host app heroku-postgres - "
     body = text + "source=A x=1\n" + text + "source=B y=2"
     row = logs.log_metrics(logs.log_stitch(payloads(spark, body))).first()
-    assert row.metrics == {"timestamp": "1648166371", "source": "A", "y": "2"}  # the joint has two equal signs
+    assert row.metrics == {"timestamp": "1893456000", "source": "A", "y": "2"}  # the joint has two equal signs
 
 
 def test_throttle_is_greedy_from_the_last_emission(spark):

@@ -21,13 +21,13 @@ def frame(spark, *changes):
 def test_delta_subtracts_and_takes_text_from_the_later_poll(spark):
     df = frame(
         spark,
-        dict(calls=16184, total_time=100.0, query="old"),
-        dict(poll_seq=2, measured_at=120, calls=16194, total_time=110.0, query="new", blk_read_time=2.0, blk_write_time=3.0),
+        dict(calls=40, total_time=6.0, query="old"),
+        dict(poll_seq=2, measured_at=120, calls=48, total_time=18.0, query="new", blk_read_time=2.0, blk_write_time=3.0),
     )
     row = qs.query_stats_delta(df).collect()
     assert len(row) == 1
     row = row[0]
-    assert (row.poll_seq, row.calls, row.total_time, row.mean_time, row.query) == (2, 10, 10.0, 1.0, "new")
+    assert (row.poll_seq, row.calls, row.total_time, row.mean_time, row.query) == (2, 8, 12.0, 1.5, "new")
     assert (row.total_blk_io_time, row.measured_at) == (5.0, 120)
 
 
@@ -61,9 +61,9 @@ def test_worst_queries_equals_the_plain_greedy_passes(spark):
         for i in range(400)
     ]
     df = spark.createDataFrame([Row(**r) for r in rows])
-    for salts in (1, 7):
-        got = {r.fingerprint: r.category for r in qs.worst_queries(df, limit=9, salts=salts).collect()}
-        assert got == greedy(rows, 9)
+    picked = qs.worst_queries(df, limit=9)
+    assert picked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r.fingerprint: r.category for r in picked.collect()} == greedy(rows, 9)
 
 
 def test_placeholder_passes_through_zeroed(spark):
@@ -73,11 +73,14 @@ def test_placeholder_passes_through_zeroed(spark):
     assert got["f"].category == "calls"
 
 
-def test_agent_statements_are_skipped_unless_kept(spark):
-    df = spark.createDataFrame([("select 1 /* app:fleet-agent */",), ("select 1",), (None,)], "query string")
+def test_collector_statements_are_skipped_unless_kept(spark):
+    df = spark.createDataFrame([("select 1 /* app:fleet-collector */",), ("select 1",), (None,)], "query string")
     assert {r.query for r in qs.normalize_text(df).collect()} == {"select ?", "MISSING"}
-    kept = qs.normalize_text(df, keep_agent_queries=True)
+    kept = qs.normalize_text(df, keep_collector_queries=True)
     assert kept.count() == 3
     assert kept.filter(F.col("fingerprint") == "").count() == 1
-    other = qs.normalize_text(df, agent_tag="//app")
+    deep = spark.createDataFrame([("/* " + "x" * 2000 + " */ select 1 /* app:fleet-collector */",)], "query string")
+    assert qs.normalize_text(deep).count() == 0  # the tag is found beyond the cut of the comment
+    assert len(qs.normalize_text(deep, keep_collector_queries=True, comment_bytes=None).first().comment) > 2000
+    other = qs.normalize_text(df, collector_tag="//app")
     assert other.count() == 3

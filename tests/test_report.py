@@ -16,7 +16,7 @@ def test_fleet_report_documents(spark, sf):
     assert clients and not {"client_addr", "client_hostname", "client_port"} & set().union(*clients)
     tables = [t for s in servers for d in s.get("databases", []) for c in d["schemas"] for t in c.get("tables", [])]
     assert tables and all("name" in t for t in tables)
-    assert any(d["agent"].get("errors") for d in docs) and any(d.get("log_metrics") for d in docs)
+    assert any(d["collector"].get("errors") for d in docs) and any(d.get("log_metrics") for d in docs)
 
 
 def test_reports_are_gzip_json_lines(spark, sf, tmp_path):
@@ -25,4 +25,4 @@ def test_reports_are_gzip_json_lines(spark, sf, tmp_path):
 
     write_report_json(_small_documents(spark, sf), str(tmp_path / "out"))
     lines = [x for f in glob.glob(str(tmp_path / "out" / "*.gz")) for x in gzip.open(f, "rt")]
-    assert lines and all({"reported_at", "agent"} <= set(json.loads(x)) for x in lines)
+    assert lines and all({"reported_at", "collector"} <= set(json.loads(x)) for x in lines)

@@ -26,7 +26,7 @@ def test_windowed_counts_close_behind_the_watermark(spark):
     path = workspace(spark, "test") + "/in"
     spark.createDataFrame(rows, "at timestamp, k string").coalesce(1).write.parquet(path)
     stream = spark.readStream.schema("at timestamp, k string").parquet(path)
-    got = drain(spark, windowed_counts(stream, "at", ["k"]), "windows").collect()
+    got = drain(spark, windowed_counts(stream, "at", ["k"], "2 minutes"), "windows").collect()
     assert sorted((r.report_start, r.n) for r in got) == [(t0, 2), (t0 + dt.timedelta(seconds=60), 1)]
 
 

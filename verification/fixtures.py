@@ -184,7 +184,7 @@ def statements_raw(d: Dialect) -> str:
                 else 'SELECT * FROM t_' || cast(query_id % 300 as string) || ' WHERE id = ' || cast(query_id as string)
                   || ' AND name = ''widget ' || cast(query_id % 7 as string) || '''  LIMIT 10'
                   || case when query_id % 41 = 5 then ' OFFSET 5 -- from 10.0.0.' || cast(query_id % 256 as string) else '' end
-                  || case when query_id % 50 = 7 then ' /* app:fleet-agent */' else ' /*app:' || letter || '*/' end
+                  || case when query_id % 50 = 7 then ' /* app:fleet-collector */' else ' /*app:' || letter || '*/' end
            end as query,
            calls + copy as calls,
            cents * (1 + copy) / 524288.0e0 as total_exec_time, cents_min / 524288.0e0 as min_exec_time,
@@ -554,11 +554,11 @@ def log_payloads(d: Dialect) -> str:
     seg = "cast(event_id % 50 as string)"
     meta = "' sql_error_code = 00000 time_ms = \"x\" pid=\"' || cast(user_id as string) || '\" LOG:  duration: '"
     dur = f"cast(event_id % 5000 as string) || '.' || cast(100 + {d.json_k('props')} as string) || ' ms  execute <unnamed>: '"
-    agent = "case when event_id % 31 = 0 then ' /* app:fleet-agent */' else ' /*app:web,id:' || cast(user_id as string) || '*/' end"
+    collector = "case when event_id % 31 = 0 then ' /* app:fleet-collector */' else ' /*app:web,id:' || cast(user_id as string) || '*/' end"
     head = f"'300 <134>1 ' || {at} || ' host app '"
     purchase = (
         f"{head} || 'postgres.' || {pid} || ' - [' || {color} || '] [' || {seg} || '-1] ' || {meta} || {dur}"
-        f" || 'SELECT * FROM orders WHERE user_id = ' || {pid} || ' AND kind IN (1, 2, 3) LIMIT 5' || {agent}"
+        f" || 'SELECT * FROM orders WHERE user_id = ' || {pid} || ' AND kind IN (1, 2, 3) LIMIT 5' || {collector}"
     )
     click = (
         f"{head} || 'postgres.' || {pid} || ' - [' || {color} || '] [' || {seg} || '-1] ' || {meta} || {dur}"
@@ -572,7 +572,7 @@ def log_payloads(d: Dialect) -> str:
     error = (
         f"{head} || 'postgres.' || {pid} || ' - [' || {color} || '] [' || {seg} || '-1] '"
         " || ' sql_error_code = 23505 pid=\"1\" ERROR:  duplicate key value'"
-        " || case when event_id % 40 = 1 then ' NOTICE:  FLEET_AGENT_LOG_TEST' else '' end"
+        " || case when event_id % 40 = 1 then ' NOTICE:  FLEET_COLLECTOR_LOG_TEST' else '' end"
     )
     signup = "'300 <134>1 x host router heroku/web.1 - at=info path=/signup/' || cast(user_id as string)"
     return f"""
@@ -648,7 +648,7 @@ def corpus(d: Dialect) -> str:
              when 2 then 'INSERT INTO lines (a, b) VALUES (' || cast(l_orderkey as string) || ', ''' || l_returnflag || '''), (2, ''x'') RETURNING id /*app:' || l_linestatus || '*/'
              when 3 then '/* lead */ select $1 from t where k in (' || cast(l_partkey as string) || ',' || cast(l_suppkey as string) || ') and note ilike ''%a b%''/* tail */'
              when 4 then 'SELECT 1 WHERE d BETWEEN ''1998-01-01'' AND ''1999-01-01'' and x between symmetric ' || cast(l_suppkey as string) || '  and $2' || chr(10) || 'offset 5'
-             when 5 then 'UPDATE t SET ip = ''10.20.30.' || cast(l_suppkey % 256 as string) || ''' WHERE host = 192.168.0.1 /* app:fleet-agent */'
+             when 5 then 'UPDATE t SET ip = ''10.20.30.' || cast(l_suppkey % 256 as string) || ''' WHERE host = 192.168.0.1 /* app:fleet-collector */'
              when 6 then 'select case when a = 1 then ''yes'' end ' || chr(9) || ' from t where z <> 3.50 or y like $3'
              else 'VACUUM lines' end as text
     from {d.table('lineitem')}

@@ -89,7 +89,7 @@ def obfuscate(x: str) -> str:
     return f"regexp_replace({x}, {q(BETWEEN)}, '\\1?\\2?', 'g')"
 
 
-AGENT = "/* app:fleet-agent */"
+COLLECTOR = "/* app:fleet-collector */"
 
 # ---- statements -----------------------------------------------------------------
 
@@ -123,7 +123,7 @@ TEXT = f"""cleaned AS (
   select {KA}, ord, query_id, coalesce({truncate('cleaned', 5000)}, 'MISSING') as query, comment,
          case when cleaned is null then '' else substr(md5(cleaned), 1, 10) end as fingerprint,
          min_time, max_time, {cols(COUNTERS)}
-  from cleaned where not contains(comment, '{AGENT}')
+  from cleaned where not contains(comment, '{COLLECTOR}')
 )"""
 
 DELTA = f"""first_now AS (
@@ -314,28 +314,31 @@ TSTATS = f"""tstats AS (
   where s.schemaname not in {SYSTEM} and {' and '.join(f'{v} is not null' for v in _stat_map.values())})"""
 oracle("table_stats", "table_stat table_statio", "select * from tstats", TSTATS)
 
-INDEXES = f"""indexes AS (
-  select {pick(KA, 'i')}, n.nspname as schema, t.relname as table_name, x.relname as name, i.indisunique as unique,
-         i.indisvalid as valid, x.total_bytes as bytes_total, st.idx_scan as scans, io.idx_blks_read as blocks_read,
-         io.idx_blks_hit as blocks_hit, d.indexdef as definition
-  from pg_index i
-  join pg_class x on {on(K, 'i', 'x')} and x.oid = i.indexrelid
-  join pg_namespace n on {on(K, 'i', 'n')} and n.oid = x.relnamespace
-  join pg_class t on {on(K, 'i', 't')} and t.oid = i.indrelid
-  join pg_namespace tn on {on(K, 'i', 'tn')} and tn.oid = t.relnamespace
-  join index_stat st on {on(K, 'i', 'st')} and st.indexrelid = i.indexrelid
-  join index_statio io on {on(K, 'i', 'io')} and io.indexrelid = i.indexrelid
-  join pg_indexes d on {on(K, 'i', 'd')} and d.indexname = x.relname
-  where tn.nspname not in {SYSTEM} and st.idx_scan is not null and io.idx_blks_hit is not null and io.idx_blks_read is not null)"""
-INDEXES = INDEXES.replace("as unique,", 'as "unique",')
+# relations with the schema they live in, for both the index and the table it covers
+RELATIONS = f"""relations AS (
+  select {K}, oid, relname, total_bytes, nspname from pg_class
+  join (select {K}, oid as relnamespace, nspname from pg_namespace) using ({K}, relnamespace))"""
+INDEXES = RELATIONS + f""", used AS (
+  select {KA}, indexrelid, idx_scan as scans, o.idx_blks_read as blocks_read, o.idx_blks_hit as blocks_hit
+  from index_stat join index_statio o using ({KA}, indexrelid)
+  where idx_scan + o.idx_blks_read + o.idx_blks_hit is not null
+), indexes AS (
+  select {KA}, own.nspname as schema, covered.relname as table_name, own.relname as name, indisunique as "unique",
+         indisvalid as valid, own.total_bytes as bytes_total, scans, blocks_read, blocks_hit, indexdef as definition
+  from used
+  join pg_index using ({KA}, indexrelid)
+  join relations own on {on(K, 'used', 'own')} and own.oid = used.indexrelid
+  join pg_indexes d on {on(K, 'used', 'd')} and d.indexname = own.relname
+  join relations covered on {on(K, 'used', 'covered')} and covered.oid = indrelid and covered.nspname not in {SYSTEM})"""
 _index_fix = "pg_index pg_class pg_namespace index_stat index_statio pg_indexes"
 oracle("index_stats", _index_fix, "select * from indexes", INDEXES)
 
-UNUSED = f"""unused AS (
-  select {pick(KA, 's')}, s.schemaname as schema, s.relname as table_name, s.indexrelname as name
-  from index_stat s join pg_index i on {on(K, 's', 'i')} and s.indexrelid = i.indexrelid
-  where s.idx_scan = 0 and not list_contains(i.indkey, 0) and not i.indisunique
-    and not exists (select 1 from pg_constraint c where {on(K, 's', 'c')} and c.conindid = s.indexrelid))"""
+UNUSED = f"""droppable AS (
+  select {K}, indexrelid from pg_index where indisunique = false and len(list_filter(indkey, lambda k: k = 0)) = 0
+  except select {K}, conindid from pg_constraint
+), unused AS (
+  select {KA}, schemaname as schema, relname as table_name, indexrelname as name
+  from droppable join index_stat using ({K}, indexrelid) where idx_scan = 0)"""
 oracle("unused_indexes", "index_stat pg_index pg_constraint", "select * from unused", UNUSED)
 
 FLAGGED = f"""flagged AS (
@@ -343,11 +346,14 @@ FLAGGED = f"""flagged AS (
   from indexes i)"""
 oracle("index_unused_flag", _index_fix + " pg_constraint", "select * from flagged", INDEXES, UNUSED, FLAGGED)
 
-# the product as written, not the two pre-aggregated sides
-CACHE = f"""cache_x AS (
-  select {pick(KA, 'i')}, sum(i.idx_blks_hit)::double / nullif(sum(i.idx_blks_hit + i.idx_blks_read), 0)::double as index_rate,
-         sum(heap_blks_hit)::double / nullif(sum(heap_blks_hit) + sum(heap_blks_read), 0)::double as table_rate
-  from index_statio i join table_statio t on {on(K, 'i', 't')} group by all
+# hits and reads of each side on its own; a rate needs both sides to exist
+CACHE = f"""side AS (
+  select {KA}, 'index' as kind, sum(idx_blks_hit) as hit, sum(idx_blks_hit + idx_blks_read) as total from index_statio group by all
+  union all select {KA}, 'table', sum(heap_blks_hit), sum(heap_blks_read) + sum(heap_blks_hit) from table_statio group by all
+), cache_x AS (
+  select {KA}, max(hit::double / nullif(total, 0)::double) filter (where kind = 'index') as index_rate,
+         max(hit::double / nullif(total, 0)::double) filter (where kind = 'table') as table_rate
+  from side group by all having count(*) = 2
 ), cache_m AS (
   select {KA}, '' as entity, 'cache.index.hit.rate' as name, index_rate as value from cache_x where index_rate is not null
   union all select {KA}, '', 'cache.table.hit.rate', table_rate from cache_x where table_rate is not null)"""
@@ -471,24 +477,18 @@ oracle("database_delta", "db_stats", "select * from ddelta", DDELTA)
 
 # ---- bloat -----------------------------------------------------------------------------
 
-# the correlated subquery as written
+# widths are rounded up to a multiple of 4 bytes; a tuple header takes 24 of them
 BCOLS = f"""bcols AS (
-  select {pick(K, 's')}, s.schemaname, s.tablename, sum((1 - s.null_frac) * s.avg_width) as datawidth, max(s.null_frac) as maxfracsum,
-         23 + (select 1 + count(*) // 8 from pg_stats s2 where null_frac <> 0 and {on(K, 's2', 's')}
-               and s2.schemaname = s.schemaname and s2.tablename = s.tablename) as nullhdr
-  from pg_stats s group by all)"""
-BINFO = f"""binfo AS (
-  select {K}, schemaname, tablename, datawidth + (23 + 4 - (case when 23 % 4 = 0 then 4 else 23 % 4 end)) as datahdr,
-         maxfracsum * (nullhdr + 4 - (case when nullhdr % 4 = 0 then 4 else nullhdr % 4 end)) as nullhdr2
-  from bcols), btab AS (
-  select {pick(KA, 'c')}, b.schemaname, b.tablename, b.datahdr, b.nullhdr2, c.oid, c.relpages, c.reltuples
-  from binfo b join pg_class c on {on(K, 'b', 'c')} and c.relname = b.tablename
-  join pg_namespace n on {on(K, 'c', 'n')} and n.oid = c.relnamespace and n.nspname = b.schemaname
-    and n.nspname not in ('pg_catalog', 'information_schema', 'pg_toast'))"""
-
-
-def rounded(pages: str, expected: str) -> str:
-    return f"cast(round(cast({pages} as decimal(28,10)) * 1.0 / {expected}, 1) as double)"
+  select {K}, schemaname, tablename, sum(avg_width * (1 - null_frac)) as datawidth, max(null_frac) as maxfracsum,
+         24 + count(*) filter (where null_frac <> 0) // 8 as nullhdr
+  from pg_stats group by all)"""
+BINFO = f"""btab AS (
+  select {pick(KA, 'c')}, schemaname, tablename, c.oid, relpages, reltuples,
+         24 + datawidth as datahdr, 4 * ceil(nullhdr / 4) * maxfracsum as nullhdr2
+  from pg_class c
+  join (select {K}, oid as relnamespace, nspname as schemaname from pg_namespace) using ({K}, relnamespace)
+  join bcols using ({K}, schemaname)
+  where tablename = relname and schemaname not in ('pg_catalog', 'information_schema', 'pg_toast'))"""
 
 
 def bloat_ratio(pages: str, expected: str, zero: str) -> str:
@@ -502,16 +502,17 @@ def bloat_ratio(pages: str, expected: str, zero: str) -> str:
 
 BTABLES = f"""btables AS (
   select {KA}, 'table' as type, schemaname, tablename as name, {bloat_ratio('relpages', 'otta', 'otta = 0')} as bloat,
-         case when relpages < otta then 0 else 8192 * (relpages - otta) end as waste
-  from (select *, cast(ceil(reltuples * ((datahdr + 4 - (case when datahdr % 4 = 0 then 4 else datahdr % 4 end)) + nullhdr2 + 4) / (8192 - 20.0e0)) as bigint) as otta
+         8192 * greatest(relpages - otta, 0) as waste
+  from (select *, cast(ceil(reltuples * (4 * ceil(datahdr / 4) + nullhdr2 + 4) / 8172.0e0) as bigint) as otta
         from btab) t)"""
-BINDEXES = f"""bindexes AS (
-  select {KA}, 'index' as type, schemaname, name, {bloat_ratio('ipages', 'iotta', 'iotta = 0 or ipages = 0')} as bloat,
-         case when ipages < iotta then 0 else 8192 * (ipages - iotta) end as waste
-  from (select {pick(KA, 'b')}, b.schemaname, coalesce(c2.relname, '?') as name, coalesce(c2.relpages, 0) as ipages,
-               cast(coalesce(ceil(c2.reltuples * (b.datahdr - 12) / (8192 - 20.0e0)), 0) as bigint) as iotta
-        from btab b join pg_index i on {on(K, 'b', 'i')} and i.indrelid = b.oid
-        join pg_class c2 on {on(K, 'b', 'c2')} and c2.oid = i.indexrelid) x)"""
+BINDEXES = f"""isize AS (
+  select {K}, oid as indexrelid, relname, relpages as ipages, reltuples as ituples from pg_class
+), bindexes AS (
+  select {KA}, 'index' as type, schemaname, relname as name, {bloat_ratio('ipages', 'iotta', 'iotta = 0 or ipages = 0')} as bloat,
+         8192 * greatest(ipages - iotta, 0) as waste
+  from (select {pick(KA, 'btab')}, schemaname, isize.relname, ipages,
+               cast(ceil(ituples * (datahdr - 12) / 8172.0e0) as bigint) as iotta
+        from pg_index i join isize using ({K}, indexrelid) join btab on {on(K, 'i', 'btab')} and btab.oid = i.indrelid))"""
 BLOAT = "bloat AS (select * from btables union select * from bindexes)"
 oracle("bloat_columns", "pg_stats", "select * from bcols", BCOLS)
 oracle("bloat_tables", "pg_stats pg_class pg_namespace", "select * from btables", BCOLS, BINFO, BTABLES)
@@ -630,7 +631,7 @@ text_oracle("fn_parse_comment", f", {comment('text')} as comment, {strip('text')
 text_oracle("fn_redact_ip", f", {redact('text')} as redacted")
 text_oracle("fn_obfuscate_query", f", {obfuscate('text')} as obfuscated")
 text_oracle("fn_truncate_query", f", {truncate('text', 5000)} as truncated")
-text_oracle("fn_is_agent_query", "", f"not contains({comment('text')}, '{AGENT}')")
+text_oracle("fn_is_collector_query", "", f"not contains({comment('text')}, '{COLLECTOR}')")
 oracle(
     "fn_fingerprint", "corpus",
     f"select substr(md5({clean(obfuscate(strip('text')))}), 1, 10) as fingerprint, count(*) as n from corpus group by 1",
@@ -745,7 +746,7 @@ oracle(
     "log_test_marker", "log_payloads",
     """select cast(epoch(date_trunc('day', received_at)) as bigint) as report_start,
               cast(floor(epoch(arg_max(received_at, payload_id))) as bigint) as log_test_received_at
-       from log_payloads where contains(body, 'NOTICE:  FLEET_AGENT_LOG_TEST') group by 1""",
+       from log_payloads where contains(body, 'NOTICE:  FLEET_COLLECTOR_LOG_TEST') group by 1""",
 )
 oracle("log_stitch", "log_payloads", "select * exclude (received_at) from stitched", PRE, PLINES, SYS, STITCH)
 oracle("log_route", "log_payloads", "select payload_id, pos, branch from routed where branch is not null", *_log)
@@ -758,7 +759,7 @@ SLOWQ = f"""slowq AS (
   select payload_id, received_at, pos, color, {stamp('timestamp')} as measured_at, {slow_fields(trim_ws('message'))}
   from routed where branch = 'slow_query'
 ), slow_text AS (
-  select *, {clean(obfuscate(strip('raw')))} as cleaned from slowq where not contains({comment('raw')}, '{AGENT}')
+  select *, {clean(obfuscate(strip('raw')))} as cleaned from slowq where not contains({comment('raw')}, '{COLLECTOR}')
 ), slow_events AS (
   select v.config_name, v.config_var_name, v.database, measured_at, payload_id, pos, sql_error_code,
          substr(md5(cleaned), 1, 10) as fingerprint, {truncate('cleaned', 5000)} as query, raw,
@@ -789,7 +790,7 @@ for _key in ("explain_throttle", "stream_explain_throttle"):
     oracle(_key, "explain_events", _throttle_sql, THROTTLE.replace("recursive ", ""))
     ORACLES[_key] = ORACLES[_key].replace("WITH ", "WITH RECURSIVE ", 1)
 oracle(
-    "agent_log_stats", "log_payloads",
+    "collector_log_stats", "log_payloads",
     """select cast(epoch(date_trunc('hour', p.received_at)) as bigint) as report_start, count(*) as received,
          count(*) filter (where p.payload_id in (select payload_id from pre)) as postgres,
          cast(sum(coalesce(r.metric, 0) + coalesce(r.slow, 0)) as bigint) as handled, cast(sum(coalesce(r.metric, 0)) as bigint) as metric_lines,
@@ -887,33 +888,33 @@ oracle(
 AT = "(1700000000 + 60 * {d})"
 _pay = "floor(payload_id / 2500)"
 REPORT = f"""pay AS (
-  select *, 'agent_' || cast(payload_id // 2500 as string) as agent_id, {AT.format(d='day(received_at)')} as at_s from log_payloads
-), wins AS (select agent_id, at_s // 60 * 60 as report_start, payload_id, at_s from pay
+  select *, 'collector_' || cast(payload_id // 2500 as string) as collector_id, {AT.format(d='day(received_at)')} as at_s from log_payloads
+), wins AS (select collector_id, at_s // 60 * 60 as report_start, payload_id, at_s from pay
 ), r_logs AS (
-  select w.agent_id, w.report_start, count(*) as n from wins w join routed r using (payload_id) where r.branch = 'metric' group by all
+  select w.collector_id, w.report_start, count(*) as n from wins w join routed r using (payload_id) where r.branch = 'metric' group by all
 ), r_stats AS (
-  select w.agent_id, w.report_start, count(distinct w.payload_id) as received, count(r.payload_id) as handled
+  select w.collector_id, w.report_start, count(distinct w.payload_id) as received, count(r.payload_id) as handled
   from wins w left join (select * from routed where branch is not null) r using (payload_id) group by all
 ), r_tests AS (
-  select agent_id, at_s // 60 * 60 as report_start, arg_max(at_s, payload_id) as t from pay
-  where contains(body, 'NOTICE:  FLEET_AGENT_LOG_TEST') group by all
+  select collector_id, at_s // 60 * 60 as report_start, arg_max(at_s, payload_id) as t from pay
+  where contains(body, 'NOTICE:  FLEET_COLLECTOR_LOG_TEST') group by all
 ), r_errs AS (
-  select agent_id, report_start, count(*) as n from (
-    select *, row_number() over w as rn, min(seq) filter (where panic) over (partition by agent_id, report_start) as fp
-    from (select *, 'agent_' || cast(seq // 10000 as string) as agent_id, ({AT.format(d='day(event_time)')}) // 60 * 60 as report_start from errors)
-    window w as (partition by agent_id, report_start order by seq)) where rn <= 10 or seq = fp group by all
+  select collector_id, report_start, count(*) as n from (
+    select *, row_number() over w as rn, min(seq) filter (where panic) over (partition by collector_id, report_start) as fp
+    from (select *, 'collector_' || cast(seq // 10000 as string) as collector_id, ({AT.format(d='day(event_time)')}) // 60 * 60 as report_start from errors)
+    window w as (partition by collector_id, report_start order by seq)) where rn <= 10 or seq = fp group by all
 ), r_servers AS (
-  select 'agent_' || string_split(config_name, '_')[-1] as agent_id, measured_at // 60 * 60 as report_start,
+  select 'collector_' || string_split(config_name, '_')[-1] as collector_id, measured_at // 60 * 60 as report_start,
          count(distinct config_name) as n, string_agg(distinct config_name, ',' order by config_name) as names
   from server_records group by all
 )"""
 oracle(
     "report_document", "log_payloads errors server_records",
-    """select agent_id, report_start, report_start + 60 as reported_at, cast(coalesce(l.n, 0) as int) as n_log_metrics,
+    """select collector_id, report_start, report_start + 60 as reported_at, cast(coalesce(l.n, 0) as int) as n_log_metrics,
          cast(coalesce(s.n, 0) as int) as n_servers, cast(coalesce(e.n, 0) as int) as n_errors,
          t.t as log_test_message_received_at, nullif(c.received, 0) as received, nullif(c.handled, 0) as handled, s.names as config_names
-       from r_servers s full join r_logs l using (agent_id, report_start) full join r_tests t using (agent_id, report_start)
-       full join r_stats c using (agent_id, report_start) full join r_errs e using (agent_id, report_start)
+       from r_servers s full join r_logs l using (collector_id, report_start) full join r_tests t using (collector_id, report_start)
+       full join r_stats c using (collector_id, report_start) full join r_errs e using (collector_id, report_start)
        where l.n > 0 or s.n > 0 or t.t is not null""",
     *_log, REPORT,
 )

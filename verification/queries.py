@@ -443,9 +443,9 @@ _text_query("fn_obfuscate_query", lambda t: [tx.obfuscate_query(t).alias("obfusc
 _text_query("fn_truncate_query", lambda t: [tx.truncate_query(t).alias("truncated")])
 
 
-@query("fn_is_agent_query")
+@query("fn_is_collector_query")
 def _(spark, sf):
-    return _corpus(spark, sf).filter(~tx.is_agent_comment(tx.query_comment(F.col("text")))).select("row_key")
+    return _corpus(spark, sf).filter(~tx.is_collector_comment(tx.query_comment(F.col("text")))).select("row_key")
 
 
 @query("fn_fingerprint")
@@ -608,9 +608,9 @@ def _(spark, sf):
     )
 
 
-@query("agent_log_stats")
+@query("collector_log_stats")
 def _(spark, sf):
-    return fd.agent_log_stats(_payloads(spark, sf), "1 hour").withColumn(
+    return fd.collector_log_stats(_payloads(spark, sf), "1 hour").withColumn(
         "report_start", F.unix_seconds("report_start")
     )
 
@@ -709,15 +709,15 @@ def _(spark, sf):
     return tables.unionByName(indexes)
 
 
-def _agent_of(config_name):
-    return F.concat(F.lit("agent_"), F.element_at(F.split(config_name, "_"), -1))
+def _collector_of(config_name):
+    return F.concat(F.lit("collector_"), F.element_at(F.split(config_name, "_"), -1))
 
 
-def _aligned(rows, time, group, per_agent):
+def _aligned(rows, time, group, per_collector):
     """Logs and errors carry calendar times; their day of month is the poll they belong to."""
-    agent = F.floor(F.col(group) / per_agent).cast("string")
+    collector = F.floor(F.col(group) / per_collector).cast("string")
     return rows.withColumns(
-        {"agent_id": F.concat(F.lit("agent_"), agent),
+        {"collector_id": F.concat(F.lit("collector_"), collector),
          time: F.timestamp_seconds(1700000000 + 60 * F.day(time).cast("bigint"))}
     )
 
@@ -751,7 +751,7 @@ def _report_inputs(spark, sf):
         settings=sv.settings_snapshot(fixture(spark, sf, "settings")),
         payloads=payloads,
         errors=errors,
-        agent_of=_agent_of,
+        collector_of=_collector_of,
     )
 
 
@@ -761,7 +761,7 @@ def _documents(spark, sf):
 
 @query("fleet_report")
 def _(spark, sf):
-    return rep.to_json_lines(_documents(spark, sf)).select("agent_id", "report_start", F.col("value").alias("document"))
+    return rep.to_json_lines(_documents(spark, sf)).select("collector_id", "report_start", F.col("value").alias("document"))
 
 
 def _small_documents(spark, sf):
@@ -772,25 +772,25 @@ def _small_documents(spark, sf):
     lines = lg.log_metrics(lg.log_stitch(lg.log_prefilter(windowed)))
     folded = fd.fold_servers(
         fd.report_window(fixture(spark, sf, "server_records").withColumn("at", F.timestamp_seconds("measured_at")), "at")
-        .withColumn("agent_id", _agent_of(F.col("config_name"))),
+        .withColumn("collector_id", _collector_of(F.col("config_name"))),
         by=by,
     )
     return rep.report_document(
-        folded, lines, lg.log_test_marker(windowed, by=by), fd.agent_log_stats(payloads, by=["agent_id"]),
-        fd.error_cap(_report_errors(spark, sf), by=["agent_id"]), by,
+        folded, lines, lg.log_test_marker(windowed, by=by), fd.collector_log_stats(payloads, by=["collector_id"]),
+        fd.error_cap(_report_errors(spark, sf), by=["collector_id"]), by,
     )
 
 
 @query("report_document")
 def _(spark, sf):
     return _small_documents(spark, sf).select(
-        "agent_id", F.unix_seconds("report_start").alias("report_start"), "reported_at",
+        "collector_id", F.unix_seconds("report_start").alias("report_start"), "reported_at",
         F.coalesce(F.size("log_metrics"), F.lit(0)).alias("n_log_metrics"),
         F.coalesce(F.size("servers"), F.lit(0)).alias("n_servers"),
-        F.coalesce(F.size("agent.errors"), F.lit(0)).alias("n_errors"),
+        F.coalesce(F.size("collector.errors"), F.lit(0)).alias("n_errors"),
         "log_test_message_received_at",
-        F.col("agent.stats.logs.received").alias("received"),
-        F.col("agent.stats.logs.handled").alias("handled"),
+        F.col("collector.stats.logs.received").alias("received"),
+        F.col("collector.stats.logs.handled").alias("handled"),
         F.array_join("servers.config_name", ",").alias("config_names"),
     )
 
