@@ -595,7 +595,8 @@ oracle("index_delta", _i_fix, "select * from idelta", *_i_ctes)
 oracle(
     "schema_report_gate", _t_fix,
     f"""select {pick(KA, 'u')}, u.schema_name as schema, d.name, d.total_bytes, d.dead_row_estimate
-        from user_schemas u left join tdelta d on {on(K, 'u', 'd')} and d.schema = u.schema_name where u.poll_seq > 1""",
+        from (select *, min(poll_seq) over (partition by {S}) as first_poll from user_schemas) u
+        left join tdelta d on {on(K, 'u', 'd')} and d.schema = u.schema_name where u.poll_seq > u.first_poll""",
     *_t_ctes,
 )
 
