@@ -26,19 +26,29 @@ def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
+def _apart(docs: DataFrame, *named: str) -> DataFrame:
+    """``text``, the named columns, and everything but the text as one column that clashes with none."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return docs.select(rest.alias("_rest"), "text", *named)
+
+
+def _together(frame: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of ``docs`` again, in their order."""
+    at = {"text": F.col("text"), **changed}
+    return frame.select(*[at.get(c, F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     ship(spark)
-    whole = docs.select(F.struct(*_columns(docs)).alias("_doc"), "text", "lang", "source")
-    return quality_rules(whole).where("kept").select("_doc.*")
+    return _together(quality_rules(_apart(docs, "lang", "source")).where("kept"), docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model predicts as toxic go."""
     ship(spark)
-    whole = docs.select(F.struct(*_columns(docs)).alias("_doc"), "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_toxicity(whole, labels).where("predicted = 0").select("_doc.*")
+    return _together(score_toxicity(_apart(docs, "doc_id"), labels).where("predicted = 0"), docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +64,11 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat go; documents without any keep their text as it is, emptied ones go."""
     ship(spark)
-    cut = remove_repeats(docs.select(F.struct(*_columns(docs)).alias("_doc"), "text"))
+    cut = remove_repeats(_apart(docs)).where("n_words > n_removed")
     changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("_doc.text"))
-    values = {"text": text, "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("_doc.n_chars"))}
-    return cut.where("n_words > n_removed").select(*[values.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
+    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
+    length = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("_rest.n_chars"))
+    return _together(cut, docs, text=text, n_chars=length)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from fleetlens.llm.wordbatch import Words, mix, ranges, slices
 
 END = "</w>"
-MAX_CACHED = 1 << 20  #: encoded words that a Python worker keeps; the cache restarts beyond that
+MAX_CACHED = 1 << 18  #: encoded words that a Python worker keeps; the cache restarts beyond that
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 _STEP = 0x9E3779B97F4A7C15
 

@@ -12,12 +12,19 @@ from pyspark.sql import SparkSession
 import fleetlens
 from fleetlens.sources.workspace import ensure_shared
 
+#: Rows and bytes that Spark hands to Python at a time: texts are long, and a batch is held several times.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
 _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package once per application through Spark's own file server, and see to a shared folder."""
+    """Send the package once per application through Spark's own file server, and set the session up: a shared folder, small batches."""
     ensure_shared(spark)
+    for setting, value in BATCHES.items():
+        spark.conf.set(setting, value)
     context = spark.sparkContext
     if context.applicationId in _sent:
         return

@@ -89,9 +89,12 @@ def _text_anchors(texts: DataFrame, length: int) -> DataFrame:
             for part in slices(batch.column(2)):
                 rows, lists, sizes = [], [], []
                 for t, _, _, anchor in _text_runs(part, length):
+                    once, times = np.unique(anchor, return_counts=True)
+                    # An anchor at several places of one text comes twice: enough to be shared.
+                    both = np.concatenate([once, once[times > 1]])
                     rows.append(part.first + t)
-                    lists.append(anchor.view(np.int64))
-                    sizes.append(len(anchor))
+                    lists.append(both.view(np.int64))
+                    sizes.append(len(both))
                 if rows:
                     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                     anchors = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
@@ -282,7 +285,7 @@ def _cut(frame: DataFrame, length: int, fields: list[T.StructField]) -> DataFram
     """Apply ``whole`` and ``spans`` to ``packed``, the last three columns."""
     schema = T.StructType(
         [
-            *fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+            *fields, T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
             T.StructField("kept_text", T.StringType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.LongType()))),
         ]
     )
@@ -293,10 +296,12 @@ def _cut(frame: DataFrame, length: int, fields: list[T.StructField]) -> DataFram
         for batch in batches:
             *others, packed, whole, spans = batch.columns
             for at in range(0, batch.num_rows, 1000):
-                counts, removed, texts, places = [], [], [], []
+                whole_texts, counts, removed, texts, places = [], [], [], [], []
                 part = slice(at, at + 1000)
                 for raw, all_of, found in zip(*(c[part].to_pylist() for c in (packed, whole, spans))):
-                    words = open_.decompress(raw).split()
+                    body = open_.decompress(raw)
+                    whole_texts.append(body.decode())
+                    words = body.split()
                     n = len(words)
                     counts.append(n)
                     if all_of and n >= length:
@@ -320,7 +325,7 @@ def _cut(frame: DataFrame, length: int, fields: list[T.StructField]) -> DataFram
                     removed.append(int(gone.sum()))
                     places.append(step.reshape(-1, 2).tolist())
                     texts.append(b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()]).decode())
-                values = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string()), pa.array(places, spans_kind)]
+                values = [pa.array(whole_texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string()), pa.array(places, spans_kind)]
                 yield pa.RecordBatch.from_arrays([*(c[part] for c in others), *values], names=schema.names)
 
     return frame.mapInArrow(run, schema)
@@ -341,7 +346,7 @@ def remove_repeats(
         raise ValueError("the windows of one run must fit the bits of a mask")
     spark = documents.sparkSession
     own = ("n_words", "n_removed", "kept_text", "removed")
-    kept = [c for c in documents.columns if c not in own]
+    kept = [c for c in documents.columns if c not in (*own, "_null")]
     docs = documents.select(*[F.col(f"`{c}`") for c in kept])
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     key = F.unhex(F.md5(body.cast("binary")))
@@ -380,10 +385,13 @@ def remove_repeats(
         texts.where("rows > 1").select("key", F.lit(True).alias("whole")).join(spans, "key", "full"), "verdicts"
     )
     release(spark)
-    rest = [F.col(f"`{c}`") for c in kept if c != text]
+    rest = [*[F.col(f"`{c}`") for c in kept if c != text], F.col(f"`{text}`").isNull().alias("_null")]
     judged = (
         _packed(docs.select(F.struct(*rest).alias("row"), key.alias("key"), body.alias("text")))
         .join(verdicts, "key", "left")
         .select("row", "packed", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
     )
-    return _cut(judged, length, [judged.schema["row"]]).select("row.*", *own)
+    return _cut(judged, length, [judged.schema["row"]]).select(
+        *[F.when(F.col("row._null"), F.lit(None)).otherwise(F.col("text")).alias(c) if c == text else F.col(f"row.`{c}`") for c in kept],
+        *own,
+    )
