@@ -52,13 +52,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id.
+    """One row of each group of near-duplicates stays, the one with the smallest id.
 
-    Documents without an id take no part and stay; rows that repeat an id stay or go together.
+    Rows are compared one by one, whatever their ids: of rows that repeat an id, or have none, all but
+    one go if their texts are alike, and each stays if it is like no other.  An id comes before none.
     """
     ship(spark)
-    gone = near_duplicates(docs.select("doc_id", "text")).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*_columns(docs))
+    # Numbers of rows hold only as long as the rows are not read anew, so they are written down.
+    numbered = stored(_apart(docs, "doc_id").withColumn("_row", F.monotonically_increasing_id()), "join-rows")
+    alike = near_duplicates(numbered.select("_row", "text"), "_row").where("n_links > 0").select("_row", "component_id")
+    alike = stored(alike.join(numbered.select("_row", "doc_id"), "_row"), "join-alike")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = alike.groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
+    gone = alike.join(first, "_row", "left_anti").select("_row")
+    return _together(numbered.join(gone, "_row", "left_anti"), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,24 @@ def test_decisions_take_effect(spark, tmp_path):
     assert sorted((repr(r["doc_id"]), r["text"]) for r in cut.collect()) == want
 
 
+def test_repeated_rows_and_rows_without_id_stay_once(spark, tmp_path):
+    stages = dict(corpus_pipeline.STAGES)
+
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(50))
+
+    rows = [(1, text("a")), (1, text("a")), (None, text("b")), (None, text("b")), (2, text("c")), (None, text("c")), (4, text("d"))]
+    # An id with two texts: one is a copy, the other is like no other.
+    rows += [(3, text("e")), (7, text("e")), (7, text("f")), (None, text("g")), (5, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    once = stages["ngram_join"](spark, docs, str(tmp_path))
+    want = [(1, text("a")), (2, text("c")), (3, text("e")), (4, text("d")), (5, ""), (7, text("f"))]
+    want += [(None, text("b")), (None, text("g")), (None, None), (None, None)]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in once.collect()))) == sorted(map(repr, want))
+    left = stages["substring_dedup"](spark, once, str(tmp_path))
+    assert sorted(r["text"] for r in left.collect()) == [text(c) for c in "abcdefg"]
+
+
 def test_whole_pipeline(spark, sf):
     rows = corpus_pipeline.run(spark, sf)
     ids = {r["doc_id"] for r in rows.collect()}
