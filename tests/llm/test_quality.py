@@ -44,6 +44,24 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert {r["doc_id"] for r in judged if not r["kept"]} == set(range(12))
 
 
+def test_each_statistic_alone_rejects(spark):
+    rows = [(r["doc_id"], r["text"]) for r in _corpus(spark, junk=0).collect()]
+    plain = [t.split() for _, t in rows[:4]]
+    planted = {
+        "word_length": " ".join(w * 4 for w in plain[0]),
+        "symbols": " ".join(w + ("#" if i % 2 else "") for i, w in enumerate(plain[1])),
+        # A list whose lines nearly all occur twice, all shorter than a window of repeated words.
+        "dup_lines": "\n".join(" ".join(plain[2][i : i + 3]) for k in range(0, 30, 6) for _ in range(2) for i in (k, k + 3)),
+        "repeats": " ".join(plain[3][:40] + plain[1][:12] + plain[3][:8]),
+    }
+    texts = rows + [(1000 + i, t) for i, t in enumerate(planted.values())]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in texts], "doc_id long, text string, lang string, source string")
+    judged = {r["doc_id"]: r for r in quality_rules(docs).collect()}
+    for i, name in enumerate(planted):
+        assert not judged[1000 + i]["base_failed"], name
+        assert not judged[1000 + i]["kept"], (name, judged[1000 + i]["distance"])
+
+
 def test_awkward_rows_have_results(spark):
     docs = messy_documents(spark)
     judged = quality_rules(docs)
