@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: each reads its whole table and returns its full result."""
+"""Registered queries of the operators: each reads its whole table and returns its full result."""
 
 from __future__ import annotations
 
@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from fleetlens.llm.bpe import bpe_round_trip
 from fleetlens.llm.embeddings import near_duplicate_vectors
 from fleetlens.llm.licenses import scan_licenses
+from fleetlens.llm.merkle import merkle_manifest, proof_digest
 from fleetlens.llm.ngramjoin import near_duplicates
 from fleetlens.llm.packing import pack_documents
 from fleetlens.llm.quality import quality_rules
+from fleetlens.llm.resampling import importance_resample
 from fleetlens.llm.shipping import ship
 from fleetlens.llm.storage import shared_folder
 from fleetlens.llm.substring import remove_repeats
+from fleetlens.llm.suffixarray import remove_repeated_bytes
 from fleetlens.llm.toxicity import score_toxicity
 from fleetlens.llm.urlfilter import judge_urls
 from fleetlens.llm.warc import read_warc, write_warc
@@ -104,3 +107,25 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "paragraph", "family", "probability", "template", "overlap")
+
+
+@_registered("op11_importance_resampling")
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance_resample(docs, _table(spark, sf_dir, "benchmark"), keep_text=False)
+
+
+@_registered("op12_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+@_registered("op13_merkle_manifest")
+def merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    altered = {"text": F.when(picked, F.translate("text", "\n", "")).otherwise(F.col("text"))}
+    manifest = merkle_manifest(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], altered)
+    return manifest.select(
+        "doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified"
+    )
