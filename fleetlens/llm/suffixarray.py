@@ -297,6 +297,8 @@ def index_shard(runs: list[bytes], copies: list[int], length: int) -> Shard:
 
 def _spans(run: np.ndarray, place: np.ndarray) -> dict[int, list[tuple[int, int]]]:
     """Maximal stretches of places per run (end exclusive)."""
+    if not len(run):
+        return {}
     by = np.lexsort((place, run))
     run, place = run[by], place[by]
     cut = np.ones(len(run), dtype=bool)
