@@ -563,7 +563,8 @@ def remove_repeated_bytes(
     own = ("n_bytes", "n_removed", "n_spans", "kept", "removed")
     kept = [c for c in documents.columns if c not in own and c != text]
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept])
+    filler = "_" * (1 + max(map(len, kept), default=0))  # a struct needs a field, also where no other column is kept
+    rest = F.struct(F.lit(0).alias(filler), *[F.col(f"`{c}`") for c in kept])
     docs = documents.select(rest.alias("rest"), F.unhex(F.md5(body.cast("binary"))).alias("key"), body.alias("text"))
     # One row per distinct text: how many rows hold it, and its anchors.
     texts = stored(
