@@ -6,8 +6,9 @@ per-row expression: no shuffle in batch, no state in a stream.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,9 @@ METRIC_PROCESS = "heroku-postgres"
 SQL_PROCESS_PREFIX = "postgres."
 EXPLAIN_BYTES = 30000
 EXPLAIN_SECONDS = 3600
+PLAN_KEYS = (*SERVER, "fingerprint")
+# A plan belongs to a slow query logged at most so many seconds before it was taken.
+EXPLAIN_WITHIN = 60
 # The text a collector raises to test log delivery; a deployment passes its own.
 TEST_MARKER = "NOTICE:  FLEET_COLLECTOR_LOG_TEST"
 
@@ -151,6 +155,11 @@ def log_route(stitched: DataFrame) -> DataFrame:
     return stitched.select(*stitched.columns, F.explode(_present(branch)).alias("branch"))
 
 
+def _known(servers: DataFrame) -> DataFrame:
+    """The first known server per config name, which log lines carry as their color."""
+    return servers.groupBy(F.col("config_name").alias("color")).agg(F.min_by(F.struct(*SERVER), "ord").alias("_server"))
+
+
 def slow_query_events(
     lines: DataFrame,
     servers: DataFrame,
@@ -163,13 +172,10 @@ def slow_query_events(
     lines of unknown servers drop out.  The server side has one row per config
     name and is broadcast by the planner while it is small.
     """
-    known = servers.groupBy(F.col("config_name").alias("color")).agg(
-        F.min_by(F.struct(*SERVER), "ord").alias("_server")
-    )
     text = lines.withColumn("query", F.col("raw"))
     events = normalize_text(
         text, redact=False, keep_collector_queries=keep_collector_queries, collector_tag=collector_tag
-    ).join(known, "color")
+    ).join(_known(servers), "color")
     duration = F.col("duration_ms")
     carried = [c for c in lines.columns if c not in ("color", "measured_at", "raw", "duration_ms", "metadata")]
     return events.select(
@@ -180,45 +186,99 @@ def slow_query_events(
     )
 
 
-def emission_times(times: Column, gap: int = EXPLAIN_SECONDS) -> Column:
-    """Greedy subset of sorted times in which each is at least ``gap`` after the one before."""
-    return F.aggregate(
-        times,
-        F.array().cast("array<bigint>"),
-        lambda kept, t: F.when(
-            (F.size(kept) == 0) | (t >= F.coalesce(F.try_element_at(kept, F.lit(-1)), t) + gap),
-            F.concat(kept, F.array(t)),
-        ).otherwise(kept),
+def plan_events(
+    plans: DataFrame,
+    servers: DataFrame,
+    keep_collector_queries: bool = False,
+    collector_tag: str = COLLECTOR_TAG,
+) -> DataFrame:
+    """Plans taken of slow statements, with the server and fingerprint of the statement.
+
+    ``plans`` carries ``config_name``, ``measured_at`` in seconds, ``plan_id``, the ``raw`` statement and
+    the ``plan`` text; statements are normalised exactly as those of log lines.
+    """
+    text = plans.withColumnRenamed("config_name", "color").withColumn("query", F.col("raw"))
+    return (
+        normalize_text(text, redact=False, keep_collector_queries=keep_collector_queries, collector_tag=collector_tag)
+        .join(_known(servers), "color")
+        .select("_server.*", "fingerprint", "measured_at", "plan_id", "raw", "plan")
     )
 
 
 def explain_throttle(
     events: DataFrame,
-    keys: Sequence[str] = ("fingerprint",),
+    keys: Sequence[str] = PLAN_KEYS,
     order: str = "event_id",
     gap: int = EXPLAIN_SECONDS,
     max_bytes: int = EXPLAIN_BYTES,
 ) -> DataFrame:
-    """At most one plan per key and ``gap`` seconds, obfuscated.
+    """At most one plan per key and ``gap`` seconds, obfuscated; keys name the server too.
 
     Greedy from the last emission.  Before any grouping, events collapse to one
     per key and second (partial aggregation), which bounds a hot key by elapsed
     time instead of rows.  A pause of at least ``gap`` always re-opens the key, so
-    the fold runs per uninterrupted stretch, over numbers only.
+    a key falls into stretches that are dealt to tasks one by one; each is one
+    ordered pass that remembers a single time, whatever its length.
     """
+    keys = list(keys)
     short = events.filter(F.octet_length("raw") <= max_bytes)
     seconds = short.groupBy(*keys, "measured_at").agg(F.min(order).alias(order))
     by_time = Window.partitionBy(*keys).orderBy("measured_at")
     pause = F.col("measured_at") - F.lag("measured_at").over(by_time)
-    stretches = seconds.withColumn("_new", (F.coalesce(pause, F.lit(gap)) >= gap).cast("int")).withColumn(
-        "_stretch", F.sum("_new").over(by_time)
-    )
-    chosen = (
-        stretches.groupBy(*keys, "_stretch")
-        .agg(F.sort_array(F.collect_list("measured_at")).alias("_times"))
-        .select(*keys, F.explode(emission_times(F.col("_times"), gap)).alias("measured_at"))
-        .join(seconds, [*keys, "measured_at"])
+    stretches = seconds.withColumn("_new", F.coalesce(pause, F.lit(gap)) >= gap).withColumn(
+        "_stretch", F.sum(F.col("_new").cast("int")).over(by_time)
     )
-    return short.join(chosen, [*keys, "measured_at", order]).withColumn(
+    by_stretch = [*keys, "_stretch"]
+    # No ``repartition`` by number here: adaptive execution sizes the shuffle.
+    passes = stretches.repartition(*by_stretch).sortWithinPartitions(*by_stretch, "measured_at")
+    at, fresh = passes.columns.index("measured_at"), passes.columns.index("_new")
+
+    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = 0
+        for batch in batches:
+            taken = []
+            for i, (time, new) in enumerate(zip(batch.column(at).to_pylist(), batch.column(fresh).to_pylist())):
+                if new or time >= last + gap:
+                    last = time
+                    taken.append(i)
+            yield batch.take(pa.array(taken, pa.int32()))
+
+    chosen = passes.mapInArrow(emitted, passes.schema)
+    return short.join(chosen.select(*keys, "measured_at", order), [*keys, "measured_at", order]).withColumn(
         "plan", obfuscate_explain(F.col("plan"))
     )
+
+
+def attach_plans(
+    events: DataFrame,
+    plans: DataFrame,
+    event_id: Sequence[str] = ("payload_id", "pos"),
+    within: int = EXPLAIN_WITHIN,
+    gap: int = EXPLAIN_SECONDS,
+    max_bytes: int = EXPLAIN_BYTES,
+) -> DataFrame:
+    """Slow queries with ``explain``, the throttled plan taken of them (NULL for most).
+
+    A plan belongs to the last query of its server and fingerprint logged at most ``within`` seconds
+    before it (of several in a second, the one with the smallest id); a plan without such a query counts
+    for the throttle and reaches nothing.  The interval join is an equi-join on slots of that width, so
+    a frequent statement is spread over time, and only identifiers take part in it.
+    """
+    if within >= gap:
+        raise ValueError("plans must be further apart than a plan is from its query")
+    keys, event_id = list(PLAN_KEYS), list(event_id)
+    taken = explain_throttle(plans, keys, "plan_id", gap, max_bytes).select(*keys, "plan_id", F.col("measured_at").alias("_taken"), "plan")
+    width = within + 1
+
+    def slot(at: Column) -> Column:
+        return F.floor(at / width)
+
+    near = taken.select(*keys, "plan_id", "_taken", F.explode(F.array(slot(F.col("_taken")), slot(F.col("_taken")) - 1)).alias("_slot")).join(
+        events.select(*keys, *event_id, "measured_at", slot(F.col("measured_at")).alias("_slot")), [*keys, "_slot"]
+    )
+    near = near.filter((F.col("measured_at") <= F.col("_taken")) & (F.col("measured_at") >= F.col("_taken") - within))
+    chosen = near.groupBy(*keys, "plan_id").agg(
+        F.min_by(F.struct(*event_id), F.struct(-F.col("measured_at"), *event_id)).alias("_event")
+    )
+    explained = chosen.join(taken, [*keys, "plan_id"]).select(*keys, *[F.col("_event")[c].alias(c) for c in event_id], F.col("plan").alias("explain"))
+    return events.join(explained, [*keys, *event_id], "left").select(*events.columns, "explain")

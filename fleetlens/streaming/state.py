@@ -1,7 +1,10 @@
-"""Stateful stream operators: counter deltas and the plan throttle.
+"""Stateful stream operators: counter deltas, the plan throttle, plans of slow queries.
 
-Spark partitions and shuffles the stream by key; the processors below only see
-the rows of one key in one micro-batch, plus that key's small state.
+Spark partitions and shuffles the stream by key.  A processor sees the rows of one key in one
+micro-batch, chunk by chunk, plus that key's state.  All of them hold what has arrived until the
+event-time watermark has passed it, so files may arrive in any order within the ``delay``; then they
+work through it in order of event time.  Rows that come later than that are not lost silently: they
+leave the stream unchanged, with ``behind`` set.  State goes once it cannot matter any more.
 """
 
 from __future__ import annotations
@@ -17,99 +20,218 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetlens.functions.text import obfuscate_explain
-from fleetlens.operators.logs import EXPLAIN_BYTES, EXPLAIN_SECONDS
+from fleetlens.operators.logs import EXPLAIN_BYTES, EXPLAIN_SECONDS, EXPLAIN_WITHIN, PLAN_KEYS
+from fleetlens.schemas import SERVER
 
 # Workers receive the processors by value, so they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FORGET_SECONDS = 86400
+
+_AT = T.StructType([T.StructField("at", T.LongType())])
+
+
+def _watched(rows: DataFrame, seconds: str, delay: str) -> DataFrame:
+    """Let ``seconds`` drive the watermark; late rows still reach the processors, which set them apart."""
+    return rows.withColumn("_event", F.timestamp_seconds(seconds)).withWatermark("_event", delay).drop("_event")
+
+
+def _records(frame: pd.DataFrame, fields: list[T.StructField]) -> list[tuple]:
+    """Rows as state takes them; pandas turns whole numbers beside nulls into floats, and nulls into NaN."""
+    columns = []
+    for f in fields:
+        values = frame[f.name].astype(object)
+        values = values.where(frame[f.name].notna(), None)
+        if isinstance(f.dataType, T.IntegralType):
+            values = [None if v is None else int(v) for v in values]
+        columns.append(list(values))
+    return list(zip(*columns))
 
 
 class _CounterDelta(StatefulProcessor):
-    """Keeps the rows of the last poll of a key and pairs them with the next one."""
+    """Pairs each poll of a key with the one before it, once the watermark has passed it."""
 
-    def __init__(self, fields: list[T.StructField], keys: list[str], counters: list[str], adjacent: bool):
+    def __init__(self, fields: list[T.StructField], keys: list[str], counters: list[str], adjacent: bool, time: str, forget: int):
         self._fields = fields
+        self._names = [f.name for f in fields]
         self._keys = keys
         self._counters = counters
         self._adjacent = adjacent
+        self._time = time
+        self._forget = forget * 1000
+
+    def _at(self, row: dict) -> int:
+        return row[self._time] * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getListState("last_poll", T.StructType(self._fields))
+        self._handle = handle
+        row = T.StructType(self._fields)
+        place = T.StructType([T.StructField("poll", T.LongType()), T.StructField("slot", T.LongType())])
+        self._pending = handle.getMapState("pending", place, row)
+        self._last = handle.getListState("last_poll", row)
+
+    def _held(self) -> list[dict]:
+        return [dict(zip(self._names, r)) for r in self._last.get()] if self._last.exists() else []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = [f.name for f in self._fields]
-        held = [tuple(r) for r in self._last.get()] if self._last.exists() else []
-        previous = pd.DataFrame(held, columns=names)
-        fresh = pd.concat(list(rows), ignore_index=True).sort_values(["poll_seq", "ord"], kind="stable")
-        out = []
-        for poll, current in fresh.groupby("poll_seq", sort=True):
-            seen = previous["poll_seq"].iloc[0] if len(previous) else None
-            if seen is not None and poll < seen:
-                continue  # older than the state: its successor was already paired
-            if seen is not None and poll == seen:
-                previous = pd.concat([previous, current[names]], ignore_index=True)
-                continue
-            if seen is not None and (not self._adjacent or poll == seen + 1):
-                first = current.iloc[[0]]
-                delta = pd.concat([first] * len(previous), ignore_index=True)
-                before = previous.reset_index(drop=True)
-                for counter in self._counters:
-                    delta[counter] = delta[counter] - before[counter]
-                delta["ord"] = before["ord"]
-                out.append(delta)
-            previous = current[names]
-        self._last.put([tuple(r) for r in previous[names].itertuples(index=False, name=None)])
-        if out:
-            yield pd.concat(out, ignore_index=True)[self._keys + names]
+        last = self._held()
+        done = last[0]["poll_seq"] if last else None
+        slots: dict[int, int] = {}
+        if self._pending.exists():
+            for poll, slot in self._pending.keys():
+                slots[poll] = max(slots.get(poll, -1), slot)
+        behind = []
+        for chunk in rows:
+            for record in _records(chunk, self._fields):
+                row = dict(zip(self._names, record))
+                poll = row["poll_seq"]
+                if done is not None and poll <= done:
+                    behind.append(row)
+                    continue
+                slots[poll] = slots.get(poll, -1) + 1
+                self._pending.updateValue((poll, slots[poll]), record)
+        yield from self._frames(key, behind, True)
+        yield from self._release(key, last, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        last = self._held()
+        yield from self._release(key, last, now)
+        if last and not self._pending.exists() and self._at(last[0]) + self._forget <= now:
+            self._last.clear()
+
+    def _release(self, key, last: list[dict], now: int) -> Iterator[pd.DataFrame]:
+        polls: dict[int, list[tuple[int, dict]]] = {}
+        if self._pending.exists():
+            for (poll, slot), record in self._pending.iterator():
+                polls.setdefault(poll, []).append((slot, dict(zip(self._names, record))))
+        out, previous = [], last
+        for poll in sorted(polls):
+            rows = [row for _, row in sorted(polls[poll], key=lambda x: (x[1]["ord"], x[0]))]
+            due = max(map(self._at, rows))
+            if due > now:
+                # One timer per key: the next one is set when it fires.
+                self._handle.registerTimer(due)
+                break
+            if previous and (not self._adjacent or poll == previous[0]["poll_seq"] + 1):
+                for before in previous:
+                    delta = {c: None if rows[0][c] is None or before[c] is None else rows[0][c] - before[c] for c in self._counters}
+                    out.append(rows[0] | delta | {"ord": before["ord"]})
+            previous = rows
+            for slot, _ in polls[poll]:
+                self._pending.removeKey((poll, slot))
+        if previous is not last:
+            if last:
+                self._handle.deleteTimer(self._at(last[0]) + self._forget)
+            self._last.put([tuple(row[n] for n in self._names) for row in previous])
+            self._handle.registerTimer(self._at(previous[0]) + self._forget)
+        yield from self._frames(key, out, False)
+
+    def _frames(self, key, rows: list[dict], behind: bool) -> Iterator[pd.DataFrame]:
+        if rows:
+            frame = pd.DataFrame(rows, columns=self._names, dtype=object)
+            for name, value in zip(self._keys, key):
+                frame[name] = value
+            frame["behind"] = behind
+            yield frame[[*self._keys, *self._names, "behind"]]
 
     def close(self) -> None:
         pass
 
 
 def stream_counter_delta(
-    polls: DataFrame, keys: Sequence[str], counters: Sequence[str], adjacent: bool = True
+    polls: DataFrame,
+    keys: Sequence[str],
+    counters: Sequence[str],
+    delay: str,
+    adjacent: bool = True,
+    event_time: str = "measured_at",
+    forget: int = FORGET_SECONDS,
 ) -> DataFrame:
-    """Counter deltas over an unbounded poll stream.
+    """Counter deltas over an unbounded poll stream whose files arrive in any order.
 
-    ``polls`` carries the keys, ``poll_seq`` and ``ord``; all other columns come from the later
-    poll.  With ``adjacent`` a row pairs only with the very next poll of its
-    server, otherwise with the last one seen.  Polls arrive in order per key.
+    ``polls`` carries the keys, ``poll_seq``, ``ord`` and ``event_time`` in seconds; all other columns
+    come from the later poll.  With ``adjacent`` a row pairs only with the very next poll of its
+    server, otherwise with the last one seen.  A poll is paired when the watermark, ``delay`` behind
+    the latest time seen, has passed it; the last polls wait until later ones (of any key) arrive.
+    Rows of a poll that is paired already come out as they are, with ``behind`` set.  A key not seen
+    for ``forget`` seconds loses its state, and so its next delta.
     """
     keys, counters = list(keys), list(counters)
-    fields = [f for f in polls.schema.fields if f.name not in keys]
-    schema = T.StructType([*[polls.schema[k] for k in keys], *fields])
-    return polls.groupBy(*keys).transformWithStateInPandas(
-        _CounterDelta(fields, keys, counters, adjacent),
+    timed = _watched(polls, event_time, delay)
+    fields = [f for f in timed.schema.fields if f.name not in keys]
+    schema = T.StructType([*[polls.schema[k] for k in keys], *fields, T.StructField("behind", T.BooleanType())])
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        _CounterDelta(fields, keys, counters, adjacent, event_time, forget),
         outputStructType=schema,
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
 class _Throttle(StatefulProcessor):
-    """Remembers the last emission of a key."""
+    """Holds the best event of each second until the watermark passes it, and the last emission."""
 
-    def __init__(self, columns: list[str], order: str, gap: int):
-        self._columns = columns
+    def __init__(self, fields: list[T.StructField], order: str, gap: int):
+        self._fields = fields
+        self._names = [f.name for f in fields]
         self._order = order
         self._gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", T.StructType([T.StructField("at", T.LongType())]))
+        self._handle = handle
+        self._pending = handle.getMapState("seconds", _AT, T.StructType(self._fields))
+        self._last = handle.getValueState("last", _AT)
+        self._passed = handle.getValueState("passed", _AT)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = self._passed.get()[0] if self._passed.exists() else None
+        order = self._names.index(self._order)
+        best: dict[int, tuple] = {}
+        for chunk in rows:
+            late = chunk["measured_at"] <= passed if passed is not None else pd.Series(False, index=chunk.index)
+            if late.any():
+                yield chunk[late][self._names].assign(behind=True)
+            # One row per second leaves a chunk, so a hot key is bounded by elapsed time.
+            first = chunk[~late].sort_values(["measured_at", self._order], kind="stable").drop_duplicates("measured_at")
+            for record in _records(first, self._fields):
+                at = record[self._names.index("measured_at")]
+                if at not in best or record[order] < best[at][order]:
+                    best[at] = record
+        for at, record in best.items():
+            held = self._pending.getValue((at,))
+            if held is None or record[order] < held[order]:
+                self._pending.updateValue((at,), record)
+        yield from self._release(timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        yield from self._release(now)
+        if self._last.exists() and not self._pending.exists() and (self._last.get()[0] + self._gap) * 1000 <= now:
+            self._last.clear()
+            self._passed.clear()
+
+    def _release(self, now: int) -> Iterator[pd.DataFrame]:
+        seconds = sorted(at for (at,) in self._pending.keys()) if self._pending.exists() else []
+        ready = [at for at in seconds if at * 1000 <= now]
+        if len(ready) < len(seconds):
+            # One timer per key: the next one is set when it fires.
+            self._handle.registerTimer(seconds[len(ready)] * 1000)
+        if not ready:
+            return
         last = self._last.get()[0] if self._last.exists() else None
-        events = pd.concat(list(rows), ignore_index=True).sort_values(["measured_at", self._order])
         chosen = []
-        for i, at in enumerate(events["measured_at"]):
+        for at in ready:
             if last is None or at >= last + self._gap:
-                last = int(at)
-                chosen.append(i)
-        if last is not None:
-            self._last.update((last,))
+                last = at
+                chosen.append(self._pending.getValue((at,)))
+            self._pending.removeKey((at,))
+        self._passed.update((ready[-1],))
+        self._last.update((last,))
+        self._handle.registerTimer((last + self._gap) * 1000)
         if chosen:
-            yield events.iloc[chosen][self._columns]
+            yield pd.DataFrame(chosen, columns=self._names, dtype=object).assign(behind=False)
 
     def close(self) -> None:
         pass
@@ -117,16 +239,142 @@ class _Throttle(StatefulProcessor):
 
 def stream_explain_throttle(
     events: DataFrame,
-    keys: Sequence[str] = ("fingerprint",),
+    delay: str,
+    keys: Sequence[str] = PLAN_KEYS,
     order: str = "event_id",
     gap: int = EXPLAIN_SECONDS,
     max_bytes: int = EXPLAIN_BYTES,
 ) -> DataFrame:
-    """At most one plan per key and ``gap`` seconds of event time."""
-    short = events.filter(F.octet_length("raw") <= max_bytes)
+    """At most one plan per key and ``gap`` seconds of event time; keys name the server too.
+
+    Events older than what their key has decided come out with ``behind`` set and count for nothing.
+    A key's state goes ``gap`` seconds after its last plan.
+    """
+    short = _watched(events.filter(F.octet_length("raw") <= max_bytes), "measured_at", delay)
+    schema = T.StructType([*short.schema.fields, T.StructField("behind", T.BooleanType())])
     return short.groupBy(*keys).transformWithStateInPandas(
-        _Throttle(short.columns, order, gap),
-        outputStructType=short.schema,
-        outputMode="Append",
-        timeMode="None",
+        _Throttle(short.schema.fields, order, gap), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     ).withColumn("plan", obfuscate_explain(F.col("plan")))
+
+
+class _PlanAttachment(StatefulProcessor):
+    """Slow queries and plans of one statement: throttles the plans and gives each to its query."""
+
+    def __init__(self, fields: list[T.StructField], event_id: list[str], within: int, gap: int):
+        self._fields = fields
+        self._names = [f.name for f in fields]
+        self._event_id = event_id
+        self._within = within
+        self._gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        slot = T.StructType([T.StructField("at", T.LongType()), T.StructField("slot", T.LongType())])
+        self._events = handle.getMapState("events", slot, T.StructType(self._fields))
+        # Of the plans of a second only the first can be taken.
+        self._plans = handle.getMapState("plans", _AT, T.StructType([T.StructField("id", T.LongType()), T.StructField("plan", T.StringType())]))
+        self._last = handle.getValueState("last", _AT)
+        self._passed = handle.getValueState("passed", _AT)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = self._passed.get()[0] if self._passed.exists() else None
+        slots: dict[int, int] = {}
+        if self._events.exists():
+            for at, slot in self._events.keys():
+                slots[at] = max(slots.get(at, -1), slot)
+        behind = []
+        for chunk in rows:
+            for record in _records(chunk, self._fields):
+                row = dict(zip(self._names, record))
+                at, plan = row["measured_at"], row["plan_id"] is not None
+                if passed is not None and (at if plan else at + self._within) <= passed:
+                    if not plan:
+                        behind.append(row)
+                    continue
+                if plan:
+                    held = self._plans.getValue((at,))
+                    if held is None or row["plan_id"] < held[0]:
+                        self._plans.updateValue((at,), (row["plan_id"], row["explain"]))
+                else:
+                    slots[at] = slots.get(at, -1) + 1
+                    self._events.updateValue((at, slots[at]), record)
+        yield from self._frames(behind, True)
+        yield from self._release(timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        yield from self._release(now)
+        idle = not self._events.exists() and not self._plans.exists()
+        if idle and self._last.exists() and (self._last.get()[0] + self._gap) * 1000 <= now:
+            self._last.clear()
+
+    def _release(self, now: int) -> Iterator[pd.DataFrame]:
+        events = {k: dict(zip(self._names, r)) for k, r in self._events.iterator()} if self._events.exists() else {}
+        plans = sorted(at for (at,) in self._plans.keys()) if self._plans.exists() else []
+        ready = [at for at in plans if at * 1000 <= now]
+        last = self._last.get()[0] if self._last.exists() else None
+        for at in ready:
+            _, plan = self._plans.getValue((at,))
+            self._plans.removeKey((at,))
+            if last is not None and at < last + self._gap:
+                continue
+            last = at
+            near = [k for k in events if at - self._within <= k[0] <= at]
+            if near:
+                k = min(near, key=lambda k: (-k[0], *[events[k][c] for c in self._event_id]))
+                events[k]["explain"] = plan
+                self._events.updateValue(k, tuple(events[k][n] for n in self._names))
+        if ready:
+            self._last.update((last,))
+            self._handle.registerTimer((last + self._gap) * 1000)
+        out = []
+        for k in sorted(k for k in events if (k[0] + self._within) * 1000 <= now):
+            out.append(events[k])
+            self._events.removeKey(k)
+        waiting = plans[len(ready) :][:1] + [k[0] + self._within for k in events if (k[0] + self._within) * 1000 > now]
+        if waiting:
+            # One timer per key: the next one is set when it fires.
+            self._handle.registerTimer(min(waiting) * 1000)
+        if out or ready:
+            self._passed.update((now // 1000,))
+        yield from self._frames(out, False)
+
+    def _frames(self, rows: list[dict], behind: bool) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame(rows, columns=self._names, dtype=object).drop(columns="plan_id").assign(behind=behind)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_attach_plans(
+    events: DataFrame,
+    plans: DataFrame,
+    delay: str,
+    event_id: Sequence[str] = ("payload_id", "pos"),
+    within: int = EXPLAIN_WITHIN,
+    gap: int = EXPLAIN_SECONDS,
+    max_bytes: int = EXPLAIN_BYTES,
+) -> DataFrame:
+    """Streaming form of ``logs.attach_plans`` over ``logs.slow_query_events`` and ``logs.plan_events``.
+
+    A slow query waits ``within`` seconds of event time for its plan.  Queries that arrive after the
+    watermark has passed that come out without a plan and with ``behind`` set.
+    """
+    if within >= gap:
+        raise ValueError("plans must be further apart than a plan is from its query")
+    own = [c for c in events.columns if c not in ("explain", "behind")]
+    # Times travel through the state as numbers.
+    times = [f.name for f in events.schema.fields if isinstance(f.dataType, T.TimestampType)]
+    events = events.withColumns({c: F.unix_micros(c) for c in times})
+    both = events.select(*own, F.lit(None).cast("bigint").alias("plan_id"), F.lit(None).cast("string").alias("explain"))
+    taken = plans.filter(F.octet_length("raw") <= max_bytes)
+    named = {c: F.col(c) for c in (*SERVER, "fingerprint", "measured_at")}
+    empty = [named.get(c, F.lit(None).cast(events.schema[c].dataType)).alias(c) for c in own]
+    both = both.unionByName(taken.select(*empty, "plan_id", obfuscate_explain(F.col("plan")).alias("explain")))
+    timed = _watched(both, "measured_at", delay)
+    schema = T.StructType([*[f for f in timed.schema.fields if f.name != "plan_id"], T.StructField("behind", T.BooleanType())])
+    attached = timed.groupBy(*SERVER, "fingerprint").transformWithStateInPandas(
+        _PlanAttachment(timed.schema.fields, list(event_id), within, gap), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    )
+    return attached.withColumns({c: F.timestamp_micros(c) for c in times}) if times else attached

@@ -51,7 +51,17 @@ def test_throttle_is_greedy_from_the_last_emission(spark):
         if len(raw) <= 30000 and (f not in last or at >= last[f] + 3600):
             last[f] = at
             want.add(i)
-    assert {r.event_id for r in logs.explain_throttle(events).collect()} == want
+    assert {r.event_id for r in logs.explain_throttle(events, ["fingerprint"]).collect()} == want
+
+
+def test_throttle_of_one_hot_key_without_a_pause(spark):
+    """A statement that is slow every second for a day: one stretch, no array of its times."""
+    events = spark.range(0, 86_400 * 3).selectExpr(
+        "id as event_id", "'A' as config_name", "'f' as fingerprint", "cast(id div 3 as bigint) as measured_at", "'x' as raw", "'p' as plan"
+    )
+    throttled = logs.explain_throttle(events, ["config_name", "fingerprint"])
+    assert "collect_list" not in throttled._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.event_id for r in throttled.collect()) == [3 * 3600 * i for i in range(24)]
 
 
 def test_error_cap(spark):

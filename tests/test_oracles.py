@@ -6,8 +6,8 @@ from verification.compare import compare, duck
 from verification.oracles import ORACLES
 from verification.queries import QUERIES
 
-# Stateful streams run pandas inside their tasks.
-STATEFUL = {"stream_counter_delta", "stream_explain_throttle"}
+# The ordered pass of the throttle runs inside Python tasks.
+IN_PYTHON = {"explain_throttle", "slow_query_report", "slow_query_plans"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,7 @@ def test_same_result_on_the_jvm(spark, sf, con, key):
     n, m, text = compare(spark, con, sf, lambda *_: df, ORACLES[key])
     assert text == "" and n == m and n > 0
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert key in STATEFUL or "Python" not in plan
+    assert key in IN_PYTHON or "Python" not in plan
     assert "CartesianProduct" not in plan
 
 

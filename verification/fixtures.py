@@ -614,6 +614,20 @@ def explain_events(d: Dialect) -> str:
     from {d.table('events')}"""
 
 
+def plan_events(d: Dialect) -> str:
+    """Plans of the slow statements in the log payloads, taken up to 90 seconds after their line."""
+    user = "cast(user_id as string)"
+    return f"""
+    select event_id as plan_id, substr('ANR', cast(user_id % 3 as int) + 1, 1) || '_' || cast({d.idiv('event_id', 10000)} as string) as config_name,
+           {d.epoch('ts')} + event_id % 90 as measured_at,
+           case event_type when 'purchase' then 'SELECT * FROM orders WHERE user_id = ' || {user} || ' AND kind IN (1, 2, 3) LIMIT 5'
+                else 'UPDATE clicks SET seen = ''yes'' WHERE id = ' || cast(event_id % 40 as string) end
+             || case when event_id % 31 = 0 then ' /* app:fleet-collector */' else '' end
+             || case when event_id % 97 = 0 then repeat(' ', 30001) else '' end as raw,
+           'Update on t  (cost=0.00..1.00 rows=' || {user} || ')' || {d.nl()} || '  Index Cond: (id = ' || {user} || ')' as plan
+    from {d.table('events')} where event_type in ('purchase', 'click')"""
+
+
 def metrics_long(d: Dialect) -> str:
     return f"""
     select {_server()}, event_id as ord, event_type || '.value' as name,
@@ -718,6 +732,7 @@ FIXTURES: dict[str, tuple[tuple[str, ...], object]] = {
     "servers": (("cells_event",), servers),
     "errors": ((), errors),
     "explain_events": ((), explain_events),
+    "plan_events": ((), plan_events),
     "metrics_long": ((), metrics_long),
     "server_records": (("cells_table",), server_records),
     "corpus": ((), corpus),

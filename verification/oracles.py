@@ -768,27 +768,53 @@ SLOWQ = f"""slowq AS (
   from slow_text t join (select * from servers qualify row_number() over (partition by config_name order by ord) = 1) v
     on v.config_name = t.color)"""
 oracle("slow_query_events", "log_payloads servers", "select * from slow_events", *_log, SLOWQ)
-oracle(
-    "slow_query_report", "log_payloads servers",
-    """select config_name, fingerprint, query, count(*) as calls, min(min_time) as min_time, max(max_time) as max_time,
-              max(measured_at) as measured_at from slow_events group by all""",
-    *_log, SLOWQ,
-)
-THROTTLE = f"""recursive short AS (
-  select * from explain_events where octet_length(encode(raw)) <= 30000
+def throttled(source: str, keys: list[str], where: str = "true") -> str:
+    """First event of a key, then the first at least an hour after the last one taken."""
+    k = cols(keys)
+    later = f"select {{}} from short s where {on(k, 's', 'e')} and s.measured_at >= e.measured_at + 3600"
+    return f"""short AS (
+  select * from {source} where octet_length(encode(raw)) <= 30000 and {where}
 ), emitted AS (
-  select fingerprint, min(measured_at) as measured_at from short group by 1
+  select {k}, min(measured_at) as measured_at from short group by all
   union all
-  select e.fingerprint, (select min(s.measured_at) from short s where s.fingerprint = e.fingerprint and s.measured_at >= e.measured_at + 3600)
-  from emitted e
-  where exists (select 1 from short s where s.fingerprint = e.fingerprint and s.measured_at >= e.measured_at + 3600)
+  select {cols(['e.' + c for c in keys])}, ({later.format('min(s.measured_at)')}) from emitted e where exists ({later.format('1')})
 )"""
-_throttle_sql = (
-    f"select arg_min(s.event_id, s.event_id) as event_id, s.fingerprint, s.measured_at, {explain('arg_min(s.plan, s.event_id)')} as plan "
-    "from short s join emitted e on s.fingerprint = e.fingerprint and s.measured_at = e.measured_at group by s.fingerprint, s.measured_at"
-)
-for _key in ("explain_throttle", "stream_explain_throttle"):
-    oracle(_key, "explain_events", _throttle_sql, THROTTLE.replace("recursive ", ""))
+
+
+_explain_keys = ["config_name", "fingerprint"]
+for _key, _extra in (("explain_throttle", ""), ("stream_explain_throttle", ", false as behind")):
+    oracle(
+        _key, "explain_events",
+        f"""select min(s.event_id) as event_id, {cols(['s.' + c for c in _explain_keys])}, s.measured_at,
+              {explain('arg_min(s.plan, s.event_id)')} as plan{_extra}
+            from short s join emitted e on {on(cols(_explain_keys), 's', 'e')} and s.measured_at = e.measured_at group by {cols(['s.' + c for c in _explain_keys])}, s.measured_at""",
+        throttled("explain_events", _explain_keys),
+    )
+    ORACLES[_key] = ORACLES[_key].replace("WITH ", "WITH RECURSIVE ", 1)
+
+PLAN_TEXT = f"""plan_text AS (
+  select *, {clean(obfuscate(strip('raw')))} as cleaned from plan_events where not contains({comment('raw')}, '{COLLECTOR}')
+), plan_keys AS (
+  select v.config_name, v.config_var_name, v.database, substr(md5(cleaned), 1, 10) as fingerprint, measured_at, plan_id, raw, plan
+  from plan_text t join (select * from servers qualify row_number() over (partition by config_name order by ord) = 1) v using (config_name))"""
+_plan_keys = ["config_name", "config_var_name", "database", "fingerprint"]
+PLANNED = f"""taken AS (
+  select {cols(['s.' + c for c in _plan_keys])}, s.measured_at, min(plan_id) as plan_id, arg_min(plan, plan_id) as plan
+  from short s join emitted e on {on(cols(_plan_keys), 's', 'e')} and s.measured_at = e.measured_at group by {cols(['s.' + c for c in _plan_keys])}, s.measured_at
+), near AS (
+  select e.payload_id, e.pos, {explain('p.plan')} as explain,
+         row_number() over (partition by p.plan_id, {cols(['p.' + c for c in _plan_keys])} order by e.measured_at desc, e.payload_id, e.pos) as place
+  from taken p join slow_events e on {on(cols(_plan_keys), 'p', 'e')} and e.measured_at between p.measured_at - 60 and p.measured_at
+), explained AS (
+  select e.*, n.explain from slow_events e left join (select * from near where place = 1) n using (payload_id, pos))"""
+_summary = """select config_name, fingerprint, query, count(*) as calls, min(min_time) as min_time, max(max_time) as max_time,
+              max(measured_at) as measured_at, count(explain) as n_plans, min(explain) as first_plan, max(explain) as last_plan
+            from explained group by config_name, fingerprint, query"""
+for _key, _select in (
+    ("slow_query_report", _summary), ("stream_slow_query_report", _summary),
+    ("slow_query_plans", f"select {cols(_plan_keys)}, payload_id, pos, measured_at, explain from explained where explain is not null"),
+):
+    oracle(_key, "log_payloads servers plan_events", _select, *_log, SLOWQ, PLAN_TEXT, throttled("plan_keys", _plan_keys), PLANNED)
     ORACLES[_key] = ORACLES[_key].replace("WITH ", "WITH RECURSIVE ", 1)
 oracle(
     "collector_log_stats", "log_payloads",
@@ -880,7 +906,7 @@ oracle(
 )
 oracle(
     "stream_counter_delta", _stmt_fix,
-    f"""select {pick(KA, 'n')}, p.ord, n.query_id, n.calls - p.calls as calls, n.total_time - p.total_time as total_time, n.rows - p.rows as rows
+    f"""select {pick(KA, 'n')}, p.ord, n.query_id, n.calls - p.calls as calls, n.total_time - p.total_time as total_time, n.rows - p.rows as rows, false as behind
         from stmt p join (select * from stmt qualify row_number() over (partition by {K}, query_id order by ord) = 1) n
           on {on(S, 'p', 'n')} and p.query_id = n.query_id and n.poll_seq = p.poll_seq + 1""",
     SCAN,
@@ -922,7 +948,7 @@ oracle(
 
 METADATA = f"""meta AS ({ORACLES['server_metadata'][ORACLES['server_metadata'].rindex('select ' + pick(KA, 'p')):]})"""
 oracle(
-    "servers_enriched", f"polls_table settings schemata {_pooler_fix} activity {_repl_fix} {_stmt_fix}",
+    "servers_enriched", f"polls_table settings schemata {_pooler_fix} activity {_repl_fix} {_stmt_fix} log_payloads servers plan_events",
     f"""select m.poll_seq, m.config_name, m.config_var_name, nullif(m.platform, '') as platform, nullif(m.max_connections, 0) as max_connections,
          m.version, m.monitored_at,
          cast(coalesce((select count(distinct database) from user_schemas x where x.poll_seq = m.poll_seq and x.config_name = m.config_name and m.poll_seq > 1), 0) as int) as n_databases,
@@ -930,11 +956,17 @@ oracle(
          (select nullif(arg_max(application_name, database), '') from self x where x.poll_seq = m.poll_seq and x.config_name = m.config_name) as replica_name,
          cast((select count(*) from clients x where x.poll_seq = m.poll_seq and x.config_name = m.config_name) as int) as n_replicas,
          cast((select count(distinct (name, entity)) from connections_m x where x.poll_seq = m.poll_seq and x.config_name = m.config_name) as int) as n_metrics,
-         cast((select count(*) from tops x where x.poll_seq = m.poll_seq and x.config_name = m.config_name) as int) as n_queries,
-         coalesce((select max({up('total_time', 2)}) from tops x where x.poll_seq = m.poll_seq and x.config_name = m.config_name), 0.0e0) as max_time,
-         cast((select count(*) from settings x where x.poll_seq = m.poll_seq and x.config_name = m.config_name) as int) as n_settings
+         cast((select count(*) from reported x where x.poll_seq = m.poll_seq and x.config_name = m.config_name) as int) as n_queries,
+         coalesce((select max({up('total_time', 2)}) from reported x where x.poll_seq = m.poll_seq and x.config_name = m.config_name), 0.0e0) as max_time,
+         cast((select count(*) from settings x where x.poll_seq = m.poll_seq and x.config_name = m.config_name) as int) as n_settings,
+         coalesce((select string_agg(explain, ';' order by explain) from reported x where x.poll_seq = m.poll_seq and x.config_name = m.config_name), '') as explains
        from meta m""",
     VERSION, MAXCONN, PLATFORM, POOLER_META, METADATA, SCHEMAS, CLIENTS, SELF, CONNECTIONS,
     SCAN, TEXT, DELTA, VALID, ROLLED, PLACED, worst("rolled").replace("c0 AS (select *", f"c0 AS (select {cols(STATS_ORDER)}"),
     "tops AS (" + _union + " union all by name select *, 'missing_text' as category from placed where query = 'MISSING' and fingerprint = '')",
+    *_log, SLOWQ, PLAN_TEXT, throttled("plan_keys", _plan_keys), PLANNED,
+    """reported AS (
+  select poll_seq, config_name, total_time, cast(null as varchar) as explain from tops
+  union all select payload_id % 5 + 1, config_name, total_time, explain from explained)""",
 )
+ORACLES["servers_enriched"] = ORACLES["servers_enriched"].replace("WITH ", "WITH RECURSIVE ", 1)

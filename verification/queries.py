@@ -379,7 +379,7 @@ from fleetlens.operators import report as rep  # noqa: E402
 from fleetlens.plans import schema_health as sh  # noqa: E402
 from fleetlens.plans.fleet_report import ReportInputs, fleet_report  # noqa: E402
 from fleetlens.plans.metric_stream import metric_stream  # noqa: E402
-from fleetlens.plans.slow_query_report import slow_query_report  # noqa: E402
+from fleetlens.plans.slow_query_report import slow_events, slow_query_report, stream_slow_query_report  # noqa: E402
 from fleetlens.sources.tables import read_snapshot, write_report_json  # noqa: E402
 from fleetlens.sources.workspace import workspace  # noqa: E402
 from fleetlens.streaming.run import drain  # noqa: E402
@@ -591,20 +591,36 @@ def _(spark, sf):
     return lg.slow_query_events(lg.slow_query_lines(_stitched(spark, sf)), fixture(spark, sf, "servers")).drop("received_at")
 
 
-@query("slow_query_report")
-def _(spark, sf):
-    """Slow statements per server and fingerprint."""
-    events = slow_query_report(_payloads(spark, sf), fixture(spark, sf, "servers"))
+def _slow_summary(events):
     return events.groupBy("config_name", "fingerprint", "query").agg(
         F.sum("calls").alias("calls"), F.min("min_time").alias("min_time"), F.max("max_time").alias("max_time"),
-        F.max("measured_at").alias("measured_at"),
+        F.max("measured_at").alias("measured_at"), F.count("explain").alias("n_plans"),
+        F.min("explain").alias("first_plan"), F.max("explain").alias("last_plan"),
+    )
+
+
+def _slow_events(spark, sf):
+    return slow_query_report(_payloads(spark, sf), fixture(spark, sf, "servers"), fixture(spark, sf, "plan_events"))
+
+
+@query("slow_query_report")
+def _(spark, sf):
+    """Slow statements per server and fingerprint, with the plans taken of them."""
+    return _slow_summary(_slow_events(spark, sf))
+
+
+@query("slow_query_plans")
+def _(spark, sf):
+    """The slow queries that carry a plan."""
+    return _slow_events(spark, sf).filter("explain is not null").select(
+        *SERVER, "fingerprint", "payload_id", "pos", "measured_at", "explain"
     )
 
 
 @query("explain_throttle")
 def _(spark, sf):
-    return lg.explain_throttle(fixture(spark, sf, "explain_events")).select(
-        "event_id", "fingerprint", "measured_at", "plan"
+    return lg.explain_throttle(fixture(spark, sf, "explain_events"), ["config_name", "fingerprint"]).select(
+        "event_id", "config_name", "fingerprint", "measured_at", "plan"
     )
 
 
@@ -644,7 +660,7 @@ def _(spark, sf):
 def _(spark, sf):
     keep = [*SERVER, "fingerprint", "query", "calls", "total_time", "measured_at"]
     polled = qs.query_stats_valid(qs.query_stats_delta(_stats(spark, sf))).select(*keep)
-    slow = slow_query_report(_payloads(spark, sf), fixture(spark, sf, "servers")).select(*keep)
+    slow = slow_events(_payloads(spark, sf), fixture(spark, sf, "servers")).select(*keep)
     return mt.append_rows(polled, slow)
 
 
@@ -733,7 +749,8 @@ def _report_errors(spark, sf):
 def _report_inputs(spark, sf):
     c = _catalog(spark, sf)
     payloads, errors = _report_payloads(spark, sf), _report_errors(spark, sf)
-    slow = slow_query_report(payloads, fixture(spark, sf, "servers")).withColumn(
+    # Plans are taken of the lines as logged; the report shows them in the minutes of the aligned payloads.
+    slow = _slow_events(spark, sf).drop("received_at").join(payloads.select("payload_id", "received_at"), "payload_id").withColumn(
         "measured_at", F.unix_seconds("received_at")
     )
     metadata = _metadata(spark, sf).withColumn("ord", F.col("poll_seq"))
@@ -804,7 +821,8 @@ def _(spark, sf):
         _schemas(spark, sf).filter(F.col("poll_seq") > 1).groupBy(*by, "config_name", "database")
         .agg(F.sort_array(F.collect_list(F.struct(F.col("schema_name").alias("name")))).alias("schemas"))
     )
-    queries = top_queries(*_statement_inputs(spark, sf)).withColumn("explain", F.lit(None).cast("string"))
+    slow = _slow_events(spark, sf).withColumn("poll_seq", F.pmod("payload_id", F.lit(5)) + 1)
+    queries = mt.append_rows(top_queries(*_statement_inputs(spark, sf)), slow)
     out = rep.servers_enriched(
         servers, databases, _self(spark, sf), _clients(spark, sf),
         mt.connections_used(*_fix(spark, sf, "activity", "settings")), queries,
@@ -821,6 +839,7 @@ def _(spark, sf):
         F.aggregate(F.coalesce("queries.stats.time", F.array().cast("array<double>")), F.lit(0.0),
                     lambda a, x: F.greatest(a, F.coalesce(x, F.lit(0.0)))).alias("max_time"),
         F.coalesce(F.size("settings"), F.lit(0)).alias("n_settings"),
+        F.array_join(F.array_sort(F.coalesce("queries.stats.explain", F.array().cast("array<string>"))), ";").alias("explains"),
     )
 
 
@@ -857,19 +876,66 @@ def _(spark, sf):
     return drain(spark, routed, "logs")
 
 
+def _out_of_order(rows, *key, n=4):
+    """Rows with the ``_file`` they arrive in: by time, but up to a quarter of a file late; and that delay."""
+    lo, hi = rows.agg(F.min("measured_at"), F.max("measured_at")).first()
+    step = ((hi or 0) - (lo or 0)) // n + 1
+    late = F.pmod(F.xxhash64(*key), F.lit(step // 4 + 1))
+    place = F.floor((F.col("measured_at") + late - (lo or 0)) / step)
+    return rows.withColumn("_file", F.least(place, F.lit(n - 1)).cast("int")), f"{step // 4 + 1} seconds", (hi or 0) + 10 * step
+
+
+def _in_files(spark, rows, purpose, last=None, n=4):
+    """A stream of ``n`` files, one a micro-batch; then ``last``, later rows that push the watermark on."""
+    path = workspace(spark, purpose)
+    rows.write.parquet(f"{path}/staged")
+    staged, schema = spark.read.parquet(f"{path}/staged"), rows.drop("_file").schema
+    parts = [staged.filter(F.col("_file") == k).drop("_file") for k in range(n)] + ([] if last is None else [last])
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{path}/landing")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landing")
+
+
+def _one_row(spark, like, **values):
+    return spark.range(1).select(
+        *[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in like.schema.fields if f.name != "_file"]
+    )
+
+
 @query("stream_counter_delta")
 def _(spark, sf):
+    """Polls in files out of order, in several micro-batches; ``behind`` marks what came too late."""
     counters = ["calls", "total_time", "rows"]
     stats = qs.statement_stats(*_statement_inputs(spark, sf)).select(
         *SERVER, "query_id", "poll_seq", "measured_at", "ord", *counters
     )
-    stream = _landed(spark, stats, "polls")
-    return drain(spark, stream_counter_delta(stream, [*SERVER, "query_id"], counters), "deltas")
+    rows, delay, later = _out_of_order(stats, *SERVER, "query_id", "poll_seq")
+    end = _one_row(spark, stats, poll_seq=1, ord=1, measured_at=later)
+    stream = _in_files(spark, rows, "polls", end)
+    return drain(spark, stream_counter_delta(stream, [*SERVER, "query_id"], counters, delay), "deltas")
 
 
 @query("stream_explain_throttle")
 def _(spark, sf):
-    stream = _landed(spark, fixture(spark, sf, "explain_events"), "plans")
-    return drain(spark, stream_explain_throttle(stream), "throttle").select(
-        "event_id", "fingerprint", "measured_at", "plan"
+    events, delay, later = _out_of_order(fixture(spark, sf, "explain_events"), "event_id")
+    end = _one_row(spark, events, event_id=0, raw="x", measured_at=later)
+    stream = _in_files(spark, events, "plans", end)
+    throttled = drain(spark, stream_explain_throttle(stream, delay, ["config_name", "fingerprint"]), "throttle")
+    return throttled.filter("config_name is not null").select("event_id", "config_name", "fingerprint", "measured_at", "plan", "behind")
+
+
+@query("stream_slow_query_report")
+def _(spark, sf):
+    """Payloads and plans in files out of order; the same summary as in batch."""
+    servers = fixture(spark, sf, "servers")
+    plans, delay, later = _out_of_order(fixture(spark, sf, "plan_events"), "plan_id")
+    known = servers.agg(F.min("config_name").alias("config_name"))
+    end = known.crossJoin(_one_row(spark, plans, plan_id=0, raw="select 1", measured_at=later).drop("config_name")).select(*plans.drop("_file").columns)
+    payloads, other_delay, _ = _out_of_order(_payloads(spark, sf).withColumn("measured_at", F.unix_seconds("received_at")), "payload_id")
+    longest = max(delay, other_delay, key=lambda d: int(d.split()[0]))
+    # The fallback of an unreadable time is the receipt of a payload of several lines.
+    report = stream_slow_query_report(
+        _in_files(spark, payloads, "payloads").drop("measured_at"), servers, _in_files(spark, plans, "plans", end), longest
     )
+    events = drain(spark, report, "slow")
+    return _slow_summary(events.filter("not behind"))
