@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.storage import stored
@@ -184,9 +184,13 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", total)
 
 
+def _binned(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * BINS_PER_OCTAVE).cast("int"))
+
+
 def _closest(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
     """Rows whose distance step holds the closest ``share`` of their group (ties included)."""
-    binned = rows.withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * BINS_PER_OCTAVE).cast("int"))
+    binned = _binned(rows)
     counts = binned.groupBy(*keys, "bin").count()
     running = Window.partitionBy(*keys).orderBy("bin")
     limits = (
@@ -217,6 +221,34 @@ def mcd(rows: DataFrame, keys: list[str], purpose: str, share: float = SHARE, st
     return estimate
 
 
+FIELDS = [f"mu{i}" for i in range(P)] + [f"l{i}{j}" for i, j in PAIRS]
+
+
+def _literals(estimate: Row) -> dict[str, Column]:
+    return {f: F.lit(estimate[f]).cast("double") for f in FIELDS}
+
+
+def mcd_of_all(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Row | None:
+    """The same over all rows; its few numbers pass through the driver and need no join.
+
+    None for an empty table.  The histogram has a row per step of the distance, whatever the table.
+    """
+    start = rows.agg(F.count("*").alias("m"), *[F.percentile_approx(n, 0.5, 1000).alias(f"mu{i}") for i, n in enumerate(NAMES)]).first()
+    if not start["m"]:
+        return None
+    spread = {f"l{i}{j}": FLOORS[NAMES[i]] if i == j else 0.0 for i, j in PAIRS}
+    estimate = Row(**(start.asDict() | spread))
+    for _ in range(steps):
+        binned = _binned(_distance(rows.withColumns(_literals(estimate))))
+        seen, limit, enough = 0, None, math.ceil(start["m"] * share)
+        for step, n in sorted(binned.groupBy("bin").count().collect()):
+            if seen < enough:
+                limit = step
+            seen += n
+        estimate = _estimate(binned.where(F.col("bin") <= limit).agg(*_moments()), []).first()
+    return estimate
+
+
 def quality_rules(
     documents: DataFrame,
     text: str = "text",
@@ -236,32 +268,36 @@ def quality_rules(
     Repeated rows count and are judged one by one; an empty table gives an empty result.  Columns
     named like the added ones are replaced.  ``keep_text=False`` leaves the text column out.
     """
-    own = [*NAMES, "distance", "kept", "_lang", "_source"]
-    facts = text_statistics(documents.select(*[F.col(f"`{c}`") for c in documents.columns if c not in own]), text)
-    kept = [c for c in facts.columns if keep_text or c != text]
+    own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", *NAMES, "distance", "kept")
+    kept = [c for c in documents.columns if c not in own and (keep_text or c != text)]
+    # Columns of any name travel in a struct; it needs a field, also where no other column is kept.
+    filler = "_" * (1 + max(map(len, kept), default=0))
+    others = [F.col(f"`{c}`") for c in kept if c != text]
+    facts = text_statistics(
+        documents.select(
+            F.struct(F.lit(0).alias(filler), *others).alias("rest"), F.col(f"`{text}`").alias("text"),
+            F.coalesce(F.concat(F.lit("="), F.col(f"`{lang}`")), F.lit("")).alias("lang"),
+            F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit("")).alias("source"),
+        )
+    )
     # The expensive statistics are computed once; all that follows reads this table.
     rows = stored(
-        facts.select(
-            *[F.col(f"`{c}`") for c in kept],
-            F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("")).alias("_lang"),
-            F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_source"),
-            *[value.alias(name) for name, value in _scaled().items()],
-        ),
+        facts.select(*[c for c in facts.columns if keep_text or c != "text"], *[value.alias(name) for name, value in _scaled().items()]),
         "quality-rows",
     )
-    passed = rows.where(~F.col("base_failed")).select("_lang", "_source", F.lit(1).alias("_any"), *NAMES)
-    fields = [f"mu{i}" for i in range(P)] + [f"l{i}{j}" for i, j in PAIRS]
-    judged, chosen = rows.withColumn("_any", F.lit(1)), F.lit(None)
-    levels = (["_lang", "_source"], ["_lang"], ["_any"])
-    for level, keys in enumerate(levels):
-        # The share of a group is what the estimate rests on.
+    passed = rows.where(~F.col("base_failed")).select("lang", "source", *NAMES)
+    judged, estimates = rows, []
+    # The share of a group is what the estimate rests on.
+    for level, keys in enumerate((["lang", "source"], ["lang"])):
         found = mcd(passed, keys, f"mcd-{level}").where(F.col("m") >= min_group * SHARE)
-        packed = found.select(*keys, F.struct(*fields).alias(f"_est{level}"))
-        judged = judged.join(packed, keys, "left")
-    chosen = F.coalesce(*[F.col(f"_est{level}") for level in range(len(levels))])
-    judged = _distance(judged.withColumn("_est", chosen).select("*", "_est.*"))
+        judged = judged.join(found.select(*keys, F.struct(*FIELDS).alias(f"_est{level}")), keys, "left")
+        estimates.append(F.col(f"_est{level}"))
+    whole = mcd_of_all(passed)
+    if whole is not None and whole["m"] >= min_group * SHARE:
+        estimates.append(F.struct(*[value.alias(f) for f, value in _literals(whole).items()]))
+    judged = _distance(judged.withColumn("_est", F.coalesce(*estimates)).select("*", "_est.*"))
     return judged.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.col("d2").alias("distance"),
+        *[F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in kept],
+        *own[:6], "base_failed", F.col("d2").alias("distance"),
         (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).alias("kept"),
     )

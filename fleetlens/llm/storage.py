@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetlens.sources.workspace import workspace
 
 
+#: Tables written between two clean-ups of the driver.
+RELEASE_EVERY = 3
+_written = [0]
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder that all executors share; raises where none is configured."""
     return workspace(spark, f"llm-{purpose}")
@@ -19,6 +24,10 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
     spark = frame.sparkSession
     path = shared_folder(spark, purpose)
     frame.write.option("compression", "zstd").parquet(path)
+    # What is written down needs neither its plan nor its shuffles any more; many small steps would pile them up.
+    _written[0] += 1
+    if _written[0] % RELEASE_EVERY == 0:
+        release(spark)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -71,6 +71,23 @@ def test_awkward_rows_have_results(spark):
     assert quality_rules(docs.limit(0)).count() == 0
 
 
+def test_columns_of_any_name_keep_their_values(spark):
+    plain = _corpus(spark)
+    named = ["mu0", "_est0", "_est", "_facts", "d2", "z0", "_any", "l00", "m", "bin", "rest", "_", "__"]
+    judged = quality_rules(plain.selectExpr("*", *[f"'{n}!' as {n}" for n in named], "'x' as kept", "7 as n_words"))
+    assert len(set(judged.columns)) == len(judged.columns)
+    assert all(r[n] == f"{n}!" for r in judged.collect() for n in named)
+    assert {r["doc_id"]: r["kept"] for r in judged.collect()} == {r["doc_id"]: r["kept"] for r in quality_rules(plain).collect()}
+
+
+def test_all_rows_are_judged_by_one_estimate_without_a_join(spark):
+    rows = [(i, r["text"], f"l{i % 40}", None) for i, r in enumerate(_corpus(spark).collect())]
+    judged = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert {r["doc_id"] for r in judged.collect() if not r["kept"]} == set(range(12))
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_main_path_is_native(spark, sf):
     plan = QUERIES["op2_quality_rules"](spark, sf)
     text = plan._jdf.queryExecution().executedPlan().toString()
