@@ -82,25 +82,21 @@ def lag_pairs(
 
     Within a bucket this is a plain lag.  The first row of a bucket takes the
     last row of the closest earlier bucket, found on one summary row per bucket.
-    The rows and the summary are two scans of the input, each shuffled once by the key and bucket.
+    The summary takes whole rows, so that both sides read the same exchange of the input by key
+    and bucket, which the planner reuses: one scan and one shuffle of the data.
     """
-    bucketed = rows.withColumn("_bucket", F.floor(F.col(poll) / bucket_polls)).repartition(
-        *[F.col(k) for k in keys], F.col("_bucket")
-    )
+    own = [c for c in rows.columns if c not in keys]
+    # A struct is never NULL, so the join below adds no condition that would tell the two exchanges apart.
+    key = F.struct(*[F.col(k) for k in keys], F.floor(F.col(poll) / bucket_polls).alias("_bucket")).alias("_key")
+    bucketed = rows.select(key, *own).repartition(F.col("_key"))
     payload = F.struct(*previous)
-    inside = bucketed.withColumn(
-        "prev", F.lag(payload).over(Window.partitionBy(*keys, "_bucket").orderBy(poll))
-    )
-    tails = bucketed.groupBy(*keys, "_bucket").agg(F.max_by(payload, F.col(poll)).alias("_tail"))
-    carried = tails.select(
-        *keys,
-        "_bucket",
-        F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carried"),
-    )
-    return (
-        inside.join(carried, [*keys, "_bucket"], "left")
-        .withColumn("prev", F.coalesce("prev", "_carried"))
-        .drop("_carried", "_bucket")
+    inside = bucketed.withColumn("prev", F.lag(payload).over(Window.partitionBy("_key").orderBy(poll)))
+    tails = bucketed.groupBy("_key").agg(F.max_by(F.struct(*own), F.col(poll)).alias("_tail"))
+    buckets = Window.partitionBy(*[F.col(f"_key.{k}") for k in keys]).orderBy("_key._bucket")
+    carried = tails.select("_key", F.lag("_tail").over(buckets).alias("_carried"))
+    last = F.when(F.col("_carried").isNotNull(), F.struct(*[F.col(f"_carried.{c}") for c in previous]))
+    return inside.join(carried, "_key", "left").select(
+        *[F.col(f"_key.{c}" if c in keys else c).alias(c) for c in rows.columns], F.coalesce("prev", last).alias("prev")
     )
 
 

@@ -116,19 +116,25 @@ def append_rows(*frames: DataFrame) -> DataFrame:
 
 
 def metric_series(
-    metrics: DataFrame, order: list[str] | None = None, by: list[str] | None = None
+    metrics: DataFrame, order: list[str] | None = None, by: list[str] | None = None, segment_seconds: int | None = None
 ) -> DataFrame:
     """Arrival-ordered (value, measured_at) lists per config name, metric and entity.
 
-    Group by a report window as well (``by``) to bound the length of a series.
+    A series needs a bound: columns to group by as well (``by``, a report window), or the length of its
+    segments in seconds, which are numbered by ``segment`` from the epoch.
     """
+    if not by and not segment_seconds:
+        raise ValueError("a series over all history has no bound: name a window in by, or segment_seconds")
+    if segment_seconds:
+        metrics = metrics.withColumn("segment", F.floor(F.col("measured_at") / segment_seconds))
+        by = [*(by or []), "segment"]
     order = order or ["measured_at", "poll_seq", *SERVER[1:], "value"]
     sample = F.struct(
         *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
         round_up4(F.col("value")).alias("value"),
         F.col("measured_at").alias("measured_at"),
     )
-    return metrics.groupBy(*(by or []), "config_name", "name", "entity").agg(
+    return metrics.groupBy(*by, "config_name", "name", "entity").agg(
         F.transform(
             F.sort_array(F.collect_list(sample)),
             lambda s: F.struct(s["value"].alias("value"), s["measured_at"].alias("measured_at")),

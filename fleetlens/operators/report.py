@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.numeric import round_up2
 from fleetlens.operators.metrics import metric_series
-from fleetlens.schemas import BLOCK_COUNTERS
+from fleetlens.schemas import BLOCK_COUNTERS, POLL_AT
 
 BY = ("collector_id", "report_start")
 
@@ -58,6 +58,15 @@ def column_fields(c) -> list[Column]:
     ]
 
 
+def table_counters(tables: DataFrame, keys: Sequence[str] = ()) -> list[str]:
+    """Columns of a table that a report shows beside its name."""
+    return [c for c in tables.columns if c not in (*keys, *POLL_AT, "schema", "name")]
+
+
+def table_fields(c, counters: Sequence[str]) -> list[Column]:
+    return [c("name").alias("name"), *[omit_zero(c(n)).alias(n) for n in counters]]
+
+
 def index_fields(c) -> list[Column]:
     counts = ["bytes", "bytes_total", "bloat_bytes", "bloat_bytes_total", "bloat_factor", "scans",
               "blocks_read", "blocks_hit"]
@@ -191,12 +200,11 @@ def schema_documents(schemas: DataFrame, tables: DataFrame, indexes: DataFrame,
     tkeys = [*by, "schema", "table_name"]
     index_lists = _list(indexes, tkeys, ["name"], index_fields(F.col), "indexes")
     column_lists = _list(columns, tkeys, ["name"], column_fields(F.col), "columns")
-    counters = [c for c in tables.columns if c not in (*by, "schema", "name", "measured_at", "poll_seq")]
     table_lists = _list(
         tables.withColumnRenamed("name", "table_name").join(index_lists, tkeys, "left").join(column_lists, tkeys, "left"),
         [*by, "schema"],
         ["table_name"],
-        [F.col("table_name").alias("name"), *[omit_zero(F.col(c)).alias(c) for c in counters], F.col("columns"), F.col("indexes")],
+        [*table_fields(lambda n: F.col("table_name" if n == "name" else n), table_counters(tables, by)), F.col("columns"), F.col("indexes")],
         "tables",
     )
     return _list(
@@ -238,7 +246,7 @@ def report_document(
         _list(servers, by, ["config_name", "config_var_name"], server_cols, "servers"),
         log_metrics.groupBy(*by).agg(
             F.transform(
-                F.sort_array(F.collect_list(F.struct("payload_id", "pos", F.map_entries("metrics").alias("kv")))),
+                F.sort_array(F.collect_list(F.struct("received_at", "payload_id", "pos", F.map_entries("metrics").alias("kv")))),
                 lambda x: F.map_from_entries(x["kv"]),
             ).alias("log_metrics")
         ),

@@ -39,3 +39,13 @@ def test_lag_reaches_over_empty_buckets(spark):
         got = lag_pairs(df, ["k"], ["n"], bucket_polls=size).select("k", "poll_seq", "prev.n").collect()
         want = [("a", p, b) for p, b in zip(polls, [None, *polls])] + [("b", 5, None)]
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_lag_pairs_shuffle_the_input_once(spark):
+    """The summary of the buckets reads the exchange of the rows."""
+    df = spark.createDataFrame([("a", p, p, p * p) for p in range(20)], "k string, poll_seq long, at long, n long")
+    pairs = lag_pairs(df, ["k"], ["n"], bucket_polls=4)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final

@@ -914,11 +914,13 @@ oracle(
 
 AT = "(1700000000 + 60 * {d})"
 _pay = "floor(payload_id / 2500)"
-REPORT = f"""pay AS (
-  select *, 'collector_' || cast(payload_id // 2500 as string) as collector_id, {AT.format(d='day(received_at)')} as at_s from log_payloads
-), wins AS (select collector_id, at_s // 60 * 60 as report_start, payload_id, at_s from pay
+PAY = f"""pay AS (
+  select *, 'collector_' || cast(payload_id // 2500 as string) as collector_id, {AT.format(d='day(received_at)')} as at_s from log_payloads)"""
+REPORT = f"""wins AS (select collector_id, at_s // 60 * 60 as report_start, payload_id, at_s from pay
 ), r_logs AS (
-  select w.collector_id, w.report_start, count(*) as n from wins w join routed r using (payload_id) where r.branch = 'metric' group by all
+  select collector_id, report_start, count(*) as n, string_agg(line, ';' order by at_s, payload_id, pos) as log_lines from (
+    select w.collector_id, w.report_start, w.at_s, payload_id, v.pos, string_agg(v.key || '=' || v.value, ',' order by v.key) as line
+    from wins w join metric_values v using (payload_id) group by all) group by all
 ), r_stats AS (
   select w.collector_id, w.report_start, count(distinct w.payload_id) as received, count(r.payload_id) as handled
   from wins w left join (select * from routed where branch is not null) r using (payload_id) group by all
@@ -926,7 +928,7 @@ REPORT = f"""pay AS (
   select collector_id, at_s // 60 * 60 as report_start, arg_max(at_s, payload_id) as t from pay
   where contains(body, 'NOTICE:  FLEET_COLLECTOR_LOG_TEST') group by all
 ), r_errs AS (
-  select collector_id, report_start, count(*) as n from (
+  select collector_id, report_start, count(*) as n, string_agg(nullif(error, ''), ';' order by seq) as error_texts from (
     select *, row_number() over w as rn, min(seq) filter (where panic) over (partition by collector_id, report_start) as fp
     from (select *, 'collector_' || cast(seq // 10000 as string) as collector_id, ({AT.format(d='day(event_time)')}) // 60 * 60 as report_start from errors)
     window w as (partition by collector_id, report_start order by seq)) where rn <= 10 or seq = fp group by all
@@ -935,16 +937,22 @@ REPORT = f"""pay AS (
          count(distinct config_name) as n, string_agg(distinct config_name, ',' order by config_name) as names
   from server_records group by all
 )"""
-oracle(
-    "report_document", "log_payloads errors server_records",
-    """select collector_id, report_start, report_start + 60 as reported_at, cast(coalesce(l.n, 0) as int) as n_log_metrics,
-         cast(coalesce(s.n, 0) as int) as n_servers, cast(coalesce(e.n, 0) as int) as n_errors,
-         t.t as log_test_message_received_at, nullif(c.received, 0) as received, nullif(c.handled, 0) as handled, s.names as config_names
-       from r_servers s full join r_logs l using (collector_id, report_start) full join r_tests t using (collector_id, report_start)
-       full join r_stats c using (collector_id, report_start) full join r_errs e using (collector_id, report_start)
-       where l.n > 0 or s.n > 0 or t.t is not null""",
-    *_log, REPORT,
-)
+METRIC_VALUES = "metric_values AS (" + kv_rows(
+    "(select r.* replace (p.at_s as at_s) from (select *, 0 as at_s from routed where branch = 'metric') r join pay p using (payload_id))",
+    "payload_id, pos", "message", stamp("timestamp", "to_timestamp(at_s)"),
+) + ")"
+for _key in ("report_document", "sink_report_json", "stream_fleet_report"):
+    oracle(
+        _key, "log_payloads errors server_records",
+        """select collector_id, report_start, report_start + 60 as reported_at, cast(coalesce(l.n, 0) as int) as n_log_metrics,
+             cast(coalesce(s.n, 0) as int) as n_servers, cast(coalesce(e.n, 0) as int) as n_errors,
+             t.t as log_test_message_received_at, nullif(c.received, 0) as received, nullif(c.handled, 0) as handled, s.names as config_names,
+             coalesce(l.log_lines, '') as log_lines, coalesce(e.error_texts, '') as error_texts
+           from r_servers s full join r_logs l using (collector_id, report_start) full join r_tests t using (collector_id, report_start)
+           full join r_stats c using (collector_id, report_start) full join r_errs e using (collector_id, report_start)
+           where l.n > 0 or s.n > 0 or t.t is not null""",
+        *_log, PAY, METRIC_VALUES, REPORT,
+    )
 
 METADATA = f"""meta AS ({ORACLES['server_metadata'][ORACLES['server_metadata'].rindex('select ' + pick(KA, 'p')):]})"""
 oracle(
@@ -970,3 +978,90 @@ oracle(
   union all select payload_id % 5 + 1, config_name, total_time, explain from explained)""",
 )
 ORACLES["servers_enriched"] = ORACLES["servers_enriched"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+_fields = ["total_bytes", "index_bytes", "toast_bytes", "table_bytes", "total_bytes_total", "index_bytes_total", "toast_bytes_total",
+           "table_bytes_total", "bloat_bytes_total", "live_row_estimate_total", "dead_row_estimate_total", "bloat_bytes", "bloat_factor",
+           "live_row_estimate", "dead_row_estimate", "modified_rows_since_analyze", "blocks_hit_percent", *_time_map,
+           *[c for c in _counters if "estimate" not in c and not c.startswith("modified")]]
+
+
+def zeros(names, table: str = "") -> str:
+    return ", ".join(f'nullif({table}{n}, 0) as {n}' for n in names)
+
+
+def blanks(names) -> str:
+    return ", ".join(f"nullif({n}, '') as {n}" for n in names)
+
+
+def owned(names) -> str:
+    return ", ".join(f"{n} as of_{n}" for n in names)
+
+
+# ---- report fields --------------------------------------------------------------------------------
+
+_K = K.split(", ")
+oracle(
+    "report_settings", "settings",
+    f"""select {owned(_K)}, {blanks(['name', 'value', 'unit', 'category', 'description', 'context', 'var_type', 'source', 'min_val', 'max_val', 'enum_vals', 'boot_val', 'reset_val'])},
+               pending_restart from ({ORACLES['settings_snapshot'][ORACLES['settings_snapshot'].rindex('select ' + KA):]}) s""",
+)
+oracle(
+    "report_replicas", "replication_clients",
+    f"""select {owned([*_K, 'ord'])}, {blanks(['application_name', 'state', 'sync_state'])}, {zeros(['backend_start', 'backend_xmin'])},
+               coalesce(sync_priority, 0) as sync_priority from clients""",
+    CLIENTS,
+)
+_blocks = [f"{kind}_{what}" for kind in ("shared", "local") for what in ("blks_hit", "blks_read", "blks_dirtied", "blks_written")] + ["temp_blks_read", "temp_blks_written"]
+_times = {"total_time": "time", "mean_time": "mean_time", "min_time": "min_time", "max_time": "max_time", "blk_read_time": "block_read_time",
+          "blk_write_time": "block_write_time", "total_blk_io_time": "block_total_time"}
+oracle(
+    "report_statements", _stmt_fix + " log_payloads servers plan_events",
+    f"""select config_name as of_config_name, {blanks(['database', 'fingerprint', 'query', 'comment', 'explain'])},
+               {zeros(['query_id', 'calls', 'rows', 'measured_at'])},
+               {', '.join(f'nullif({up(a, 2)}, 0) as {b}' for a, b in _times.items())},
+               {', '.join(f'nullif({b}, 0) as {b.replace("_blks_", "_blocks_")}' for b in _blocks)}
+        from (select * from valid union all by name select * from explained)""",
+    SCAN, TEXT, DELTA, VALID, *_log, SLOWQ, PLAN_TEXT, throttled("plan_keys", _plan_keys), PLANNED,
+)
+ORACLES["report_statements"] = ORACLES["report_statements"].replace("WITH ", "WITH RECURSIVE ", 1)
+oracle("report_tables", _t_fix, f"select {owned([*_K, 'schema'])}, name, {zeros(_fields)} from tdelta", *_t_ctes)
+oracle(
+    "report_indexes", _i_fix,
+    f"""select {owned([*_K, 'schema', 'table_name'])}, name, "unique", unused, valid, nullif(definition, '') as definition,
+               {zeros(['bytes', 'bytes_total', 'bloat_bytes', 'bloat_bytes_total', 'bloat_factor', 'scans', 'blocks_read', 'blocks_hit'])} from idelta""",
+    *_i_ctes,
+)
+oracle(
+    "report_errors", "errors",
+    f"""select seq, {blanks(['error', 'stack_trace'])}, case when panic then true end as panic
+        from ({ORACLES['error_cap'][ORACLES['error_cap'].rindex('select seq'):]}) e""",
+)
+oracle(
+    "stream_report_window", "",
+    """with timed as (select event_id, event_type, cast(floor(epoch(ts)) as bigint) as secs from events),
+       span as (select min(secs) as lo, (max(secs) - min(secs)) // 4 + 1 as step from timed),
+       filed as (select t.*, case when event_id % 50 = 0 then 3 else (secs - lo) // step end as file from timed t, span),
+       seen as (select file, max(max(secs)) over (order by file rows between unbounded preceding and 1 preceding) as latest from filed group by file)
+       select f.secs // 60 * 60 as report_start, event_type,
+              count(*) filter (where latest is null or f.secs // 60 * 60 >= (latest - 600) // 60 * 60) as n,
+              count(*) filter (where f.secs // 60 * 60 < (latest - 600) // 60 * 60) as n_behind
+       from filed f join seen using (file) group by 1, 2""",
+)
+_content = ORACLES["servers_enriched"]
+_content = _content[: _content.rindex("\nselect m.poll_seq")]
+_place = "'collector_' || string_split({c}, '_')[-1] as collector_id, {t} // 60 * 60 as report_start"
+ORACLES["fleet_report_content"] = _content + f""", folded AS (
+  select distinct {_place.format(c='config_name', t='measured_at')}, config_name, config_var_name from meta
+), parts AS (
+  select config_name, measured_at as at, 'setting' as kind, name, concat_ws('|', nullif(setting, ''), nullif(unit, ''), nullif(source, ''), nullif(boot_val, '')) as value from settings
+  union all
+  select config_name, measured_at, 'replica', nullif(application_name, ''), concat_ws('|', nullif(state, ''), nullif(sync_state, ''), coalesce(sync_priority, 0)) from clients
+  union all
+  select config_name, case when measured_at = 0 then max(measured_at) over (partition by {K}) else measured_at end,
+         'statement', nullif(fingerprint, ''), concat_ws('|', nullif(calls, 0), nullif(rows, 0)) from tops
+  union all
+  select config_name, {AT.format(d='day(received_at)')}, 'statement', nullif(fingerprint, ''), concat_ws('|', nullif(calls, 0), explain)
+  from explained join (select payload_id, received_at from log_payloads) using (payload_id)
+)
+select f.collector_id, f.report_start, f.config_name, p.kind, p.name, p.value
+from folded f join parts p on p.config_name = f.config_name and p.at // 60 * 60 = f.report_start"""

@@ -380,8 +380,11 @@ from fleetlens.plans import schema_health as sh  # noqa: E402
 from fleetlens.plans.fleet_report import ReportInputs, fleet_report  # noqa: E402
 from fleetlens.plans.metric_stream import metric_stream  # noqa: E402
 from fleetlens.plans.slow_query_report import slow_events, slow_query_report, stream_slow_query_report  # noqa: E402
-from fleetlens.sources.tables import read_snapshot, write_report_json  # noqa: E402
+from fleetlens.sources.tables import (  # noqa: E402
+    read_log_batches, read_report_json, read_snapshot, stream_log_batches, write_log_batches, write_report_json,
+)
 from fleetlens.sources.workspace import workspace  # noqa: E402
+from fleetlens.streaming.reports import report_all, reports, rows_behind, stream_reports  # noqa: E402
 from fleetlens.streaming.run import drain  # noqa: E402
 from fleetlens.streaming.state import stream_counter_delta, stream_explain_throttle  # noqa: E402
 
@@ -543,6 +546,44 @@ def _(spark, sf):
     return cols.select(*POLL, "table_name", *rep.column_fields(F.col))
 
 
+def _own(name):
+    """A column under a name that no report field has."""
+    return F.col(name).alias(f"of_{name}")
+
+
+@query("report_settings")
+def _(spark, sf):
+    return sv.settings_snapshot(fixture(spark, sf, "settings")).select(*[_own(c) for c in POLL], *rep.setting_fields(F.col))
+
+
+@query("report_replicas")
+def _(spark, sf):
+    return _clients(spark, sf).select(*[_own(c) for c in [*POLL, "ord"]], *rep.replica_client_fields(F.col))
+
+
+@query("report_statements")
+def _(spark, sf):
+    """Polled statements and slow queries with plans, as a report shows them."""
+    polled = qs.query_stats_valid(qs.query_stats_delta(_stats(spark, sf)))
+    return mt.append_rows(polled, _slow_events(spark, sf)).select(_own("config_name"), *rep.query_fields(F.col))
+
+
+@query("report_tables")
+def _(spark, sf):
+    tables = gr.table_delta(_tables(spark, sf))
+    return tables.select(*[_own(c) for c in [*POLL, "schema"]], *rep.table_fields(F.col, rep.table_counters(tables)))
+
+
+@query("report_indexes")
+def _(spark, sf):
+    return gr.index_delta(_index_objects(spark, sf)).select(*[_own(c) for c in [*POLL, "schema", "table_name"]], *rep.index_fields(F.col))
+
+
+@query("report_errors")
+def _(spark, sf):
+    return fd.error_cap(fixture(spark, sf, "errors"), "1 day").select("seq", *rep.error_fields(F.col))
+
+
 # ---- logs ------------------------------------------------------------------------
 
 
@@ -550,9 +591,17 @@ def _stitched(spark, sf):
     return lg.log_stitch(lg.log_prefilter(_payloads(spark, sf)))
 
 
+def _landed_payloads(spark, sf):
+    """A folder of gzip JSON lines, one payload each, as a log receiver leaves them."""
+    path = workspace(spark, "payloads") + "/landing"
+    write_log_batches(_payloads(spark, sf), path)
+    return path
+
+
 @query("src_log_payloads")
 def _(spark, sf):
-    return _payloads(spark, sf).select(
+    """Payload files as landed, by the order of their receipt."""
+    return read_log_batches(spark, _landed_payloads(spark, sf)).select(
         "payload_id", F.unix_seconds("received_at").alias("received_at"),
         F.size(F.split("body", "\n")).alias("n_lines"), F.octet_length("body").cast("bigint").alias("n_bytes"),
     )
@@ -781,27 +830,30 @@ def _(spark, sf):
     return rep.to_json_lines(_documents(spark, sf)).select("collector_id", "report_start", F.col("value").alias("document"))
 
 
-def _small_documents(spark, sf):
-    """Documents of log content alone: metric lines, counters, test receipts and errors."""
-    payloads = _report_payloads(spark, sf)
+def _log_documents(payloads, errors, records):
+    """Documents of log content and servers: metric lines, counters, test receipts and errors."""
     by = list(rep.BY)
     windowed = fd.report_window(payloads, "received_at")
     lines = lg.log_metrics(lg.log_stitch(lg.log_prefilter(windowed)))
-    folded = fd.fold_servers(
-        fd.report_window(fixture(spark, sf, "server_records").withColumn("at", F.timestamp_seconds("measured_at")), "at")
-        .withColumn("collector_id", _collector_of(F.col("config_name"))),
-        by=by,
-    )
+    placed = fd.report_window(records.withColumn("at", F.timestamp_seconds("measured_at")), "at")
+    folded = fd.fold_servers(placed.withColumn("collector_id", _collector_of(F.col("config_name"))), by=by)
     return rep.report_document(
         folded, lines, lg.log_test_marker(windowed, by=by), fd.collector_log_stats(payloads, by=["collector_id"]),
-        fd.error_cap(_report_errors(spark, sf), by=["collector_id"]), by,
+        fd.error_cap(errors, by=["collector_id"]), by,
     )
 
 
-@query("report_document")
-def _(spark, sf):
-    return _small_documents(spark, sf).select(
-        "collector_id", F.unix_seconds("report_start").alias("report_start"), "reported_at",
+def _small_documents(spark, sf):
+    return _log_documents(_report_payloads(spark, sf), _report_errors(spark, sf), fixture(spark, sf, "server_records"))
+
+
+def _flat_documents(documents):
+    """One flat row per document; metric lines as text in the order of the document."""
+    pairs = F.transform(F.col("log_metrics"), lambda m: F.array_join(
+        F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","
+    ))
+    return documents.select(
+        F.col("collector.uuid").alias("collector_id"), (F.col("reported_at") - 60).alias("report_start"), "reported_at",
         F.coalesce(F.size("log_metrics"), F.lit(0)).alias("n_log_metrics"),
         F.coalesce(F.size("servers"), F.lit(0)).alias("n_servers"),
         F.coalesce(F.size("collector.errors"), F.lit(0)).alias("n_errors"),
@@ -809,9 +861,16 @@ def _(spark, sf):
         F.col("collector.stats.logs.received").alias("received"),
         F.col("collector.stats.logs.handled").alias("handled"),
         F.array_join("servers.config_name", ",").alias("config_names"),
+        F.coalesce(F.array_join(pairs, ";"), F.lit("")).alias("log_lines"),
+        F.coalesce(F.array_join("collector.errors.error", ";"), F.lit("")).alias("error_texts"),
     )
 
 
+@query("report_document")
+def _(spark, sf):
+    return _flat_documents(_small_documents(spark, sf))
+
+
 @query("servers_enriched")
 def _(spark, sf):
     by = ["poll_seq"]
@@ -845,10 +904,33 @@ def _(spark, sf):
 
 @query("sink_report_json")
 def _(spark, sf):
-    """Write gzip JSON lines to the shared folder and read them back."""
+    """Write gzip JSON lines to the shared folder, read them back with their schema and flatten them."""
     path = workspace(spark, "reports") + "/reports"
-    write_report_json(_small_documents(spark, sf), path)
-    return spark.read.text(path).select(F.xxhash64("value").alias("document"))
+    documents = _small_documents(spark, sf)
+    write_report_json(documents, path)
+    return _flat_documents(read_report_json(spark, path, documents.drop(*rep.BY).schema))
+
+
+@query("fleet_report_content")
+def _(spark, sf):
+    """Settings, replicas and statements of the whole fleet's documents, written as JSON and read back."""
+    path = workspace(spark, "reports") + "/reports"
+    documents = _documents(spark, sf)
+    write_report_json(documents, path)
+    servers = read_report_json(spark, path, documents.drop(*rep.BY).schema).select(
+        F.col("collector.uuid").alias("collector_id"), (F.col("reported_at") - 60).alias("report_start"), F.explode("servers").alias("s")
+    )
+
+    def part(kind, items, name, value):
+        rows = servers.select("collector_id", "report_start", F.col("s.config_name").alias("config_name"), F.explode(items).alias("x"))
+        return rows.select("collector_id", "report_start", "config_name", F.lit(kind).alias("kind"), name.alias("name"), value.cast("string").alias("value"))
+
+    x = F.col("x")
+    return (
+        part("setting", "s.settings", x["name"], F.concat_ws("|", x["value"], x["unit"], x["source"], x["boot_val"]))
+        .unionByName(part("replica", "s.replicas", x["application_name"], F.concat_ws("|", x["state"], x["sync_state"], x["sync_priority"])))
+        .unionByName(part("statement", "s.queries.stats", x["fingerprint"], F.concat_ws("|", x["calls"], x["rows"], x["explain"])))
+    )
 
 
 @query("src_snapshots")
@@ -862,16 +944,9 @@ def _(spark, sf):
 # ---- streams ---------------------------------------------------------------------------
 
 
-def _landed(spark, rows, purpose):
-    """A directory of files that a stream reads."""
-    path = workspace(spark, purpose) + "/landing"
-    rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
-
-
 @query("stream_logs")
 def _(spark, sf):
-    stream = _landed(spark, _payloads(spark, sf), "payloads")
+    stream = stream_log_batches(spark, _landed_payloads(spark, sf))
     routed = lg.log_route(lg.log_stitch(lg.log_prefilter(stream))).select("payload_id", "pos", "branch")
     return drain(spark, routed, "logs")
 
@@ -939,3 +1014,51 @@ def _(spark, sf):
     )
     events = drain(spark, report, "slow")
     return _slow_summary(events.filter("not behind"))
+
+
+@query("stream_fleet_report")
+def _(spark, sf):
+    """Payloads, errors and server records in files out of order; the same documents as in batch."""
+    kinds = {
+        "payloads": (_report_payloads(spark, sf).withColumn("measured_at", F.unix_seconds("received_at")), "payload_id"),
+        "errors": (_report_errors(spark, sf).withColumn("measured_at", F.unix_seconds("event_time")), "seq"),
+        "records": (fixture(spark, sf, "server_records"), "ord"),
+    }
+    streams, delays = {}, []
+    for kind, (rows, key) in kinds.items():
+        filed, delay, later = _out_of_order(rows, key)
+        end = _one_row(spark, filed, measured_at=2 * later)
+        stream = _in_files(spark, filed, kind, end)
+        streams[kind] = (stream.withColumn("at", F.timestamp_seconds("measured_at")), "at")
+        delays.append(int(delay.split()[0]))
+
+    def build(parts):
+        return _log_documents(*[parts[k].drop("at") for k in ("payloads", "errors", "records")])
+
+    base = workspace(spark, "stream-reports")
+    report_all(spark, stream_reports(streams, build, base, max(delays)))
+    return _flat_documents(reports(spark, base))
+
+
+@query("stream_report_window")
+def _(spark, sf):
+    """Events per minute over four files, where every fiftieth event comes in the last; ``n_behind`` counts what was late."""
+    events = _table(spark, sf, "events").select(
+        "event_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("measured_at")
+    )
+    lo, hi = events.agg(F.min("measured_at"), F.max("measured_at")).first()
+    step = ((hi or 0) - (lo or 0)) // 4 + 1
+    place = F.when(F.col("event_id") % 50 == 0, 3).otherwise(F.floor((F.col("measured_at") - (lo or 0)) / step))
+    filed = events.withColumn("_file", place.cast("int"))
+    stream = _in_files(spark, filed, "events", _one_row(spark, filed, measured_at=(hi or 0) + 10 * step))
+    timed = stream.withColumn("at", F.timestamp_seconds("measured_at"))
+    minute = (F.floor(F.col("measured_at") / 60) * 60).cast("bigint").alias("report_start")
+
+    def counted(rows, name):
+        return rows.groupBy(minute, "event_type").agg(F.count(F.lit(1)).alias(name))
+
+    base = workspace(spark, "stream-window")
+    report_all(spark, stream_reports({"events": (timed, "at")}, lambda parts: counted(parts["events"], "n"), base, 600))
+    late = counted(rows_behind(spark, base, "events"), "n_behind")
+    both = reports(spark, base).join(late, ["report_start", "event_type"], "full")
+    return both.select("report_start", "event_type", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_behind")])
