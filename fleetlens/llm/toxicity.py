@@ -4,7 +4,8 @@ Each class has an interpolated Kneser-Ney model of word pairs, learnt from its l
 after its previous word has its pair count less an absolute discount; what the discount takes goes to
 the word's continuation count (in how many different contexts the class shows it), less a discount
 too; what that takes goes to a backoff that both classes share, the word's count over all documents.
-Discounts are those of Ney, Essen and Kneser, n1 / (n1 + 2 n2) from the numbers of counts of one and two.
+Discounts are those of Ney, Essen and Kneser, n1 / (n1 + 2 n2) from the numbers of counts of one and two;
+that of pairs is taken from the toxic texts, whose pairs are all counted.
 So a word that a class shows once still speaks, as loudly as it is rare elsewhere.  A word
 that no labelled text holds has the backoff alone in both models and is left out of the comparison.
 A pair that no toxic text holds is compared as a word, in both models.
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.storage import shared_folder, stored
+from fleetlens.llm.storage import release, shared_folder, stored
 from fleetlens.llm.wordbatch import PUNCTUATION, Words, mix, slices
 
 DISCOUNT = 0.75  #: taken from every count of a level without counts of one or two
@@ -112,6 +113,43 @@ def _pair_counts(texts: DataFrame, known: str | None = None) -> DataFrame:
     return texts.mapInArrow(run, "w long, v long, y int, m int, n long")
 
 
+def _pair_types(texts: DataFrame) -> DataFrame:
+    """``w, v, shown``: word, previous word and which of ``COUNTS`` a slice of texts adds to, as bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, rest = (batch.column(i).to_numpy().astype(np.int32) for i in (1, 2))
+            shown = (1 + 4 * rest) << label
+            for part, h in _words(batch.column(0)):
+                before = _before(part, h)
+                kind = shown[part.first + part.of()]
+                once = np.unique(mix(_pair_key(h, before) + kind.astype(np.uint64)), return_index=True)[1]
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(h[once]), _signed(before[once]), pa.array(kind[once].astype(np.int32))], names=["w", "v", "shown"]
+                )
+
+    return texts.mapInArrow(run, "w long, v long, shown int")
+
+
+def _context_counts(texts: DataFrame) -> DataFrame:
+    """``v, y, m, n``: how many words follow each word in a slice of texts; 0 begins a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, rest = (batch.column(i).to_numpy().astype(np.uint64) for i in (1, 2))
+            for part, h in _words(batch.column(0)):
+                before, of = _before(part, h), part.first + part.of()
+                kind = label[of] * np.uint64(2) + rest[of]
+                _, once, n = np.unique(mix(before) + kind, return_index=True, return_counts=True)
+                kind = kind[once].astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(before[once]), pa.array(kind >> 1), pa.array(kind & 1), pa.array(n.astype(np.int64))],
+                    names=["v", "y", "m", "n"],
+                )
+
+    return texts.mapInArrow(run, "v long, y int, m int, n long")
+
+
 def _corpus_counts(documents: DataFrame, text: str, known: str) -> DataFrame:
     """``x, n``: occurrences in all documents of every word of a table; the null row counts all words."""
 
@@ -248,21 +286,20 @@ def fit_models(labelled: DataFrame, documents: DataFrame, text: str) -> tuple[st
     ratio by models of all labelled texts, ``b`` by those that the curve leaves alone.
     """
     # Types of pairs, each counted for its word and for its context in one step.
-    types = _pair_counts(labelled).groupBy("w", "v").agg(*_sums())
+    types = _pair_types(labelled).groupBy("w", "v").agg(F.bit_or("shown").alias("shown"))
     sides = types.select(
         F.explode(F.array(F.struct(F.col("w").alias("x"), F.lit(1).alias("is_word")), F.struct(F.col("v").alias("x"), F.lit(0).alias("is_word")))).alias("_side"),
-        *COUNTS,
-    ).select("_side.*", *COUNTS)
+        "shown",
+    ).select("_side.*", *[(F.col("shown").bitwiseAND(1 << i) > 0).alias(c) for i, c in enumerate(COUNTS)])
     is_word = F.col("is_word") == 1
     words = stored(
         sides.groupBy("x").agg(
-            *[F.sum((is_word & (F.col(c) > 0)).cast("long")).alias(f"contexts_{c}") for c in COUNTS],
-            *[F.sum((~is_word & (F.col(c) > 0)).cast("long")).alias(f"kinds_{c}") for c in COUNTS],
-            *[F.sum(F.when(~is_word, F.col(c)).otherwise(0)).alias(f"after_{c}") for c in COUNTS],
-            *[F.sum((~is_word & (F.col(c) == k)).cast("long")).alias(f"of_{k}_{c}") for k in (1, 2) for c in COUNTS],
+            *[F.sum((is_word & F.col(c)).cast("long")).alias(f"contexts_{c}") for c in COUNTS],
+            *[F.sum((~is_word & F.col(c)).cast("long")).alias(f"kinds_{c}") for c in COUNTS],
         ),
         "toxicity-words",
     )
+    release(documents.sparkSession)  # the largest shuffles of the operator
     known = _written(words.select("x"), "toxicity-vocabulary")
     counts = stored(_corpus_counts(documents, text, known), "toxicity-backoff")
     every = counts.where("x is null").first()
@@ -271,16 +308,15 @@ def fit_models(labelled: DataFrame, documents: DataFrame, text: str) -> tuple[st
         *[F.sum((F.col(f"contexts_{c}") > 0).cast("long")).alias(f"words_{c}") for c in COUNTS],
         *[F.sum((F.col(f"contexts_{c}") == k).cast("long")).alias(f"words_{k}_{c}") for k in (1, 2) for c in COUNTS],
         *[F.sum(F.least(F.col(f"contexts_{c}"), F.lit(FIRM))).alias(f"firm_{c}") for c in COUNTS],
-        *[F.sum(f"of_{k}_{c}").alias(f"pairs_{k}_{c}") for k in (1, 2) for c in COUNTS],
     ).first()
-    taken = {(level, c): discount(sums[f"{level}_1_{c}"], sums[f"{level}_2_{c}"]) for level in ("words", "pairs") for c in COUNTS}
+    taken = {c: discount(sums[f"words_1_{c}"], sums[f"words_2_{c}"]) for c in COUNTS}
     shared = F.coalesce(F.col("n"), F.lit(1)) / F.lit(float(max(1, every["n"] if every else 1)))
     level = words.join(counts, "x", "left").select(
         "x",
         *[
             _smoothed(
                 F.col(f"contexts_{c}"), shared, F.lit(float(sums[f"total_{c}"] or 0)), F.lit(float(sums[f"words_{c}"] or 0)),
-                taken["words", c],
+                taken[c],
             ).alias(f"p_{c}")
             for c in COUNTS
         ],
@@ -288,7 +324,7 @@ def fit_models(labelled: DataFrame, documents: DataFrame, text: str) -> tuple[st
             ((F.greatest(F.col(f"contexts_{c}") - FIRM, F.lit(0)) + float(sums[f"firm_{c}"] or 0) * shared) / float(sums[f"total_{c}"] or 1)).alias(f"firm_{c}")
             for c in COUNTS
         ],
-        *[f"{kind}_{c}" for kind in ("contexts", "kinds", "after") for c in COUNTS],
+        *[f"{kind}_{c}" for kind in ("contexts", "kinds") for c in COUNTS],
     )
     level = stored(level, "toxicity-level")
 
@@ -308,14 +344,18 @@ def fit_models(labelled: DataFrame, documents: DataFrame, text: str) -> tuple[st
     # Pairs of toxic texts, then their counts in ordinary ones.
     toxic = _with_key(_pair_counts(labelled.where("_label = 1")).groupBy("w", "v").agg(*_sums()))
     toxic = stored(toxic, "toxicity-pairs")
+    few = toxic.agg(*[F.sum((F.col(c) == k).cast("long")).alias(f"{c}_{k}") for c in ("n1", "m1") for k in (1, 2)]).first()
+    of_pairs = {p: discount(few[f"{p}1_1"], few[f"{p}1_2"]) for p in ("n", "m")}
     pair_keys = _written(toxic.select("k"), "toxicity-pair-keys")
     ordinary = _pair_counts(labelled.where("_label = 0"), pair_keys).groupBy("w", "v").agg(*_sums())
     both = toxic.select("k", "w", "v", "n1", "m1").join(ordinary.select("w", "v", "n0", "m0"), ["w", "v"], "left").fillna(0, ["n0", "m0"])
-    context = level.select(F.col("x").alias("v"), *[F.col(f"{kind}_{c}") for kind in ("kinds", "after") for c in COUNTS])
+    context = level.select(F.col("x").alias("v"), *[f"kinds_{c}" for c in COUNTS]).join(
+        _context_counts(labelled).groupBy("v").agg(*_sums()).toDF("v", *[f"after_{c}" for c in COUNTS]), "v"
+    )
     of_word = level.select(F.col("x").alias("w"), *[f"p_{c}" for c in COUNTS])
     joined = both.join(of_word, "w").join(context, "v").select(
         "k", "m1", *[F.col(f"p_{c}").alias(f"word_{c}") for c in COUNTS],
-        *[_smoothed(F.col(c), F.col(f"p_{c}"), F.col(f"after_{c}"), F.col(f"kinds_{c}"), taken["pairs", c]).alias(f"p_{c}") for c in COUNTS],
+        *[_smoothed(F.col(c), F.col(f"p_{c}"), F.col(f"after_{c}"), F.col(f"kinds_{c}"), of_pairs[c[0]]).alias(f"p_{c}") for c in COUNTS],
     )
     as_word = (F.ln("word_m1") - F.ln("word_m0")) if sums["total_m0"] and sums["total_m1"] else F.lit(0.0)
     b = F.when(F.col("m1") > 0, ratio("m")).otherwise(as_word)

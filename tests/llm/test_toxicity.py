@@ -92,7 +92,7 @@ def _plain_ratios(taught, every, texts):
         return discount(sum(n == 1 for n in counts), sum(n == 2 for n in counts))
 
     of_words = {y: taken(contexts[y].values()) for y in pairs}
-    of_pairs = {y: taken(pairs[y].values()) for y in pairs}
+    of_pairs = {y: taken(pairs[1].values()) for y in pairs}
 
     def word(y, w):
         total = sum(contexts[y].values())
