@@ -42,6 +42,7 @@ EXPRESSION = 3  #: adjacent words whose likelihoods are averaged
 MAX_LABELLED = 200_000  #: labelled rows that the class models and the curve are fitted on
 FIRM = 3  #: heavy discount of the level of firm words
 FOLDS = 5  #: one part in so many of the labelled texts fits the curve
+SLICE = 1 << 19  #: bytes of text whose words a task holds at once
 BIN = 0.02  #: step of the ratios that the curve is fitted on
 #: Slopes and intercept where the labelled texts cannot fit a curve.
 PLAIN_CURVE = (0.0, 0.0, 1.0, 0.0, -2.0)
@@ -56,7 +57,7 @@ def held_out(key: Column) -> Column:
 
 
 def _words(column: pa.Array) -> Iterator[tuple[Words, np.ndarray]]:
-    for part in slices(pc.utf8_lower(column), gaps=PUNCTUATION):
+    for part in slices(pc.utf8_lower(column), size=SLICE, gaps=PUNCTUATION):
         yield part, part.hashes()
 
 
@@ -178,10 +179,12 @@ def _table(path: str, key: str) -> dict[str, np.ndarray]:
             del _loaded[next(iter(_loaded))]
         fs, folder = pafs.FileSystem.from_uri(path)
         names = [key, *(c for c in ("a", "b", "firm_a", "firm_b") if c in pq.ParquetDataset(folder, filesystem=fs).schema.names)]
-        rows = pq.read_table(folder, filesystem=fs, columns=names)
+        rows = pq.read_table(folder, filesystem=fs, columns=names, use_threads=False)
         keys = rows[key].to_numpy().view(np.uint64)
         order = np.argsort(keys)
         _loaded[path] = {key: keys[order], **{c: rows[c].to_numpy()[order].astype(np.float32) for c in names[1:]}}
+        del rows
+        pa.default_memory_pool().release_unused()
     return _loaded[path]
 
 
