@@ -1,7 +1,8 @@
 """Stateful stream operators: counter deltas, the plan throttle, plans of slow queries.
 
 Spark partitions and shuffles the stream by key.  A processor sees the rows of one key in one
-micro-batch, chunk by chunk, plus that key's state.  All of them hold what has arrived until the
+micro-batch plus that key's state.  What waits is one list per key, read and written as a whole: a
+message to the state store costs more than the row in it.  All of them hold what has arrived until the
 event-time watermark has passed it, so files may arrive in any order within the ``delay``; then they
 work through it in order of event time.  Rows that come later than that are not lost silently: they
 leave the stream unchanged, with ``behind`` set.  State goes once it cannot matter any more.
@@ -10,11 +11,11 @@ leave the stream unchanged, with ``behind`` set.  State goes once it cannot matt
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from operator import itemgetter
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -37,16 +38,20 @@ def _watched(rows: DataFrame, seconds: str, delay: str) -> DataFrame:
     return rows.withColumn("_event", F.timestamp_seconds(seconds)).withWatermark("_event", delay).drop("_event")
 
 
-def _records(frame: pd.DataFrame, fields: list[T.StructField]) -> list[tuple]:
-    """Rows as state takes them; pandas turns whole numbers beside nulls into floats, and nulls into NaN."""
-    columns = []
-    for f in fields:
-        values = frame[f.name].astype(object)
-        values = values.where(frame[f.name].notna(), None)
-        if isinstance(f.dataType, T.IntegralType):
-            values = [None if v is None else int(v) for v in values]
-        columns.append(list(values))
-    return list(zip(*columns))
+def _records(rows: Iterable[Row], names: list[str]) -> Iterator[tuple]:
+    """Rows as state takes them."""
+    take = None
+    for row in rows:
+        take = take or itemgetter(*[row.__fields__.index(n) for n in names])
+        yield take(row)
+
+
+def _replace(state, records: list[tuple]) -> None:
+    """One message to the state store for a whole list, however many rows wait."""
+    if records:
+        state.put(records)
+    else:
+        state.clear()
 
 
 class _CounterDelta(StatefulProcessor):
@@ -67,48 +72,37 @@ class _CounterDelta(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         row = T.StructType(self._fields)
-        place = T.StructType([T.StructField("poll", T.LongType()), T.StructField("slot", T.LongType())])
-        self._pending = handle.getMapState("pending", place, row)
+        self._pending = handle.getListState("pending", row)
         self._last = handle.getListState("last_poll", row)
 
-    def _held(self) -> list[dict]:
-        return [dict(zip(self._names, r)) for r in self._last.get()] if self._last.exists() else []
+    def _rows(self, records: Iterable[tuple]) -> list[dict]:
+        return [dict(zip(self._names, r)) for r in records]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self._held()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last = self._rows(self._last.get())
         done = last[0]["poll_seq"] if last else None
-        slots: dict[int, int] = {}
-        if self._pending.exists():
-            for poll, slot in self._pending.keys():
-                slots[poll] = max(slots.get(poll, -1), slot)
-        behind = []
-        for chunk in rows:
-            for record in _records(chunk, self._fields):
-                row = dict(zip(self._names, record))
-                poll = row["poll_seq"]
-                if done is not None and poll <= done:
-                    behind.append(row)
-                    continue
-                slots[poll] = slots.get(poll, -1) + 1
-                self._pending.updateValue((poll, slots[poll]), record)
-        yield from self._frames(key, behind, True)
-        yield from self._release(key, last, timerValues.getCurrentWatermarkInMs())
+        waiting, behind = self._rows(self._pending.get()), []
+        for row in self._rows(_records(rows, self._names)):
+            (behind if done is not None and row["poll_seq"] <= done else waiting).append(row)
+        yield from self._out(key, behind, True)
+        yield from self._release(key, last, waiting, timerValues.getCurrentWatermarkInMs())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        last = self._held()
-        yield from self._release(key, last, now)
-        if last and not self._pending.exists() and self._at(last[0]) + self._forget <= now:
+        last = self._rows(self._last.get())
+        left = yield from self._release(key, last, self._rows(self._pending.get()), now)
+        if last and not left and self._at(last[0]) + self._forget <= now:
             self._last.clear()
 
-    def _release(self, key, last: list[dict], now: int) -> Iterator[pd.DataFrame]:
-        polls: dict[int, list[tuple[int, dict]]] = {}
-        if self._pending.exists():
-            for (poll, slot), record in self._pending.iterator():
-                polls.setdefault(poll, []).append((slot, dict(zip(self._names, record))))
+    def _release(self, key, last: list[dict], waiting: list[dict], now: int) -> Iterator[Row]:
+        """Deltas of all polls that the watermark has passed; returns the number of rows that go on waiting."""
+        polls: dict[int, list[dict]] = {}
+        for row in waiting:
+            polls.setdefault(row["poll_seq"], []).append(row)
         out, previous = [], last
         for poll in sorted(polls):
-            rows = [row for _, row in sorted(polls[poll], key=lambda x: (x[1]["ord"], x[0]))]
+            # Rows of one order keep the order of their arrival.
+            rows = sorted(polls[poll], key=itemgetter("ord"))
             due = max(map(self._at, rows))
             if due > now:
                 # One timer per key: the next one is set when it fires.
@@ -119,22 +113,21 @@ class _CounterDelta(StatefulProcessor):
                     delta = {c: None if rows[0][c] is None or before[c] is None else rows[0][c] - before[c] for c in self._counters}
                     out.append(rows[0] | delta | {"ord": before["ord"]})
             previous = rows
-            for slot, _ in polls[poll]:
-                self._pending.removeKey((poll, slot))
+            del polls[poll]
+        if waiting:
+            _replace(self._pending, [tuple(row.values()) for rows in polls.values() for row in rows])
         if previous is not last:
             if last:
                 self._handle.deleteTimer(self._at(last[0]) + self._forget)
-            self._last.put([tuple(row[n] for n in self._names) for row in previous])
+            self._last.put([tuple(row.values()) for row in previous])
             self._handle.registerTimer(self._at(previous[0]) + self._forget)
-        yield from self._frames(key, out, False)
+        yield from self._out(key, out, False)
+        return len(polls)
 
-    def _frames(self, key, rows: list[dict], behind: bool) -> Iterator[pd.DataFrame]:
-        if rows:
-            frame = pd.DataFrame(rows, columns=self._names, dtype=object)
-            for name, value in zip(self._keys, key):
-                frame[name] = value
-            frame["behind"] = behind
-            yield frame[[*self._keys, *self._names, "behind"]]
+    def _out(self, key, rows: list[dict], behind: bool) -> Iterator[Row]:
+        form = Row(*self._keys, *self._names, "behind")
+        for row in rows:
+            yield form(*key, *row.values(), behind)
 
     def close(self) -> None:
         pass
@@ -162,7 +155,7 @@ def stream_counter_delta(
     timed = _watched(polls, event_time, delay)
     fields = [f for f in timed.schema.fields if f.name not in keys]
     schema = T.StructType([*[polls.schema[k] for k in keys], *fields, T.StructField("behind", T.BooleanType())])
-    return timed.groupBy(*keys).transformWithStateInPandas(
+    return timed.groupBy(*keys).transformWithState(
         _CounterDelta(fields, keys, counters, adjacent, event_time, forget),
         outputStructType=schema,
         outputMode="Append",
@@ -176,62 +169,65 @@ class _Throttle(StatefulProcessor):
     def __init__(self, fields: list[T.StructField], order: str, gap: int):
         self._fields = fields
         self._names = [f.name for f in fields]
-        self._order = order
+        self._order = self._names.index(order)
+        self._time = self._names.index("measured_at")
         self._gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._pending = handle.getMapState("seconds", _AT, T.StructType(self._fields))
+        self._pending = handle.getListState("seconds", T.StructType(self._fields))
         self._last = handle.getValueState("last", _AT)
         self._passed = handle.getValueState("passed", _AT)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _waiting(self) -> dict[int, tuple]:
+        return {record[self._time]: record for record in self._pending.get()}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         passed = self._passed.get()[0] if self._passed.exists() else None
-        order = self._names.index(self._order)
-        best: dict[int, tuple] = {}
-        for chunk in rows:
-            late = chunk["measured_at"] <= passed if passed is not None else pd.Series(False, index=chunk.index)
-            if late.any():
-                yield chunk[late][self._names].assign(behind=True)
-            # One row per second leaves a chunk, so a hot key is bounded by elapsed time.
-            first = chunk[~late].sort_values(["measured_at", self._order], kind="stable").drop_duplicates("measured_at")
-            for record in _records(first, self._fields):
-                at = record[self._names.index("measured_at")]
-                if at not in best or record[order] < best[at][order]:
-                    best[at] = record
-        for at, record in best.items():
-            held = self._pending.getValue((at,))
-            if held is None or record[order] < held[order]:
-                self._pending.updateValue((at,), record)
-        yield from self._release(timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # One row per second stays, so a hot key is bounded by elapsed time.
+        best, fresh = self._waiting(), False
+        for record in _records(rows, self._names):
+            at = record[self._time]
+            if passed is not None and at <= passed:
+                yield from self._out([record], True)
+            elif at not in best or record[self._order] < best[at][self._order]:
+                best[at], fresh = record, True
+        yield from self._release(best, fresh, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        yield from self._release(now)
-        if self._last.exists() and not self._pending.exists() and (self._last.get()[0] + self._gap) * 1000 <= now:
+        best = self._waiting()
+        yield from self._release(best, False, now)
+        if not best and self._last.exists() and (self._last.get()[0] + self._gap) * 1000 <= now:
             self._last.clear()
             self._passed.clear()
 
-    def _release(self, now: int) -> Iterator[pd.DataFrame]:
-        seconds = sorted(at for (at,) in self._pending.keys()) if self._pending.exists() else []
+    def _release(self, best: dict[int, tuple], fresh: bool, now: int) -> Iterator[Row]:
+        """Emits what is due and takes it out of ``best``."""
+        seconds = sorted(best)
         ready = [at for at in seconds if at * 1000 <= now]
         if len(ready) < len(seconds):
             # One timer per key: the next one is set when it fires.
             self._handle.registerTimer(seconds[len(ready)] * 1000)
-        if not ready:
-            return
-        last = self._last.get()[0] if self._last.exists() else None
         chosen = []
-        for at in ready:
-            if last is None or at >= last + self._gap:
-                last = at
-                chosen.append(self._pending.getValue((at,)))
-            self._pending.removeKey((at,))
-        self._passed.update((ready[-1],))
-        self._last.update((last,))
-        self._handle.registerTimer((last + self._gap) * 1000)
-        if chosen:
-            yield pd.DataFrame(chosen, columns=self._names, dtype=object).assign(behind=False)
+        if ready:
+            last = self._last.get()[0] if self._last.exists() else None
+            for at in ready:
+                record = best.pop(at)
+                if last is None or at >= last + self._gap:
+                    last = at
+                    chosen.append(record)
+            self._passed.update((ready[-1],))
+            self._last.update((last,))
+            self._handle.registerTimer((last + self._gap) * 1000)
+        if ready or fresh:
+            _replace(self._pending, list(best.values()))
+        yield from self._out(chosen, False)
+
+    def _out(self, records: list[tuple], behind: bool) -> Iterator[Row]:
+        form = Row(*self._names, "behind")
+        for record in records:
+            yield form(*record, behind)
 
     def close(self) -> None:
         pass
@@ -252,7 +248,7 @@ def stream_explain_throttle(
     """
     short = _watched(events.filter(F.octet_length("raw") <= max_bytes), "measured_at", delay)
     schema = T.StructType([*short.schema.fields, T.StructField("behind", T.BooleanType())])
-    return short.groupBy(*keys).transformWithStateInPandas(
+    return short.groupBy(*keys).transformWithState(
         _Throttle(short.schema.fields, order, gap), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     ).withColumn("plan", obfuscate_explain(F.col("plan")))
 
@@ -269,79 +265,80 @@ class _PlanAttachment(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        slot = T.StructType([T.StructField("at", T.LongType()), T.StructField("slot", T.LongType())])
-        self._events = handle.getMapState("events", slot, T.StructType(self._fields))
+        self._events = handle.getListState("events", T.StructType(self._fields))
         # Of the plans of a second only the first can be taken.
-        self._plans = handle.getMapState("plans", _AT, T.StructType([T.StructField("id", T.LongType()), T.StructField("plan", T.StringType())]))
+        self._plans = handle.getListState("plans", T.StructType([*_AT.fields, T.StructField("id", T.LongType()), T.StructField("plan", T.StringType())]))
         self._last = handle.getValueState("last", _AT)
         self._passed = handle.getValueState("passed", _AT)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _waiting(self) -> tuple[list[dict], dict[int, tuple]]:
+        return [dict(zip(self._names, r)) for r in self._events.get()], {r[0]: r for r in self._plans.get()}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         passed = self._passed.get()[0] if self._passed.exists() else None
-        slots: dict[int, int] = {}
-        if self._events.exists():
-            for at, slot in self._events.keys():
-                slots[at] = max(slots.get(at, -1), slot)
+        events, plans = self._waiting()
+        new_events = new_plans = False
         behind = []
-        for chunk in rows:
-            for record in _records(chunk, self._fields):
-                row = dict(zip(self._names, record))
-                at, plan = row["measured_at"], row["plan_id"] is not None
-                if passed is not None and (at if plan else at + self._within) <= passed:
-                    if not plan:
-                        behind.append(row)
-                    continue
-                if plan:
-                    held = self._plans.getValue((at,))
-                    if held is None or row["plan_id"] < held[0]:
-                        self._plans.updateValue((at,), (row["plan_id"], row["explain"]))
-                else:
-                    slots[at] = slots.get(at, -1) + 1
-                    self._events.updateValue((at, slots[at]), record)
-        yield from self._frames(behind, True)
-        yield from self._release(timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for record in _records(rows, self._names):
+            row = dict(zip(self._names, record))
+            at, plan = row["measured_at"], row["plan_id"] is not None
+            if passed is not None and (at if plan else at + self._within) <= passed:
+                if not plan:
+                    behind.append(row)
+            elif not plan:
+                events.append(row)
+                new_events = True
+            elif at not in plans or row["plan_id"] < plans[at][1]:
+                plans[at] = (at, row["plan_id"], row["explain"])
+                new_plans = True
+        yield from self._out(behind, True)
+        yield from self._release(events, plans, new_events, new_plans, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        yield from self._release(now)
-        idle = not self._events.exists() and not self._plans.exists()
-        if idle and self._last.exists() and (self._last.get()[0] + self._gap) * 1000 <= now:
+        left = yield from self._release(*self._waiting(), False, False, now)
+        if not left and self._last.exists() and (self._last.get()[0] + self._gap) * 1000 <= now:
             self._last.clear()
 
-    def _release(self, now: int) -> Iterator[pd.DataFrame]:
-        events = {k: dict(zip(self._names, r)) for k, r in self._events.iterator()} if self._events.exists() else {}
-        plans = sorted(at for (at,) in self._plans.keys()) if self._plans.exists() else []
-        ready = [at for at in plans if at * 1000 <= now]
-        last = self._last.get()[0] if self._last.exists() else None
+    def _release(self, events: list[dict], plans: dict[int, tuple], new_events: bool, new_plans: bool, now: int) -> Iterator[Row]:
+        """Queries that no plan can reach any more; returns the number of queries and plans that go on waiting."""
+        seconds = sorted(plans)
+        ready = [at for at in seconds if at * 1000 <= now]
+        last = self._last.get()[0] if ready and self._last.exists() else None
         for at in ready:
-            _, plan = self._plans.getValue((at,))
-            self._plans.removeKey((at,))
+            _, _, plan = plans.pop(at)
             if last is not None and at < last + self._gap:
                 continue
             last = at
-            near = [k for k in events if at - self._within <= k[0] <= at]
+            near = [e for e in events if at - self._within <= e["measured_at"] <= at]
             if near:
-                k = min(near, key=lambda k: (-k[0], *[events[k][c] for c in self._event_id]))
-                events[k]["explain"] = plan
-                self._events.updateValue(k, tuple(events[k][n] for n in self._names))
+                first = min(near, key=lambda e: (-e["measured_at"], *[e[c] for c in self._event_id]))
+                first["explain"] = plan
+                new_events = True
         if ready:
             self._last.update((last,))
             self._handle.registerTimer((last + self._gap) * 1000)
-        out = []
-        for k in sorted(k for k in events if (k[0] + self._within) * 1000 <= now):
-            out.append(events[k])
-            self._events.removeKey(k)
-        waiting = plans[len(ready) :][:1] + [k[0] + self._within for k in events if (k[0] + self._within) * 1000 > now]
+        out, left = [], []
+        for event in events:
+            (out if (event["measured_at"] + self._within) * 1000 <= now else left).append(event)
+        waiting = seconds[len(ready) :][:1] + [e["measured_at"] + self._within for e in left]
         if waiting:
             # One timer per key: the next one is set when it fires.
             self._handle.registerTimer(min(waiting) * 1000)
         if out or ready:
             self._passed.update((now // 1000,))
-        yield from self._frames(out, False)
-
-    def _frames(self, rows: list[dict], behind: bool) -> Iterator[pd.DataFrame]:
-        if rows:
-            yield pd.DataFrame(rows, columns=self._names, dtype=object).drop(columns="plan_id").assign(behind=behind)
+        if out or new_events:
+            _replace(self._events, [tuple(e.values()) for e in left])
+        if ready or new_plans:
+            _replace(self._plans, list(plans.values()))
+        yield from self._out(out, False)
+        return len(left) + len(plans)
+
+    def _out(self, rows: list[dict], behind: bool) -> Iterator[Row]:
+        names = [n for n in self._names if n != "plan_id"]
+        form = Row(*names, "behind")
+        for row in rows:
+            yield form(*[row[n] for n in names], behind)
 
     def close(self) -> None:
         pass
@@ -374,7 +371,7 @@ def stream_attach_plans(
     both = both.unionByName(taken.select(*empty, "plan_id", obfuscate_explain(F.col("plan")).alias("explain")))
     timed = _watched(both, "measured_at", delay)
     schema = T.StructType([*[f for f in timed.schema.fields if f.name != "plan_id"], T.StructField("behind", T.BooleanType())])
-    attached = timed.groupBy(*SERVER, "fingerprint").transformWithStateInPandas(
+    attached = timed.groupBy(*SERVER, "fingerprint").transformWithState(
         _PlanAttachment(timed.schema.fields, list(event_id), within, gap), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
     return attached.withColumns({c: F.timestamp_micros(c) for c in times}) if times else attached

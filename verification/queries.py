@@ -951,8 +951,18 @@ def _(spark, sf):
     return drain(spark, routed, "logs")
 
 
+#: Rows that one file of a micro-batch holds at least, where there are more files than one.
+FILE_ROWS = 250_000
+
+
 def _out_of_order(rows, *key, n=4):
-    """Rows with the ``_file`` they arrive in: by time, but up to a quarter of a file late; and that delay."""
+    """Rows with the ``_file`` they arrive in: by time, but up to a quarter of a file late; and that delay.
+
+    The rows are written down first: deriving them is the larger part of the work, and they are read several times.
+    """
+    path = workspace(rows.sparkSession, "arriving")
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
     lo, hi = rows.agg(F.min("measured_at"), F.max("measured_at")).first()
     step = ((hi or 0) - (lo or 0)) // n + 1
     late = F.pmod(F.xxhash64(*key), F.lit(step // 4 + 1))
@@ -961,14 +971,20 @@ def _out_of_order(rows, *key, n=4):
 
 
 def _in_files(spark, rows, purpose, last=None, n=4):
-    """A stream of ``n`` files, one a micro-batch; then ``last``, later rows that push the watermark on."""
-    path = workspace(spark, purpose)
-    rows.write.parquet(f"{path}/staged")
-    staged, schema = spark.read.parquet(f"{path}/staged"), rows.drop("_file").schema
-    parts = [staged.filter(F.col("_file") == k).drop("_file") for k in range(n)] + ([] if last is None else [last])
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"{path}/landing")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landing")
+    """A stream of ``n`` parts, one a micro-batch; then ``last``, later rows that push the watermark on.
+
+    A part is one file while it is small, else several that are written and read side by side.  All parts
+    have the same number of them, and a part is written once the one before is, so a micro-batch takes
+    the files of one part.
+    """
+    path, schema = workspace(spark, purpose), rows.drop("_file").schema
+    sizes = {r["_file"]: r["count"] for r in rows.groupBy("_file").count().collect()}
+    files = max(1, min(sizes.get(k, 0) for k in range(n)) // FILE_ROWS)
+    parts = [rows.filter(F.col("_file") == k).drop("_file") for k in range(n)] + ([] if last is None else [last])
+    for k, part in enumerate(parts):
+        part = part.repartition(files) if files > 1 and k < n else part.coalesce(1)
+        part.write.mode("append").parquet(f"{path}/landing")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}/landing")
 
 
 def _one_row(spark, like, **values):
