@@ -3,10 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fleetlens.llm.queries import QUERIES
-from fleetlens.llm.suffixarray import common_prefixes, index_shard, merge_sorted, remove_repeated_bytes, suffix_array
+from fleetlens.llm.suffixarray import JOINED_BYTES, _shards, common_prefixes, index_shard, merge_sorted, remove_repeated_bytes, suffix_array
 
 from tests.llm.helpers import messy_documents, messy_texts
 
@@ -97,3 +98,13 @@ def test_query(spark, sf):
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     want = {d[0]: (*p[:3], hashlib.sha256(p[3]).hexdigest()) for d, p in zip(docs, plain([d[1] for d in docs], 400))}
     assert {r[0]: tuple(r[1:]) for r in got.collect()} == want
+
+
+def test_small_anchors_share_small_shards():
+    rng = np.random.default_rng(3)
+    runs = sorted((k // 2, rng.integers(0, 4, 1000, dtype=np.uint8).tobytes()) for k in range(200))
+    columns = [[f"-:{a:03d}" for a, _ in runs], [r[:16] for _, r in runs], [r for _, r in runs], [1] * len(runs)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "id", "run", "copies"])
+    found = list(_shards(iter([batch]), 400, 1 << 20))
+    assert [i for _, ids, _, _ in found for i in ids] == columns[1]
+    assert all(len(shard.data) < JOINED_BYTES + 4096 for *_, shard in found)
