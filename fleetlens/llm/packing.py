@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences: a configuration program over the length histogram.
 
-Only the histogram reaches the driver, at most ``capacity`` numbers whatever the corpus holds.
-Patterns (how many pieces of each length share a sequence) are priced by an unbounded knapsack over
-weights that multiplicative updates raise where demand is left.  Each is taken an integral number of
-times (the program's solution rounded down), and best fit, longest first, places the rest, still by
-counts.  Every piece then finds its place from its rank among the pieces of its length.
+Only the histogram reaches the driver, at most ``capacity`` numbers whatever the corpus holds.  Long
+pieces form classes of about equal counts, each as large as its longest piece.  The configuration
+program (patterns say how many pieces of each class share a sequence) is solved by multiplicative
+weights, with an unbounded knapsack that prices the patterns, to a fractional solution near its lower
+bound.  That is rounded down, and best fit, longest first, places the rest and all short pieces, into
+the room of those sequences or new ones, still by counts.  Every piece then finds its place from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -26,10 +27,13 @@ from fleetlens.llm.storage import stored
 
 CAPACITY = 4096
 END_ID = 1
-ROUNDS = 60  #: knapsacks priced
-RATE = 0.5  #: step of the multiplicative update
-TAKE = 0.5  #: share of what a pattern could cover that one round takes
-LEAN = 0.01  #: of equal patterns the one with longer pieces wins; short ones close the last gaps
+ROUNDS = 2000  #: knapsacks priced at most
+GAP = 0.02  #: between the program's fractional solution and its lower bound
+RATE = 0.2  #: step of the multiplicative update
+CLASSES = 64  #: sizes that the program tells apart
+GRAINS = 512  #: parts of the capacity that it counts in
+FREE = 0.8  #: share of the space that short pieces take which the program leaves to them in its sequences
+SHORT = 8  #: pieces under this part of the capacity close gaps
 SALTS = 256  #: parts that the pieces of one length are ranked in
 
 
@@ -68,31 +72,89 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int
     return out
 
 
+def solve_program(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int, gap: float = GAP) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """Fewest sequences that cover ``demand`` pieces of each size (ascending), as a fractional solution.
+
+    Returns how often each pattern, pairs of a size's number and a count, is taken, and a lower bound.
+    Multiplicative weights against the full demand: a round prices one pattern by a knapsack and takes
+    it until one of its sizes is covered once more; the weight of a size falls with its coverage.  The
+    sum of the rounds over the least coverage is feasible, the weights over the best value solve the
+    dual.  Ends when both are within ``gap``.
+    """
+    number = {x: i for i, x in enumerate(sizes.tolist())}
+    covered = np.zeros(len(sizes))
+    times: dict[tuple[tuple[int, int], ...], float] = {}
+    taken, bound, least = 0.0, float(sizes @ demand) / room, 0.0
+    for _ in range(rounds):
+        # At first a size weighs what it takes of the room.
+        weight = demand * sizes * np.exp(-RATE * (covered - least))
+        value = weight / demand
+        held = knapsack(sizes, value, room)
+        pattern = tuple((number[x], n) for x, n in sorted(held.items(), reverse=True))
+        at, n = np.array(pattern).T
+        bound = max(bound, float(weight.sum() / (value[at] @ n)))
+        step = float((demand[at] / n).min())
+        times[pattern] = times.get(pattern, 0.0) + step
+        covered[at] += step * n / demand[at]
+        taken += step
+        least = float(covered.min())
+        if least and taken / least <= (1 + gap) * bound:
+            break
+    return ({k: x / least for k, x in times.items()} if least else {}), bound
+
+
+def _classes(left: Mapping[int, int], capacity: int, grain: int, room: int) -> tuple[np.ndarray, list[list[list[int]]]]:
+    """Long lengths in classes of about equally many pieces: sizes in grains (ascending), and [length, count] of each."""
+    lengths = sorted((x for x, n in left.items() if n and x * SHORT >= capacity), reverse=True)
+    total, before = sum(left[x] for x in lengths), 0
+    classes: dict[int, list[list[int]]] = {}
+    last = size = -1
+    for x in lengths:
+        number = before * CLASSES // total
+        if number != last:
+            last, size = number, min(-(-x // grain), room)  # a class is as large as its longest piece
+        classes.setdefault(size, []).append([x, left[x]])
+        before += left[x]
+    sizes = sorted(classes)
+    return np.array(sizes, dtype=np.int64), [classes[x] for x in sizes]
+
+
 def _priced(left: dict[int, int], capacity: int, rounds: int) -> list[tuple[Bins, int]]:
-    """Patterns from the weighted program; takes what they cover out of ``left``."""
+    """Sequences of the program, rounded down; takes their pieces out of ``left``.
+
+    The program knows the long pieces by class; short ones are left to close the gaps.
+    """
     full = left.pop(capacity, 0)
     taken = [(Bins(None, capacity, 1, capacity), full)] if full else []
-    demand = dict(left)
-    weight = dict.fromkeys(left, 1.0)
-    for _ in range(rounds):
-        lengths = np.array(sorted(x for x, n in left.items() if n), dtype=np.int64)
-        if not len(lengths):
-            break
-        values = lengths * np.array([weight[x] for x in lengths.tolist()]) / capacity
-        values *= 1 + LEAN * lengths / capacity
-        pattern = {x: min(n, left[x]) for x, n in knapsack(lengths, values, capacity).items()}
-        times = min(left[x] // n for x, n in pattern.items())
-        full = sum(x * n for x, n in pattern.items()) == capacity
-        times = int(times * TAKE) or int(full)
-        if not times:  # rounds down to nothing
-            break
-        bins = None
-        for x in sorted(pattern, reverse=True):
-            bins = Bins(bins, x, pattern[x], (bins.used if bins else 0) + x * pattern[x])
-            left[x] -= times * pattern[x]
-            # What a round covers counts less in the next.
-            weight[x] *= np.exp(-RATE * times * pattern[x] / demand[x])
-        taken.append((bins, times))
+    grain = max(1, capacity // GRAINS)
+    held = sum(x * n for x, n in left.items())
+    if not rounds or not held:
+        return taken
+    # Every sequence keeps its part of the short pieces' space free.
+    free = FREE * sum(x * n for x, n in left.items() if x * SHORT < capacity) / held
+    room = max(1, int(capacity * (1 - free)) // grain)
+    sizes, queues = _classes(left, capacity, grain, room)
+    if not len(sizes):
+        return taken
+    times, _ = solve_program(sizes, np.array([sum(n for _, n in q) for q in queues], dtype=float), room, rounds)
+    for pattern, x in sorted(times.items(), key=lambda item: -item[1]):
+        open_ = min(int(x), *[sum(n for _, n in queues[i]) // each for i, each in pattern])
+        while open_:
+            # Equal sequences move together, until one of the lengths runs out.
+            many = min(open_, *[queues[i][0][1] // each for i, each in pattern]) or 1
+            bins = None
+            for i, each in pattern:
+                while each:
+                    length, count = queues[i][0]
+                    n = each if many > 1 else min(each, count)
+                    bins = Bins(bins, length, n, (bins.used if bins else 0) + n * length)
+                    left[length] -= many * n
+                    queues[i][0][1] -= many * n
+                    if not queues[i][0][1]:
+                        queues[i].pop(0)
+                    each -= n
+            taken.append((bins, many))
+            open_ -= many
     return taken
 
 

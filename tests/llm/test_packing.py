@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from fleetlens.llm.packing import CAPACITY, knapsack, pack_documents, pack_histogram
+from fleetlens.llm.packing import CAPACITY, ROUNDS, _priced, knapsack, pack_documents, pack_histogram, solve_program
 from fleetlens.llm.queries import QUERIES, TOKENIZER
 
 from tests.llm.helpers import messy_documents
@@ -98,3 +98,23 @@ def test_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == _cut(docs, CAPACITY)
     assert _sound(rows, CAPACITY) <= -(-sum(r["length"] for r in rows) // CAPACITY) + 1
+
+
+def test_program_is_solved_to_its_gap_and_gives_most_sequences():
+    rng = np.random.default_rng(7)
+    lengths = Counter(np.minimum(rng.lognormal(6, 1, 20_000).astype(int) + 1, CAPACITY - 1).tolist())
+    sizes, demand = np.array([60, 110, 130, 200, 260, 410]), np.array([900.0, 50, 700, 340, 1000, 77])
+    times, bound = solve_program(sizes, demand, 512, 2000)
+    cover = np.zeros(len(sizes))
+    for pattern, x in times.items():
+        assert sum(sizes[i] * n for i, n in pattern) <= 512
+        for i, n in pattern:
+            cover[i] += n * x
+    assert (cover >= demand * (1 - 1e-9)).all()
+    assert max(bound, sizes @ demand / 512) <= sum(times.values()) <= 1.02 * bound * (1 + 1e-9)
+    left = dict(lengths)
+    opened = sum(n for _, n in _priced(left, CAPACITY, ROUNDS))
+    slots = pack_histogram(lengths)
+    used = (slots["sequence"] + slots["times"]).max()
+    assert opened > 0.8 * used and used <= -(-sum(x * n for x, n in lengths.items()) // CAPACITY) + 1
+    assert Counter(dict((slots["times"] * slots["each"]).groupby(slots["length"]).sum())) == lengths
