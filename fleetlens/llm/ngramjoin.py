@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.llm.components import connected_components
+from fleetlens.llm.memory import sparing
 from fleetlens.llm.storage import release, shuffle_partitions, stored
 from fleetlens.llm.wordbatch import Words, gram_hashes, mix, ranges, slices, words_of
 
@@ -91,6 +92,7 @@ def tree_labels(grams: np.ndarray, bounds: np.ndarray, trees: int, depth: int) -
 def _signed(documents: DataFrame, trees: int, depth: int) -> DataFrame:
     """``id, text_key, set_key, n, labels`` of every document ``(id, text)``."""
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(1), size=1 << 19):
@@ -136,6 +138,7 @@ def _packed(documents: DataFrame, bits) -> DataFrame:
     Texts whose key has no bit set are left out; a few others that nobody asked for may remain.
     """
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         wanted = bits.value
@@ -202,6 +205,7 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
     """``rep, links, root`` from ``members (task, rep, weight, block, packed)`` sorted by task."""
     names = ["rep", "links", "root"]
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         task, rows = None, []

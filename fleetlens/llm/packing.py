@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.llm.bpe import encode_column
+from fleetlens.llm.memory import sparing
 from fleetlens.llm.storage import stored
 
 CAPACITY = 4096
@@ -227,6 +228,7 @@ def cut_documents(
     if keep_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0)
@@ -292,6 +294,7 @@ def pack_documents(
     table = documents.sparkSession.sparkContext.broadcast(slots)
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
+    @sparing
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = table.value
         keys = slots["length"].to_numpy() * (1 << 40) + slots["first"].to_numpy()

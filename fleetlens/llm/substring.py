@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.llm.memory import sparing
 from fleetlens.llm.storage import release, shuffle_partitions, stored
 from fleetlens.llm.wordbatch import Words, gram_hashes, slices, words_of
 
@@ -84,6 +85,7 @@ def _text_runs(part: Words, length: int) -> Iterator[tuple[int, np.ndarray, np.n
 def _text_anchors(texts: DataFrame, length: int) -> DataFrame:
     """``key, short, anchors``: the anchors of every text with at least one window."""
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(2)):
@@ -112,6 +114,7 @@ def _shared_runs(texts: DataFrame, length: int) -> DataFrame:
     """
     names = ["anchor", "id", "run", "windows", "first", "key", "rows"]
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         seen: set[bytes] = set()
@@ -183,6 +186,7 @@ def subtree_repeats(runs: list[bytes], copies: list[int], length: int) -> list[i
 def _subtrees(parts: DataFrame, length: int) -> DataFrame:
     """``run, mask`` of the runs with repeats; ``parts (prefix, run, copies)`` come sorted by prefix."""
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefix, runs, copies = None, [], []
         out: tuple[list, list] = ([], [])
@@ -218,6 +222,7 @@ def _subtrees(parts: DataFrame, length: int) -> DataFrame:
 def _windows(runs: DataFrame, length: int) -> DataFrame:
     """Every window of the runs as a run of its own, with the run and the place it came from."""
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -271,6 +276,7 @@ def _packed(frame: DataFrame) -> DataFrame:
     """Compress the last column, a string, into a binary ``packed``: text is what the shuffles carry."""
     schema = T.StructType([*frame.schema.fields[:-1], T.StructField("packed", T.BinaryType())])
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -291,6 +297,7 @@ def _cut(frame: DataFrame, length: int, fields: list[T.StructField]) -> DataFram
     )
     spans_kind = pa.list_(pa.list_(pa.int64()))
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.llm.memory import sparing
 from fleetlens.llm.storage import release, shared_folder, stored
 from fleetlens.llm.wordbatch import PUNCTUATION, Words, mix, slices
 
@@ -92,6 +93,7 @@ def _pair_counts(texts: DataFrame, known: str | None = None) -> DataFrame:
     With the path ``known`` only pairs of that table are counted.
     """
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label, rest = (batch.column(i).to_numpy().astype(np.uint64) for i in (1, 2))
@@ -117,6 +119,7 @@ def _pair_counts(texts: DataFrame, known: str | None = None) -> DataFrame:
 def _pair_types(texts: DataFrame) -> DataFrame:
     """``w, v, shown``: word, previous word and which of ``COUNTS`` a slice of texts adds to, as bits."""
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label, rest = (batch.column(i).to_numpy().astype(np.int32) for i in (1, 2))
@@ -135,6 +138,7 @@ def _pair_types(texts: DataFrame) -> DataFrame:
 def _context_counts(texts: DataFrame) -> DataFrame:
     """``v, y, m, n``: how many words follow each word in a slice of texts; 0 begins a text."""
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label, rest = (batch.column(i).to_numpy().astype(np.uint64) for i in (1, 2))
@@ -154,6 +158,7 @@ def _context_counts(texts: DataFrame) -> DataFrame:
 def _corpus_counts(documents: DataFrame, text: str, known: str) -> DataFrame:
     """``x, n``: occurrences in all documents of every word of a table; the null row counts all words."""
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _table(known, "x")["x"]
         total, seen = np.zeros(len(words), dtype=np.int64), 0
@@ -369,6 +374,7 @@ def _with_key(pairs: DataFrame) -> DataFrame:
     """Pairs with ``k``, the key by which texts find them."""
     schema = T.StructType([*pairs.schema.fields, T.StructField("k", T.LongType())])
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w, v = (batch.column(c).to_numpy().view(np.uint64) for c in ("w", "v"))
@@ -415,6 +421,7 @@ def score_toxicity(
     labelled = texts.join(F.broadcast(once), ["_key", "_hash"]).select("_text", "_label", rest)
     words, pairs = fit_models(labelled, docs, text)
 
+    @sparing
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             steps = np.rint(text_ratios(batch.column(0), words, pairs, "b") / BIN).astype(np.int64)
@@ -434,6 +441,7 @@ def score_toxicity(
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
     at = docs.columns.index(text)
 
+    @sparing
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ratios = text_ratios(batch.column(at), words, pairs, "a")
