@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fleetlens import functions as L
+from fleetlens.plans.slow_query_report import slow_query_report
 from fleetlens.sources.workspace import FINE, fine_shuffles
 from verification import queries as q
 from verification.fixtures import derived_once, fixture
@@ -56,3 +57,21 @@ def test_a_version_is_taken_apart_once(spark):
     compared = rows.select(L.version_compare(F.col("a"), F.col("b")).alias("c"))
     assert compared._jdf.queryExecution().analyzed().toString().count("regexp_extract") <= 6
     assert [r["c"] for r in compared.collect()] == [0, -1, None, -1]
+
+
+def test_a_report_of_slow_queries_reads_logs_and_plans_once(spark):
+    line = (
+        "300 <134>1 2024-01-01T00:00:0{0}+00:00 host app postgres.7 - [A_0] [{0}-1]  sql_error_code = 00000 pid=\"7\""
+        " LOG:  duration: 12.5 ms  execute <unnamed>: SELECT * FROM t WHERE id = {0}"
+    )
+    payloads = spark.createDataFrame([(k, line.format(k)) for k in (1, 2)], "payload_id long, body string")
+    payloads = payloads.withColumn("received_at", F.timestamp_seconds(F.lit(1704067210)))
+    servers = spark.createDataFrame([("A_0", "A_0_URL", "db", 1)], "config_name string, config_var_name string, database string, ord long")
+    plans = spark.createDataFrame(
+        [("A_0", 1704067203, 5, "SELECT * FROM t WHERE id = 9", "Seq Scan")],
+        "config_name string, measured_at long, plan_id long, raw string, plan string",
+    )
+    report = slow_query_report(payloads, servers, plans)
+    assert {(r["payload_id"], r["explain"]) for r in report.collect()} == {(1, None), (2, "Seq Scan")}
+    folders = {file.rsplit("/", 2)[1].rsplit("-", 1)[0] for file in report.inputFiles()}
+    assert folders == {"fleetlens-slow-events", "fleetlens-slow-plans"}
