@@ -3,9 +3,10 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from fleetlens.llm.bpe import bpe_decode, bpe_encode, load
+from fleetlens.llm.bpe import Bpe, _Cache, _Table, bpe_decode, bpe_encode, encode_column, load
 from fleetlens.llm.queries import QUERIES, TOKENIZER
 
 from tests.llm.helpers import messy_documents
@@ -74,3 +75,47 @@ def test_query(spark, sf):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_pieces_and_pairs_are_encoded_once(monkeypatch):
+    bpe = Bpe(PATH)
+    met, pairs = [], []
+    pieces_of, survive = bpe.encode_pieces, bpe._survive
+    monkeypatch.setattr(bpe, "encode_pieces", lambda pieces: met.extend(pieces) or pieces_of(pieces))
+    monkeypatch.setattr(bpe, "_survive", lambda a, b: pairs.extend(zip(a.tolist(), b.tolist())) or survive(a, b))
+    tokenizer = Tokenizer.from_file(PATH)
+    words = ["andonwhaned", "tionstanoueahe", "schbeschheit", "\u00f1asuemente", "andonwhanedtionstan"]
+    for mark in ("", ",", ".", "(", "1"):  # other words each time, of the same pieces
+        text = "\n".join(w + mark for w in words)
+        ids, bounds = bpe.encode_words(text)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [
+            tokenizer.encode(w, add_special_tokens=False).ids for w in text.split("\n")
+        ]
+    assert len(met) == len(set(met)) == len(words) + 4
+    assert pairs and len(pairs) == len(set(pairs))
+
+
+def test_caches_restart_when_they_are_full(monkeypatch):
+    bpe = Bpe(PATH)
+    monkeypatch.setattr("fleetlens.llm.bpe.MAX_CACHED", 40)
+    monkeypatch.setattr("fleetlens.llm.bpe.load", lambda path: bpe)
+    cache = _Cache(100)
+    bpe.met = _Cache(70)
+    monkeypatch.setattr("fleetlens.llm.bpe._words_met", lambda path: cache)
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = _odd_texts()
+    for i in range(0, len(texts), 20):
+        for first, ids, bounds in encode_column(PATH, pa.array(texts[i : i + 20], pa.string())):
+            for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+                assert ids[a:b].tolist() == tokenizer.encode(texts[i + first + k] or "", add_special_tokens=False).ids
+
+
+def test_table_grows():
+    rng = np.random.default_rng(4)
+    keys = np.unique(np.concatenate([rng.integers(0, 2**63, 5000, dtype=np.uint64), np.arange(3000, dtype=np.uint64) << np.uint64(40)]))
+    rng.shuffle(keys)
+    table = _Table(keys[:10], np.arange(10, dtype=np.int32))
+    for at in range(10, len(keys), 700):
+        assert (table.get(keys[at : at + 700]) < 0).all()
+        table.add(keys[at : at + 700], np.arange(at, min(at + 700, len(keys)), dtype=np.int32))
+    assert table.get(keys).tolist() == list(range(len(keys)))
