@@ -1,10 +1,13 @@
 """What keeps the work of a query in proportion to its input."""
 
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from fleetlens import functions as L
 from fleetlens.plans.slow_query_report import slow_query_report
-from fleetlens.sources.workspace import FINE, fine_shuffles
+from fleetlens.sources.workspace import CLEANUP, FINE, FINE_SCAN, SCAN, SCAN_DEFAULT, fine_shuffles, landed
 from verification import queries as q
 from verification.fixtures import derived_once, fixture
 
@@ -75,3 +78,45 @@ def test_a_report_of_slow_queries_reads_logs_and_plans_once(spark):
     assert {(r["payload_id"], r["explain"]) for r in report.collect()} == {(1, None), (2, "Seq Scan")}
     folders = {file.rsplit("/", 2)[1].rsplit("-", 1)[0] for file in report.inputFiles()}
     assert folders == {"fleetlens-slow-events", "fleetlens-slow-plans"}
+
+
+def _shuffles(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+    return set(re.findall(r"shuffle_(\d+)_", blocks))
+
+
+def test_a_landed_step_leaves_no_shuffle_files(spark):
+    rows = spark.range(1000, numPartitions=3).groupBy((F.col("id") % 7).alias("k")).count()
+    setting, before = spark.conf.get(CLEANUP, None), _shuffles(spark)
+    step = landed(rows, "test-step")
+    assert sorted(r["count"] for r in step.collect()) == [142, 143, 143, 143, 143, 143, 143]
+    until = time.time() + 20
+    while _shuffles(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not _shuffles(spark) - before and spark.conf.get(CLEANUP, None) == setting
+
+
+def test_documents_are_put_together_from_written_parts(spark, sf):
+    """The last plan shuffles the parts of documents, none of the steps that lead to them."""
+    with derived_once():
+        documents = q._documents(spark, sf)
+    folders = {re.sub("-[0-9a-f]+$", "", f.rsplit("/", 2)[1]) for f in documents.inputFiles()}
+    assert "fleetlens-report-servers" in folders
+    assert not folders & {"fleetlens-fixture-index_rows", "fleetlens-fixture-table_rows", "fleetlens-fixture-cells_statement"}
+    assert documents._jdf.queryExecution().executedPlan().toString().count("Exchange") < 20
+
+
+def test_scans_start_fine_unless_the_session_says_otherwise(spark):
+    before = spark.conf.get(SCAN)
+    try:
+        spark.conf.unset(SCAN)
+        fine_shuffles(spark)
+        assert spark.conf.get(SCAN) == FINE_SCAN
+        fine_shuffles(spark, False)
+        assert spark.conf.get(SCAN).removesuffix("b") == SCAN_DEFAULT
+        spark.conf.set(SCAN, "1000")
+        fine_shuffles(spark)
+        fine_shuffles(spark, False)
+        assert spark.conf.get(SCAN) == "1000"
+    finally:
+        spark.conf.set(SCAN, before)
