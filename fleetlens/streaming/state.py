@@ -10,6 +10,8 @@ leave the stream unchanged, with ``behind`` set.  State goes once it cannot matt
 
 from __future__ import annotations
 
+import json
+import pickle
 import sys
 from collections.abc import Iterable, Iterator, Sequence
 from operator import itemgetter
@@ -31,6 +33,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 FORGET_SECONDS = 86400
 
 _AT = T.StructType([T.StructField("at", T.LongType())])
+_ROW = "_row"
+#: What several keys hold, pickled as Spark itself pickles the rows of a state, and the timer they share.
+_PACKED = T.StructType([T.StructField("packed", T.BinaryType()), T.StructField("timer", T.LongType())])
 
 
 def _watched(rows: DataFrame, seconds: str, delay: str) -> DataFrame:
@@ -55,79 +60,112 @@ def _replace(state, records: list[tuple]) -> None:
 
 
 class _CounterDelta(StatefulProcessor):
-    """Pairs each poll of a key with the one before it, once the watermark has passed it."""
+    """Pairs each poll of a key with the one before it, once the watermark has passed it.
 
-    def __init__(self, fields: list[T.StructField], keys: list[str], counters: list[str], adjacent: bool, time: str, forget: int):
-        self._fields = fields
-        self._names = [f.name for f in fields]
-        self._keys = keys
-        self._counters = counters
+    The keys of one server share a state: ``own`` names what tells them apart, ``{own: (last, waiting)}``
+    is read and written whole, once a micro-batch, and has one timer.  A row has the values that ``packed``
+    holds as JSON and then the ``loose`` ones.
+    """
+
+    def __init__(self, packed: list[str], doubles: list[str], loose: list[str], state_by: list[str], own: list[str],
+                 counters: list[str], adjacent: bool, time: str, forget: int):
+        self._names = names = [*packed, *loose]
+        self._doubles = [packed.index(n) for n in doubles]
+        self._columns = [_ROW, *loose]
+        self._state_by = state_by
+        self._own = [names.index(n) for n in own]
+        self._counters = [names.index(n) for n in counters]
         self._adjacent = adjacent
-        self._time = time
+        self._poll, self._ord, self._time = (names.index(n) for n in ("poll_seq", "ord", time))
         self._forget = forget * 1000
 
-    def _at(self, row: dict) -> int:
-        return row[self._time] * 1000
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        row = T.StructType(self._fields)
-        self._pending = handle.getListState("pending", row)
-        self._last = handle.getListState("last_poll", row)
-
-    def _rows(self, records: Iterable[tuple]) -> list[dict]:
-        return [dict(zip(self._names, r)) for r in records]
+        self._keys = handle.getValueState("keys", _PACKED)
+
+    def _read(self) -> tuple[dict, int | None]:
+        if not self._keys.exists():
+            return {}, None
+        packed, timer = self._keys.get()
+        return pickle.loads(packed), timer
+
+    def _write(self, keys: dict, timer: int | None, now: int | None = None) -> None:
+        """``timer`` is the one that is set; from ``now`` on, what it was set for is done."""
+        times = [at for last, waiting, due in keys.values() for at in ([due] if waiting else []) + ([self._gone(last)] if last else [])]
+        earliest = min((at for at in times if now is None or at > now), default=None)
+        if earliest != timer:
+            if timer is not None and (now is None or timer > now):
+                self._handle.deleteTimer(timer)
+            if earliest is not None:
+                self._handle.registerTimer(earliest)
+        if keys:
+            self._keys.update((pickle.dumps(keys, pickle.HIGHEST_PROTOCOL), earliest))
+        else:
+            self._keys.clear()
+
+    def _unpacked(self, rows: Iterable[Row]) -> Iterator[tuple]:
+        for found in _records(rows, self._columns):
+            text, loose = (found[0], found[1:]) if len(self._columns) > 1 else (found, ())
+            record = (*json.loads(text).values(), *loose)
+            # JSON has no numbers for these: NaN, Infinity and -Infinity.
+            if any(type(record[i]) is str for i in self._doubles):
+                record = tuple(float(v) if i in self._doubles and v is not None else v for i, v in enumerate(record))
+            yield record
+
+    def _gone(self, last: list[tuple]) -> int:
+        return last[0][self._time] * 1000 + self._forget
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        last = self._rows(self._last.get())
-        done = last[0]["poll_seq"] if last else None
-        waiting, behind = self._rows(self._pending.get()), []
-        for row in self._rows(_records(rows, self._names)):
-            (behind if done is not None and row["poll_seq"] <= done else waiting).append(row)
+        (keys, timer), behind, poll = self._read(), [], self._poll
+        own = itemgetter(*self._own) if self._own else lambda record: ()
+        for record in self._unpacked(rows):
+            last, waiting, _ = keys.setdefault(own(record), ([], [], 0))
+            (behind if last and record[poll] <= last[0][poll] else waiting).append(record)
+        out = self._release(keys, timerValues.getCurrentWatermarkInMs())
+        self._write(keys, timer)
         yield from self._out(key, behind, True)
-        yield from self._release(key, last, waiting, timerValues.getCurrentWatermarkInMs())
+        yield from self._out(key, out, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        last = self._rows(self._last.get())
-        left = yield from self._release(key, last, self._rows(self._pending.get()), now)
-        if last and not left and self._at(last[0]) + self._forget <= now:
-            self._last.clear()
-
-    def _release(self, key, last: list[dict], waiting: list[dict], now: int) -> Iterator[Row]:
-        """Deltas of all polls that the watermark has passed; returns the number of rows that go on waiting."""
-        polls: dict[int, list[dict]] = {}
-        for row in waiting:
-            polls.setdefault(row["poll_seq"], []).append(row)
-        out, previous = [], last
-        for poll in sorted(polls):
-            # Rows of one order keep the order of their arrival.
-            rows = sorted(polls[poll], key=itemgetter("ord"))
-            due = max(map(self._at, rows))
-            if due > now:
-                # One timer per key: the next one is set when it fires.
-                self._handle.registerTimer(due)
-                break
-            if previous and (not self._adjacent or poll == previous[0]["poll_seq"] + 1):
-                for before in previous:
-                    delta = {c: None if rows[0][c] is None or before[c] is None else rows[0][c] - before[c] for c in self._counters}
-                    out.append(rows[0] | delta | {"ord": before["ord"]})
-            previous = rows
-            del polls[poll]
-        if waiting:
-            _replace(self._pending, [tuple(row.values()) for rows in polls.values() for row in rows])
-        if previous is not last:
-            if last:
-                self._handle.deleteTimer(self._at(last[0]) + self._forget)
-            self._last.put([tuple(row.values()) for row in previous])
-            self._handle.registerTimer(self._at(previous[0]) + self._forget)
+        keys, timer = self._read()
+        out = self._release(keys, now)
+        kept = {own: entry for own, entry in keys.items() if entry[1] or self._gone(entry[0]) > now}
+        self._write(kept, timer, now)
         yield from self._out(key, out, False)
-        return len(polls)
 
-    def _out(self, key, rows: list[dict], behind: bool) -> Iterator[Row]:
-        form = Row(*self._keys, *self._names, "behind")
-        for row in rows:
-            yield form(*key, *row.values(), behind)
+    def _release(self, keys: dict, now: int) -> list[tuple]:
+        """Deltas of all polls that the watermark has passed; the others go on waiting, with the time the first is due."""
+        poll, time, out = self._poll, self._time, []
+        for own, (last, waiting, _) in keys.items():
+            # Rows of one order keep the order of their arrival.
+            waiting.sort(key=itemgetter(poll, self._ord))
+            start, due = 0, 0
+            while start < len(waiting):
+                seq, end = waiting[start][poll], start + 1
+                while end < len(waiting) and waiting[end][poll] == seq:
+                    end += 1
+                rows = waiting[start:end]
+                due = max(row[time] for row in rows) * 1000
+                if due > now:
+                    break
+                if last and (not self._adjacent or seq == last[0][poll] + 1):
+                    out.extend(self._delta(rows[0], before) for before in last)
+                last, start = rows, end
+            keys[own] = (last, waiting[start:], due)
+        return out
+
+    def _delta(self, row: tuple, before: tuple) -> tuple:
+        changed = list(row)
+        for c in self._counters:
+            changed[c] = None if row[c] is None or before[c] is None else row[c] - before[c]
+        changed[self._ord] = before[self._ord]
+        return tuple(changed)
+
+    def _out(self, key, records: list[tuple], behind: bool) -> Iterator[Row]:
+        form = Row(*self._state_by, *self._names, "behind")
+        for record in records:
+            yield form(*key, *record, behind)
 
     def close(self) -> None:
         pass
@@ -150,17 +188,35 @@ def stream_counter_delta(
     the latest time seen, has passed it; the last polls wait until later ones (of any key) arrive.
     Rows of a poll that is paired already come out as they are, with ``behind`` set.  A key not seen
     for ``forget`` seconds loses its state, and so its next delta.
+
+    Keys that agree in their server columns are worked on together: a message to the state store costs
+    more than many rows in it.  A task then holds what waits of one server, not of one key.  Python reads
+    a row as one JSON text where its types allow, as reading a value costs more than parsing it.
     """
     keys, counters = list(keys), list(counters)
     timed = _watched(polls, event_time, delay)
-    fields = [f for f in timed.schema.fields if f.name not in keys]
-    schema = T.StructType([*[polls.schema[k] for k in keys], *fields, T.StructField("behind", T.BooleanType())])
-    return timed.groupBy(*keys).transformWithState(
-        _CounterDelta(fields, keys, counters, adjacent, event_time, forget),
+    types = {f.name: f.dataType for f in timed.schema.fields}
+    state_by = [k for k in keys if k in SERVER]
+    # Values by which Python tells keys apart as Spark does.
+    if not state_by or not all(isinstance(types[k], (T.StringType, T.IntegralType)) for k in keys):
+        state_by = keys
+    own = [k for k in keys if k not in state_by]
+    fields = [f for f in timed.schema.fields if f.name not in state_by]
+    exact = (T.StringType, T.IntegralType, T.DoubleType, T.BooleanType)
+    packed = [f for f in fields if isinstance(f.dataType, exact)]
+    loose = [f for f in fields if f not in packed]
+    schema = T.StructType([*[polls.schema[k] for k in state_by], *packed, *loose, T.StructField("behind", T.BooleanType())])
+    text = F.to_json(F.struct(*[f.name for f in packed]), {"ignoreNullFields": "false"})
+    paired = timed.select(*state_by, text.alias(_ROW), *[f.name for f in loose]).groupBy(*state_by).transformWithState(
+        _CounterDelta(
+            [f.name for f in packed], [f.name for f in packed if isinstance(f.dataType, T.DoubleType)], [f.name for f in loose],
+            state_by, own, counters, adjacent, event_time, forget,
+        ),
         outputStructType=schema,
         outputMode="Append",
         timeMode="EventTime",
     )
+    return paired.select(*keys, *[f.name for f in fields if f.name not in own], "behind")
 
 
 class _Throttle(StatefulProcessor):

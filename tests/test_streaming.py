@@ -8,7 +8,7 @@ from fleetlens.operators import querystats as qs
 from fleetlens.sources.tables import read_log_payloads, read_snapshot, stream_log_payloads
 from fleetlens.sources.workspace import workspace
 from fleetlens.streaming.run import drain, each_batch, windowed_counts
-from fleetlens.streaming.state import stream_attach_plans, stream_counter_delta, stream_explain_throttle
+from fleetlens.streaming.state import ROCKSDB, stream_attach_plans, stream_counter_delta, stream_explain_throttle
 
 
 @pytest.fixture(autouse=True)
@@ -68,6 +68,52 @@ def test_a_key_not_seen_for_long_is_forgotten(spark):
     assert _deltas(drain(spark, stream_counter_delta(stream, ["k"], ["n"], "1 minute", forget=100), "t5").collect()) == [("z", 2, 0), ("z", 3, 0)]
 
 
+FLEET = "config_name string, config_var_name string, database string, query_id bigint, poll_seq bigint, ord bigint, measured_at bigint, n bigint, t double, s string, d date"
+
+
+def _fleet(name, query, poll, n, t=0.5, s="x", at=None):
+    return (name, name and f"{name}_URL", name and "db", query, poll, poll, 60 * poll if at is None else at, n, t, s, dt.date(2024, 1, 1))
+
+
+def test_keys_of_a_server_share_a_state(spark):
+    """Forty statements of two servers, one of them late, one gone for a while: as each alone, in two states."""
+    data = [[_fleet(k, q, 1, 10 * q) for k in "AB" for q in range(20)],
+            [_fleet(k, q, 2, 10 * q + q, s=f"{q}\n'\"") for k in "AB" for q in range(20) if q != 7],
+            [_fleet("A", q, 3, 30 * q) for q in range(20)] + [_fleet("A", 5, 2, 1), _fleet(None, None, 1, 1)],
+            [_fleet("Z", 0, 1, 0, at=10_000)], [_fleet("A", 3, 2, 99)], [_fleet("Z", 0, 2, 0, at=20_000)]]
+    stream = stream_counter_delta(_in_batches(spark, data, FLEET), ["config_name", "config_var_name", "database", "query_id"], ["n", "t"], "1 minute")
+    base = workspace(spark, "test-shared-state")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        run = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = [r for r in spark.read.parquet(f"{base}/out").collect() if r.config_name in ("A", "B")]
+    want = {(k, q, 2): q for k in "AB" for q in range(20) if q not in (5, 7)} | {("B", 5, 2): 5}
+    want |= {("A", q, 3): 19 * q for q in range(20) if q not in (5, 7)}
+    assert {(r.config_name, r.query_id, r.poll_seq): r.n for r in got if not r.behind and r.query_id != 5} == {k: v for k, v in want.items() if k[1] != 5}
+    # Two rows of one poll: the earlier rows pair with the first to arrive, and both with the next poll.
+    assert sorted(r.n for r in got if (r.config_name, r.query_id, r.behind) == ("A", 5, False)) == [5, 95, 149]
+    assert [(r.query_id, r.poll_seq, r.n) for r in got if r.behind] == [(3, 2, 99)]
+    assert all(r.d == dt.date(2024, 1, 1) and r.t == 0 for r in got if not r.behind)
+    assert {r.s for r in got if r.config_name == "B"} == {f"{q}\n'\"" for q in range(20) if q != 7}
+    # A state, a timer and its place in time for each of A, B, Z and the server without a name.
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= 12
+
+
+def test_counters_keep_every_value(spark):
+    """Values that JSON lacks or rounds elsewhere: none, no number, infinite, over 2^53, the smallest double."""
+    nan, inf, big = float("nan"), float("inf"), 2**62 + 1
+    before = [(0, big, 0.1), (1, None, nan), (2, 1, inf), (3, -1, None), (4, 0, 0.0), (5, 0, 0.0)]
+    after = [(0, big + 7, 0.3), (1, 5, 1.0), (2, 2, 1.0), (3, 2, 1.0), (4, 0, 5e-324), (5, 0, -inf)]
+    data = [[_fleet("A", q, 1, n, t) for q, n, t in before], [_fleet("A", q, 2, n, t, None) for q, n, t in after], [_fleet("Z", 0, 1, 0, at=10_000)]]
+    keys = ["config_name", "config_var_name", "database", "query_id"]
+    got = {r.query_id: r for r in drain(spark, stream_counter_delta(_in_batches(spark, data, FLEET), keys, ["n", "t"], "1 minute"), "t6").collect()}
+    assert {q: r.n for q, r in got.items()} == {0: 7, 1: None, 2: 1, 3: 3, 4: 0, 5: 0} and all(r.s is None for r in got.values())
+    assert got[0].t == 0.3 - 0.1 and got[1].t != got[1].t and got[2].t == -inf and got[3].t is None and got[4].t == 5e-324 and got[5].t == -inf
+
+
 EVENTS = "config_name string, fingerprint string, event_id bigint, measured_at bigint, raw string, plan string"
 
 

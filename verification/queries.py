@@ -964,9 +964,7 @@ def _out_of_order(rows, *key, n=4):
 
     The rows are written down first: deriving them is the larger part of the work, and they are read several times.
     """
-    path = workspace(rows.sparkSession, "arriving")
-    rows.write.parquet(path)
-    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    rows = landed(rows, "arriving")
     lo, hi = rows.agg(F.min("measured_at"), F.max("measured_at")).first()
     step = ((hi or 0) - (lo or 0)) // n + 1
     late = F.pmod(F.xxhash64(*key), F.lit(step // 4 + 1))
