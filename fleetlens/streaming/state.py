@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import pickle
 import sys
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Container, Iterable, Iterator, Sequence
 from operator import itemgetter
 
 from pyspark import cloudpickle
@@ -91,8 +91,9 @@ class _CounterDelta(StatefulProcessor):
 
     def _write(self, keys: dict, timer: int | None, now: int | None = None) -> None:
         """``timer`` is the one that is set; from ``now`` on, what it was set for is done."""
-        times = [at for last, waiting, due in keys.values() for at in ([due] if waiting else []) + ([self._gone(last)] if last else [])]
-        earliest = min((at for at in times if now is None or at > now), default=None)
+        times = [due for _, waiting, due in keys.values() if waiting]
+        gone = ((self._gone(last), waiting) for last, waiting, _ in keys.values() if last)
+        earliest = min([*times, *[at for at, waiting in gone if now is None or at > now or not waiting]], default=None)
         if earliest != timer:
             if timer is not None and (now is None or timer > now):
                 self._handle.deleteTimer(timer)
@@ -116,12 +117,13 @@ class _CounterDelta(StatefulProcessor):
         return last[0][self._time] * 1000 + self._forget
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        (keys, timer), behind, poll = self._read(), [], self._poll
+        (keys, timer), behind, seen, poll = self._read(), [], set(), self._poll
         own = itemgetter(*self._own) if self._own else lambda record: ()
         for record in self._unpacked(rows):
+            seen.add(own(record))
             last, waiting, _ = keys.setdefault(own(record), ([], [], 0))
             (behind if last and record[poll] <= last[0][poll] else waiting).append(record)
-        out = self._release(keys, timerValues.getCurrentWatermarkInMs())
+        out = self._release(keys, timerValues.getCurrentWatermarkInMs(), seen)
         self._write(keys, timer)
         yield from self._out(key, behind, True)
         yield from self._out(key, out, False)
@@ -130,14 +132,17 @@ class _CounterDelta(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs()
         keys, timer = self._read()
         out = self._release(keys, now)
-        kept = {own: entry for own, entry in keys.items() if entry[1] or self._gone(entry[0]) > now}
-        self._write(kept, timer, now)
+        self._write(keys, timer, now)
         yield from self._out(key, out, False)
 
-    def _release(self, keys: dict, now: int) -> list[tuple]:
-        """Deltas of all polls that the watermark has passed; the others go on waiting, with the time the first is due."""
+    def _release(self, keys: dict, now: int, seen: Container = ()) -> list[tuple]:
+        """Deltas of all polls that the watermark has passed; the others go on waiting, with the time the first is due.
+
+        Keys whose last poll was too long ago are forgotten, but for those just ``seen``.
+        """
         poll, time, out = self._poll, self._time, []
-        for own, (last, waiting, _) in keys.items():
+        for own, (last, waiting, _) in [*keys.items()]:
+            gone = own not in seen and last and self._gone(last) <= now
             # Rows of one order keep the order of their arrival.
             waiting.sort(key=itemgetter(poll, self._ord))
             start, due = 0, 0
@@ -152,7 +157,10 @@ class _CounterDelta(StatefulProcessor):
                 if last and (not self._adjacent or seq == last[0][poll] + 1):
                     out.extend(self._delta(rows[0], before) for before in last)
                 last, start = rows, end
-            keys[own] = (last, waiting[start:], due)
+            if gone and start == len(waiting):
+                del keys[own]
+            else:
+                keys[own] = (last, waiting[start:], due)
         return out
 
     def _delta(self, row: tuple, before: tuple) -> tuple:
